@@ -51,6 +51,12 @@ def _on_raw(step: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: step(raw_postings(spark, sf_dir))
 
 
+def _labelled(raw: DataFrame) -> DataFrame:
+    """Every raw posting with its labels; nothing is filtered out."""
+    dated = cleaning.with_categories(raw).withColumn(C.posted_at, text.parse_date(C.posted_text))
+    return cleaning.with_labels(dated)
+
+
 def _counted(df: DataFrame, *columns) -> DataFrame:
     return df.groupBy(*columns).agg(F.count(F.lit(1)).alias("postings"))
 
@@ -109,9 +115,9 @@ def queries() -> dict[str, Query]:
                 r, C.categories_text, text.first_category(C.categories_text).alias(C.category)
             )
         ),
-        "sector_rules": raw(lambda r: _counted(cleaning.with_sectors(r), C.category, C.sector)),
+        "sector_rules": raw(lambda r: _counted(_labelled(r), C.category, C.sector)),
         "seniority_rules": raw(
-            lambda r: _counted(cleaning.with_levels(r), C.levels_text, C.level, C.pmet)
+            lambda r: _counted(_labelled(r), C.levels_text, C.level, C.pmet)
         ),
         "repost_flags": raw(
             lambda r: _counted(

@@ -1,8 +1,12 @@
-"""Ordered (pattern, label) rules for the sector and the seniority of a posting."""
+"""Ordered (pattern, label) rules for the sector and the seniority of a posting.
+
+A rule list becomes one SQL ``CASE``: the branches are tried in order and the
+rest is skipped once one fits.
+"""
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -54,37 +58,47 @@ PMET, NON_PMET = "PMET", "Non-PMET"
 REPOST_YES, REPOST_NO = "Y", "N"
 
 
-def first_match(text: Column, rules, default: str) -> Column:
-    """Label of the first rule whose pattern occurs in the text; null text matches none."""
-    branches = [(text.rlike(pattern), label) for pattern, label in rules]
-    return _case(branches, default)
+def name(column: str) -> str:
+    """A column name quoted for SQL text."""
+    return "`" + column.replace("`", "``") + "`"
+
+
+def literal(value: str | None) -> str:
+    """A string quoted for SQL text."""
+    if value is None:
+        return "NULL"
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def case(branches: Iterable[tuple[str, str]], default: str) -> Column:
+    """``CASE`` over (SQL condition, label) branches."""
+    tests = " ".join(f"WHEN {test} THEN {literal(label)}" for test, label in branches)
+    return F.expr(f"CASE {tests} ELSE {literal(default)} END")
+
 
+def first_match(lowered: str, rules: Iterable[tuple[str, str]], default: str) -> Column:
+    """Label of the first rule whose pattern occurs in a lower-cased column.
 
-def _case(branches, default: str) -> Column:
-    (test, label), *rest = branches
-    start = F.when(test, F.lit(label))
-    return reduce(lambda case, b: case.when(b[0], F.lit(b[1])), rest, start).otherwise(
-        F.lit(default)
-    )
+    A null text matches no rule and gets the default.
+    """
+    return case(((f"{name(lowered)} RLIKE {literal(p)}", label) for p, label in rules), default)
 
 
-def sector_of(category: str | Column) -> Column:
-    text = F.lower(category)
-    branches = [(text == name, label) for name, label in SECTOR_EXCEPTIONS.items()]
-    branches += [(text.rlike(pattern), label) for pattern, label in SECTOR_RULES]
-    return _case(branches, SECTOR_DEFAULT)
+def sector_of(lowered_category: str) -> Column:
+    column = name(lowered_category)
+    branches = [(f"{column} = {literal(c)}", label) for c, label in SECTOR_EXCEPTIONS.items()]
+    branches += [(f"{column} RLIKE {literal(p)}", label) for p, label in SECTOR_RULES]
+    return case(branches, SECTOR_DEFAULT)
 
 
-def seniority_of(levels: str | Column) -> Column:
-    text = F.lower(F.col(levels).cast("string") if isinstance(levels, str) else levels)
-    return first_match(text, SENIORITY_RULES, SENIORITY_DEFAULT)
+def seniority_of(lowered_levels: str) -> Column:
+    return first_match(lowered_levels, SENIORITY_RULES, SENIORITY_DEFAULT)
 
 
-def pmet_of(levels: str | Column) -> Column:
-    text = F.lower(F.col(levels).cast("string") if isinstance(levels, str) else levels)
-    return F.when(text.contains(NON_PMET_MARK), F.lit(NON_PMET)).otherwise(F.lit(PMET))
+def pmet_of(lowered_levels: str) -> Column:
+    marked = f"contains({name(lowered_levels)}, {literal(NON_PMET_MARK)})"
+    return case([(marked, NON_PMET)], PMET)
 
 
-def repost_flag(repost_count: str | Column) -> Column:
-    c = F.col(repost_count) if isinstance(repost_count, str) else repost_count
-    return F.when(c > 0, F.lit(REPOST_YES)).otherwise(F.lit(REPOST_NO))
+def repost_flag(repost_count: str) -> Column:
+    return case([(f"{name(repost_count)} > 0", REPOST_YES)], REPOST_NO)

@@ -5,57 +5,61 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .rules import literal, name
+
 # Patterns and the default of the text clean-up.
 LEADING_JUNK = r"^[^a-zA-Z0-9]+"
 BLANKS = r"(?U)\s+"  # (?U): Unicode blanks such as U+00A0 count as blanks
 CATEGORY_NAME = r'(?U)"category":\s*"([^"]+)"'
 CATEGORY_DEFAULT = "General / Others"
 
+# A text counts as a date if it starts with a full one. (The cast alone also
+# takes a bare year, or a time of day, which would become today's date.)
+STARTS_WITH_DATE = r"^\s*\d{4}-\d{1,2}-\d{1,2}"
+
 
-def clean_title(title: str | Column) -> Column:
+def clean_title(title: str) -> Column:
     """Strip leading non-alphanumerics, collapse blanks, trim; may become ''."""
-    stripped = F.regexp_replace(title, LEADING_JUNK, "")
-    return F.trim(F.regexp_replace(stripped, BLANKS, " "))
+    stripped = f"regexp_replace({name(title)}, {literal(LEADING_JUNK)}, '')"
+    return F.expr(f"trim(regexp_replace({stripped}, {literal(BLANKS)}, ' '))")
 
 
-def first_category(text: str | Column) -> Column:
+def first_category(text: str) -> Column:
     """First category name inside JSON-like text, or the default.
 
     The text may use a doubled single quote where JSON has a double quote, so
     it need not be valid JSON: a pattern is matched instead of parsing it.
     """
-    c = (F.col(text) if isinstance(text, str) else text).cast("string")
-    quoted = F.replace(c, F.lit("''"), F.lit('"'))
-    name = F.nullif(F.regexp_extract(quoted, CATEGORY_NAME, 1), F.lit(""))
-    return F.coalesce(name, F.lit(CATEGORY_DEFAULT))
+    doubled, quote = literal("''"), literal('"')
+    quoted = f"replace(cast({name(text)} AS string), {doubled}, {quote})"
+    found = f"regexp_extract({quoted}, {literal(CATEGORY_NAME)}, 1)"
+    return F.expr(f"coalesce(nullif({found}, ''), {literal(CATEGORY_DEFAULT)})")
 
 
-def parse_date(text: str | Column, formats: tuple[str, ...] = ()) -> Column:
+def parse_date(text: str, formats: tuple[str, ...] = ()) -> Column:
     """Timestamp of a text, null where it cannot be read.
 
-    Without ``formats`` a text has to start with a full ISO date. (The cast
-    alone would also take a bare year or a time of day, the latter giving
-    today's date.) With ``formats`` the first that fits is used.
+    Without ``formats`` the text has to be ISO; else the first that fits is used.
     """
-    c = F.col(text) if isinstance(text, str) else text
+    c = name(text)
     if formats:
-        return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in formats])
-    return F.when(c.rlike(r"^\s*\d{4}-\d{1,2}-\d{1,2}"), F.try_to_timestamp(c))
+        tries = ", ".join(f"try_to_timestamp({c}, {literal(f)})" for f in formats)
+        return F.expr(f"coalesce({tries})")
+    return F.expr(f"CASE WHEN {c} RLIKE {literal(STARTS_WITH_DATE)} THEN try_to_timestamp({c}) END")
 
 
-def period_labels(ts: str | Column, sortable_weeks: bool = False) -> dict[str, Column]:
+def period_labels(ts: str, sortable_weeks: bool = False) -> dict[str, Column]:
     """Label column per grain.
 
     The week label joins the *calendar* year with the ISO week and is not
     padded, so it sorts as text (W10 before W2). ``sortable_weeks`` pads it.
     """
-    year = F.year(ts).cast("string")
-    week = F.weekofyear(ts).cast("string")
-    if sortable_weeks:
-        week = F.lpad(week, 2, "0")
-    return {
-        "Weekly": F.concat(year, F.lit("-W"), week),
-        "Monthly": F.date_format(ts, "yyyy-MM"),
-        "Quarterly": F.concat(year, F.lit("-Q"), F.quarter(ts).cast("string")),
-        "Yearly": year,
+    c = name(ts)
+    week = f"lpad(weekofyear({c}), 2, '0')" if sortable_weeks else f"weekofyear({c})"
+    labels = {
+        "Weekly": f"concat(year({c}), '-W', {week})",
+        "Monthly": f"date_format({c}, 'yyyy-MM')",
+        "Quarterly": f"concat(year({c}), '-Q', quarter({c}))",
+        "Yearly": f"cast(year({c}) AS string)",
     }
+    return {grain: F.expr(sql) for grain, sql in labels.items()}

@@ -17,26 +17,37 @@ def drop_outliers(raw: DataFrame, c: PostingColumns = POSTINGS) -> DataFrame:
     return raw.where((F.col(c.vacancies) < BULK_VACANCIES) & (F.col(c.max_salary) > 0))
 
 
-def with_sectors(postings: DataFrame, c: PostingColumns = POSTINGS) -> DataFrame:
-    """Add the sub-sector (first embedded category) and its broad sector."""
-    return postings.withColumn(c.category, text.first_category(c.categories_text)).withColumn(
-        c.sector, rules.sector_of(c.category)
-    )
-
-
-def with_levels(postings: DataFrame, c: PostingColumns = POSTINGS) -> DataFrame:
-    """Add the PMET flag and the seniority level; they are decided independently."""
-    return postings.withColumns(
-        {c.pmet: rules.pmet_of(c.levels_text), c.level: rules.seniority_of(c.levels_text)}
-    )
+def with_categories(postings: DataFrame, c: PostingColumns = POSTINGS) -> DataFrame:
+    """Add the sub-sector: the first embedded category."""
+    return postings.withColumn(c.category, text.first_category(c.categories_text))
 
 
-def with_periods(
+def with_labels(
     postings: DataFrame, c: PostingColumns = POSTINGS, sortable_weeks: bool = False
 ) -> DataFrame:
-    """Add the label of every grain."""
-    labels = text.period_labels(c.posted_at, sortable_weeks)
-    return postings.withColumns({c.period(g): labels[g] for g in GRAINS})
+    """Add sector, PMET flag, seniority and the label of every grain.
+
+    PMET and seniority are decided independently of each other. Lower-casing
+    happens once per row, in front of all the rules.
+    """
+    periods = text.period_labels(c.posted_at, sortable_weeks)
+    return (
+        postings.withColumns(
+            {
+                "_category": F.lower(c.category),
+                "_levels": F.lower(F.col(c.levels_text).cast("string")),
+            }
+        )
+        .withColumns(
+            {
+                c.sector: rules.sector_of("_category"),
+                c.pmet: rules.pmet_of("_levels"),
+                c.level: rules.seniority_of("_levels"),
+            }
+            | {c.period(g): periods[g] for g in GRAINS}
+        )
+        .drop("_category", "_levels")
+    )
 
 
 def clean_postings(
@@ -47,15 +58,15 @@ def clean_postings(
 ) -> DataFrame:
     """The whole cleaning pipeline; the columns are those of ``c.clean_types``."""
     dated = (
-        drop_outliers(raw.select(*c.raw_types), c)
+        drop_outliers(raw, c)
         .withColumns(
             {
                 c.posted_at: text.parse_date(c.posted_text, date_formats),
                 c.title: text.clean_title(c.title),
                 c.repost: rules.repost_flag(c.repost_count),
+                c.category: text.first_category(c.categories_text),
             }
         )
-        .dropna(subset=[c.posted_at])
+        .where(F.col(c.posted_at).isNotNull())
     )
-    labelled = with_periods(with_levels(with_sectors(dated, c), c), c, sortable_weeks)
-    return labelled.select(*c.clean_types)
+    return with_labels(dated, c, sortable_weeks).select(*c.clean_types)

@@ -8,11 +8,9 @@ both spellings of embedded category text, unreadable dates and untidy titles.
 
 from __future__ import annotations
 
-from itertools import chain
-
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.rules import literal, name
 from ..schema import POSTINGS, PostingColumns
 
 # Category name by brand number (25 has none).
@@ -53,46 +51,38 @@ LEVELS_OF_PRIORITY = {
 }
 
 
-def _by_flag(a: Column | str | None, n: Column | str | None, other) -> Column:
-    flag = F.col("l_returnflag")
-    return F.when(flag == "A", F.lit(a)).when(flag == "N", F.lit(n)).otherwise(F.lit(other))
-
-
-def _levels() -> Column:
-    case = F.lit(None).cast("string")
-    for priority, texts in LEVELS_OF_PRIORITY.items():
-        case = F.when(F.col("o_orderpriority") == priority, _by_flag(*texts)).otherwise(case)
-    return case
-
-
-def _title() -> Column:
-    name, variant = F.col("p_name"), F.col("l_linenumber") % 5
-    first_upper = F.concat(F.upper(F.substring(name, 1, 1)), F.expr("substr(p_name, 2)"))
+def _levels() -> str:
+    branches = " ".join(
+        f"WHEN o_orderpriority = {literal(priority)} THEN CASE l_returnflag "
+        f"WHEN 'A' THEN {literal(a)} WHEN 'N' THEN {literal(n)} ELSE {literal(other)} END"
+        for priority, (a, n, other) in LEVELS_OF_PRIORITY.items()
+    )
+    return f"CASE {branches} END"
+
+
+def _categories() -> str:
+    pairs = ", ".join(f"{b}, {literal(n)}" for b, n in CATEGORY_OF_BRAND.items())
+    category = f"try_element_at(map({pairs}), brand)"
+    single = [literal("[{''id'':"), "brand", literal(",''category'':''"), category, literal("''}]")]
+    double = [
+        literal('[{"id":'),
+        "brand",
+        literal(',"category": "'),
+        category,
+        literal('"},{"id":99,"category":"Second"}]'),
+    ]
     return (
-        F.when(variant == 0, name)
-        .when(variant == 1, F.upper(name))
-        .when(variant == 2, F.concat(F.lit("** "), name))
-        .when(variant == 3, first_upper)
-        .otherwise(F.replace(name, F.lit(" "), F.lit("   ")))
+        f"CASE WHEN l_linenumber % 2 = 0 THEN concat({', '.join(single)}) "
+        f"ELSE concat({', '.join(double)}) END"
     )
 
 
-def _categories() -> Column:
-    brand = F.substring("p_brand", 7, 10).cast("int")
-    names = F.create_map(*chain.from_iterable((F.lit(b), F.lit(n)) for b, n in CATEGORY_OF_BRAND.items()))
-    name = F.try_element_at(names, brand)
-    number = brand.cast("string")
-    single = F.concat(
-        F.lit("[{''id'':"), number, F.lit(",''category'':''"), name, F.lit("''}]")
-    )
-    double = F.concat(
-        F.lit('[{"id":'),
-        number,
-        F.lit(',"category": "'),
-        name,
-        F.lit('"},{"id":99,"category":"Second"}]'),
-    )
-    return F.when(F.col("l_linenumber") % 2 == 0, single).otherwise(double)
+TITLE = """CASE l_linenumber % 5
+    WHEN 0 THEN p_name
+    WHEN 1 THEN upper(p_name)
+    WHEN 2 THEN concat('** ', p_name)
+    WHEN 3 THEN concat(upper(substr(p_name, 1, 1)), substr(p_name, 2))
+    ELSE replace(p_name, ' ', '   ') END"""
 
 
 def raw_postings(spark: SparkSession, sf_dir: str, c: PostingColumns = POSTINGS) -> DataFrame:
@@ -102,44 +92,35 @@ def raw_postings(spark: SparkSession, sf_dir: str, c: PostingColumns = POSTINGS)
     optimizer broadcasts a side only if its size allows, and splits skewed
     partitions at run time otherwise.
     """
-    def table(name: str, *columns: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
-
-    lines = table(
-        "lineitem",
-        "l_orderkey",
-        "l_partkey",
-        "l_suppkey",
-        "l_linenumber",
-        "l_quantity",
-        "l_extendedprice",
-        "l_discount",
-        "l_returnflag",
+    lines, orders, parts = (
+        spark.read.parquet(f"{sf_dir}/{table}.parquet") for table in ("lineitem", "orders", "part")
     )
-    orders = table("orders", "o_orderkey", "o_orderdate", "o_orderpriority")
-    parts = table("part", "p_partkey", "p_name", "p_brand", "p_size")
-    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(
-        parts, F.col("l_partkey") == F.col("p_partkey")
+    rows = (
+        lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"])
+        .join(parts, lines["l_partkey"] == parts["p_partkey"])
+        .selectExpr("*", "cast(substr(p_brand, 7) AS int) AS brand")
     )
-    size, order = F.col("p_size"), F.col("l_orderkey")
-    price = F.col("l_extendedprice")
-    day = F.col("o_orderdate").cast("date").cast("string")
     columns = {
-        c.job_id: F.concat(
-            F.lit("JOB-"), order.cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")
-        ),
-        c.title: _title(),
-        c.company: F.concat(F.lit("Supplier#"), F.col("l_suppkey").cast("string")),
-        c.employment: _by_flag("Permanent", "Full Time", "Contract"),
+        c.job_id: "concat('JOB-', l_orderkey, '-', l_linenumber)",
+        c.title: TITLE,
+        c.company: "concat('Supplier#', l_suppkey)",
+        c.employment: "CASE l_returnflag WHEN 'A' THEN 'Permanent' WHEN 'N' THEN 'Full Time' "
+        "ELSE 'Contract' END",
         c.levels_text: _levels(),
-        c.salary: F.when(size % 23 != 0, price / 10),
-        c.max_salary: F.when(F.col("l_discount") == 0, F.lit(0.0)).otherwise(price / 8),
-        c.vacancies: F.col("l_quantity").cast("long") % 12,
-        c.experience: F.when(size % 17 != 0, size % 11),
-        c.applications: order % 37,
-        c.repost_count: F.col("l_suppkey") % 3,
-        c.views: F.col("l_partkey") % 211,
+        c.salary: "CASE WHEN p_size % 23 <> 0 THEN l_extendedprice / 10 END",
+        c.max_salary: "CASE WHEN l_discount = 0 THEN 0 ELSE l_extendedprice / 8 END",
+        c.vacancies: "cast(l_quantity AS bigint) % 12",
+        c.experience: "CASE WHEN p_size % 17 <> 0 THEN p_size % 11 END",
+        c.applications: "l_orderkey % 37",
+        c.repost_count: "l_suppkey % 3",
+        c.views: "l_partkey % 211",
         c.categories_text: _categories(),
-        c.posted_text: F.when(order % 50 == 0, F.lit("n/a")).otherwise(day),
+        c.posted_text: "CASE WHEN l_orderkey % 50 = 0 THEN 'n/a' "
+        "ELSE cast(cast(o_orderdate AS date) AS string) END",
     }
-    return rows.select(*[columns[n].cast(t).alias(n) for n, t in c.raw_types.items()])
+    return rows.selectExpr(
+        *[
+            f"cast({columns[n]} AS {t.simpleString()}) AS {name(n)}"
+            for n, t in c.raw_types.items()
+        ]
+    )
