@@ -13,10 +13,6 @@ BLANKS = r"(?U)\s+"  # (?U): Unicode blanks such as U+00A0 count as blanks
 CATEGORY_NAME = r'(?U)"category":\s*"([^"]+)"'
 CATEGORY_DEFAULT = "General / Others"
 
-# A text counts as a date if it starts with a full one. (The cast alone also
-# takes a bare year, or a time of day, which would become today's date.)
-STARTS_WITH_DATE = r"^\s*\d{4}-\d{1,2}-\d{1,2}"
-
 
 def clean_title(title: str) -> Column:
     """Strip leading non-alphanumerics, collapse blanks, trim; may become ''."""
@@ -39,13 +35,17 @@ def first_category(text: str) -> Column:
 def parse_date(text: str, formats: tuple[str, ...] = ()) -> Column:
     """Timestamp of a text, null where it cannot be read.
 
-    Without ``formats`` the text has to be ISO; else the first that fits is used.
+    Without ``formats`` the text has to start with a full ISO date; else the
+    first format that fits is used. (The cast behind the ISO case also takes a
+    bare year, or a time of day, which would become today's date: both lack
+    the two dashes.)
     """
     c = name(text)
     if formats:
         tries = ", ".join(f"try_to_timestamp({c}, {literal(f)})" for f in formats)
         return F.expr(f"coalesce({tries})")
-    return F.expr(f"CASE WHEN {c} RLIKE {literal(STARTS_WITH_DATE)} THEN try_to_timestamp({c}) END")
+    dashes = f"substr(ltrim({c}), 5, 1) = '-' AND locate('-', ltrim({c}), 6) > 0"
+    return F.expr(f"CASE WHEN {dashes} THEN try_to_timestamp({c}) END")
 
 
 def period_labels(ts: str, sortable_weeks: bool = False) -> dict[str, Column]:

@@ -18,43 +18,43 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rules import name
+
 BINS_PER_OCTAVE = 64
 # Every double above 0 has a binary exponent above -1075.
 _LOWEST = 1080 * BINS_PER_OCTAVE
 
 
-def value_bin(value: Column) -> Column:
-    """Bin number that never decreases as the value grows.
+def value_bin(value: str) -> str:
+    """SQL for a bin number that never decreases as the value grows.
 
     Positive values get 64 bins per factor of two, negative ones mirror them,
-    zero has a bin of its own. NaN is above everything, as in a sort.
+    zero has a bin of its own. NaN is above everything, as in a sort; null has
+    no bin.
     """
-    size = F.abs(value)
-    octave = F.floor(F.log2(size))
-    within = F.floor((size / F.pow(F.lit(2.0), octave) - 1) * BINS_PER_OCTAVE)
-    number = octave * BINS_PER_OCTAVE + within + _LOWEST
+    size = f"abs({value})"
+    octave = f"floor(log2({size}))"
+    within = f"floor(({size} / pow(2D, {octave}) - 1) * {BINS_PER_OCTAVE})"
+    number = f"({octave} * {BINS_PER_OCTAVE} + {within} + {_LOWEST})"
     top = 2 * _LOWEST
+    infinity = "double('Infinity')"
     return (
-        F.when(F.isnan(value), F.lit(top + 1))
-        .when(value == float("inf"), F.lit(top))
-        .when(value == float("-inf"), F.lit(-top))
-        .when(value > 0, number)
-        .when(value < 0, -number)
-        .otherwise(F.lit(0))
-        .cast("long")
+        f"CASE WHEN {value} IS NULL THEN NULL WHEN isnan({value}) THEN {top + 1}L "
+        f"WHEN {value} = {infinity} THEN {top}L WHEN {value} = -{infinity} THEN -{top}L "
+        f"WHEN {value} > 0 THEN {number} WHEN {value} < 0 THEN -{number} ELSE 0L END"
     )
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """(keys, value, n) of the non-null values. Coarser keys can be derived from it."""
-    return (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("double").alias(value))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    """(keys, value, n). Groups without a value stay, with a null of count 0.
+
+    Counts for coarser keys can be derived from it without the input.
+    """
+    v = F.col(value).cast("double")
+    return df.groupBy(*keys, v.alias(value)).agg(F.count(v).alias("n"))
 
 
 def quantiles_from_counts(
@@ -68,63 +68,70 @@ def quantiles_from_counts(
 
     ``nearest`` takes the value of rank round((n-1)q), halves away from zero;
     ``linear`` interpolates between the two neighbours, so q=0.5 is the median.
+    A group without a value gives null.
     """
     if method not in ("nearest", "linear"):
         raise ValueError(f"unknown method {method!r}")
     keys = list(keys)
     if [*keys, value, "n"] != counts.columns:
         counts = counts.groupBy(*keys, value).agg(F.sum("n").alias("n"))
-    binned = counts.withColumn("_bin", value_bin(F.col(value)))
-
-    group = Window.partitionBy(*keys)
-    bins = (
-        binned.groupBy(*keys, "_bin")
-        .agg(F.sum("n").alias("_in_bin"))
-        .withColumn("_end", F.sum("_in_bin").over(group.orderBy("_bin")))
-        .withColumn("_size", F.sum("_in_bin").over(group))
-    )
-    slots = []
-    for name, q in quantiles.items():
-        position = (F.col("_size") - 1) * F.lit(float(q))
+
+    ranks, results = [], []
+    for alias, q in quantiles.items():
+        position, slot = f"(_size - 1) * {float(q)!r}D", len(ranks)
         if method == "nearest":
-            slots.append((f"{name}_at", F.floor(position + 0.5)))
+            ranks.append(f"floor({position} + 0.5D)")
+            results.append(f"_at{slot} AS {name(alias)}")
         else:
-            slots.append((f"{name}_lo", F.floor(position)))
-            slots.append((f"{name}_hi", F.ceil(position)))
-    wanted = F.array(
-        *[F.struct(F.lit(s).alias("_slot"), r.cast("long").alias("_rank")) for s, r in slots]
-    )
-    before = F.col("_end") - F.col("_in_bin")
-    hits = (
-        bins.withColumn("_before", before)
-        .select(*keys, "_bin", "_before", "_end", "_size", F.inline(wanted))
-        .where((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_end")))
-        .drop("_end")
-    )
-
-    in_bin = Window.partitionBy(*keys, "_bin", "_slot").orderBy(value)
-    found = (
-        attach(hits, binned, [*keys, "_bin"], "inner")
-        .withColumn("_end", F.col("_before") + F.sum("n").over(in_bin))
-        .where(F.col("_end") > F.col("_rank"))
-        .groupBy(*keys)
-        .agg(
-            F.max("_size").alias("_size"),
-            *[F.min(F.when(F.col("_slot") == s, F.col(value))).alias(s) for s, _ in slots],
-        )
-    )
-    if method == "nearest":
-        results = [F.col(f"{name}_at").alias(name) for name in quantiles]
-    else:
-        results = []
-        for name, q in quantiles.items():
-            position = (F.col("_size") - 1) * F.lit(float(q))
-            part = position - F.floor(position)
-            lo, hi = F.col(f"{name}_lo"), F.col(f"{name}_hi")
+            ranks += [f"floor({position})", f"ceil({position})"]
+            part = f"({position} - floor({position}))"
+            between = f"_at{slot} * (1 - {part}) + _at{slot + 1} * {part}"
             results.append(
-                F.when(part == 0, lo).otherwise(lo * (1 - part) + hi * part).alias(name)
+                f"CASE WHEN {part} = 0 THEN _at{slot} ELSE {between} END AS {name(alias)}"
             )
-    return found.select(*keys, *results)
+    wanted = ", ".join(f"struct({i} AS _slot, {rank} AS _rank)" for i, rank in enumerate(ranks))
+    picked = ", ".join(f"min(CASE WHEN _slot = {i} THEN _v END) AS _at{i}" for i in range(len(ranks)))
+
+    k = [name(key) for key in keys]
+    listed = "".join(f"{key}, " for key in k)
+    from_hits = "".join(f"h.{key}, " for key in k)
+    per_group = f"PARTITION BY {', '.join(k)}" if k else ""
+    same_group = " AND ".join(f"h.{key} <=> b.{key}" for key in [*k, "_bin"])
+    return counts.sparkSession.sql(
+        f"""
+        WITH binned AS (
+          SELECT {listed} {name(value)} AS _v, n, {value_bin(name(value))} AS _bin FROM {{counts}}
+        ),
+        bins AS (
+          SELECT {listed} _bin, sum(n) AS _in_bin FROM binned GROUP BY {listed} _bin
+        ),
+        ends AS (
+          SELECT *, sum(_in_bin) OVER ({per_group} ORDER BY _bin) AS _end,
+            sum(_in_bin) OVER ({per_group}) AS _size
+          FROM bins
+        ),
+        wanted AS (
+          SELECT {listed} _bin, _end - _in_bin AS _before, _end, _size, inline(array({wanted}))
+          FROM ends
+        ),
+        hits AS (
+          SELECT * FROM wanted WHERE _size = 0 OR (_rank >= _before AND _rank < _end)
+        ),
+        reached AS (
+          SELECT {from_hits} h._size, h._slot, h._rank, b._v,
+            h._before + sum(b.n) OVER (
+              PARTITION BY {from_hits} h._bin, h._slot ORDER BY b._v) AS _upto
+          FROM hits h JOIN binned b ON {same_group}
+        ),
+        picked AS (
+          SELECT {listed} max(_size) AS _size, {picked} FROM reached
+          WHERE _size = 0 OR _upto > _rank
+          {"GROUP BY " + ", ".join(k) if k else ""}
+        )
+        SELECT {listed} {", ".join(results)} FROM picked
+        """,
+        counts=counts,
+    )
 
 
 def exact_quantiles(
@@ -134,7 +141,7 @@ def exact_quantiles(
     quantiles: Mapping[str, float],
     method: str = "nearest",
 ) -> DataFrame:
-    """One row per group that has a non-null value, one column per quantile."""
+    """One row per group, one column per quantile; see ``quantiles_from_counts``."""
     return quantiles_from_counts(
         value_counts(df, keys, value), keys, value, quantiles, method
     )
@@ -154,16 +161,15 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, alias: str) ->
     return exact_quantiles(df, keys, value, {alias: 0.5}, "linear")
 
 
-def attach(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left"
-) -> DataFrame:
-    """Join on equal keys where null equals null, keeping the left keys.
+def attach(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join on equal keys where null equals null, keeping the left keys.
 
     Which side is broadcast is left to the optimizer: it knows the sizes.
     """
-    keys = list(keys)
-    if not keys:
-        return left.join(right, how=how) if how == "inner" else left.join(right, F.lit(True), how)
-    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
-    on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
-    return left.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])
+    added = ", ".join(f"r.{name(n)}" for n in right.columns if n not in keys)
+    on = " AND ".join(f"l.{name(k)} <=> r.{name(k)}" for k in keys) or "true"
+    return left.sparkSession.sql(
+        f"SELECT l.*, {added} FROM {{left}} l LEFT JOIN {{right}} r ON {on}",
+        left=left,
+        right=right,
+    )

@@ -27,8 +27,7 @@ QUADRANTS = {
 
 def sector_median(postings: DataFrame, c: PostingColumns = POSTINGS) -> DataFrame:
     """Median salary of every sector, null where no salary is known."""
-    medians = exact_median(postings, [c.sector], c.salary, "sector_median")
-    return attach(postings.select(c.sector).distinct(), medians, [c.sector])
+    return exact_median(postings, [c.sector], c.salary, "sector_median")
 
 
 def friction_premium(

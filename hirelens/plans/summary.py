@@ -277,9 +277,7 @@ def vacancies_by_sector(postings: DataFrame, c: PostingColumns = POSTINGS) -> Da
 def vacancies_and_median(postings: DataFrame, c: PostingColumns = POSTINGS) -> DataFrame:
     """Total vacancies and the median salary over everything, one row."""
     sums = postings.agg(total(c.vacancies).alias("vacancies"))
-    return sums.join(
-        exact_median(postings, [], c.salary, "median_salary"), F.lit(True), "left"
-    )
+    return attach(sums, exact_median(postings, [], c.salary, "median_salary"), [])
 
 
 def salary_by_experience(postings: DataFrame, c: PostingColumns = POSTINGS) -> DataFrame:

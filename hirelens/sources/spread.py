@@ -1,0 +1,23 @@
+"""Spreading small inputs over the cores."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+# Inputs above this size are never shuffled just to use more cores.
+SMALL_BYTES = 256 * 1024 * 1024
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a small input that arrives in few pieces one piece per core.
+
+    One unsplittable CSV or one Parquet row group is one task, and all text
+    work behind it would run on one core. Both conditions are checked while
+    planning: input with enough pieces, and any large one, stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    execution = df._jdf.queryExecution()
+    size = int(str(execution.optimizedPlan().stats().sizeInBytes()))
+    if size > SMALL_BYTES or execution.toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)

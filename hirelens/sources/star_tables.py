@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.rules import literal, name
 from ..schema import POSTINGS, PostingColumns
+from .spread import spread
 
 # Category name by brand number (25 has none).
 CATEGORY_OF_BRAND = {
@@ -96,7 +97,7 @@ def raw_postings(spark: SparkSession, sf_dir: str, c: PostingColumns = POSTINGS)
         spark.read.parquet(f"{sf_dir}/{table}.parquet") for table in ("lineitem", "orders", "part")
     )
     rows = (
-        lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"])
+        spread(lines).join(orders, lines["l_orderkey"] == orders["o_orderkey"])
         .join(parts, lines["l_partkey"] == parts["p_partkey"])
         .selectExpr("*", "cast(substr(p_brand, 7) AS int) AS brand")
     )
