@@ -168,6 +168,7 @@ def queries() -> dict[str, Query]:
         "competition_stats": on(competition.competition_stats),
         "top5_contested": on(competition.top_contested),
         "competition_top10": on(competition.competition_top),
+        "top5_postings": on(lambda p: pulse.kpi_summary(competition.postings_of_contested(p))),
         "top5_structure": on(_structure),
         "positioning_labels": on(lambda p: competition.with_positioning(_structure(p))),
         "positioning_labels_dollar": on(

@@ -373,6 +373,7 @@ def statements() -> dict[str, str]:
         "competition_top10": f""", {_COMPETITION} SELECT *, '$' || {_finite_text("median_salary", ",.0f")}
           AS salary_text, {_finite_text("avg_exp", ".1f")} || 'y' AS experience_text
           FROM competition ORDER BY apps_per_vac DESC, category LIMIT 10""",
+        "top5_postings": f", {_STRUCTURE} SELECT {_KPI_RATIOS} FROM (SELECT {_KPIS} FROM inside)",
         "top5_structure": f", {_STRUCTURE} SELECT * FROM structure",
         "positioning_labels": f", {_STRUCTURE} SELECT *, {_UP} AS positioning, {_comparison('k')} "
         "AS salary_comparison FROM structure",

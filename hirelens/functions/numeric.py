@@ -19,7 +19,8 @@ def total(col: str | Column) -> Column:
 
 def count_where(condition: Column, col: str | Column | None = None) -> Column:
     """Rows (or non-null values of ``col``) for which the condition holds."""
-    return F.count(F.when(condition, F.lit(1) if col is None else col))
+    counted = F.lit(1) if col is None else F.col(col) if isinstance(col, str) else col
+    return F.count(F.when(condition, counted))
 
 
 def ratio(num: str | Column, den: str | Column, on_zero: str = "ieee") -> Column:

@@ -5,54 +5,67 @@ interpolates linearly. Here the *nearest* value is needed for quartiles, and a
 group may hold a third of all rows. So the work is split in three steps:
 
 1. Count equal values per group. Repeated values collapse before the shuffle,
-   and (group, value) spreads a hot group over all tasks.
+   and (group, value) spreads a hot group over all tasks. This is the only
+   shuffle that grows with the input.
 2. Add the counts up in bins of the value, ordered like the values. A running
    sum over the few bins of a group tells which bin holds which rank.
-3. Only the bins that hold a wanted rank are sorted.
+3. Keep the counts of the bins that hold a wanted rank, send them to their
+   group together with the running sums, and sort those few.
 
-The bins depend on the value alone, so both uses of the counts in step 2 and 3
-share one shuffle (``ReusedExchange`` in the plan) and no sample is involved.
+The bins depend on the value alone, so no sample is involved, and steps 2 and
+3 read the same shuffled counts (``ReusedExchange`` in the plan).
+
+Three rounds of shuffles have a fixed price. Where the optimizer's estimate
+says that all keys and values together are small, the values of a group are
+sorted as one array instead; both ways give the same result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import name
+from ..sizes import estimated_bytes
 
 BINS_PER_OCTAVE = 64
-# Every double above 0 has a binary exponent above -1075.
+# Every double above 0 has a binary exponent above -1075. So there are fewer
+# than 140,000 bins in all: a list of bins is always small enough to broadcast.
 _LOWEST = 1080 * BINS_PER_OCTAVE
+_TOP = 2 * _LOWEST
+
+
+# Keys and values whose files take up to this size are sorted in one array per
+# group; packed tightly, that is still only some ten million values.
+SMALL_BYTES = 16 * 1024 * 1024
 
 
 def value_bin(value: str) -> str:
     """SQL for a bin number that never decreases as the value grows.
 
     Positive values get 64 bins per factor of two, negative ones mirror them,
-    zero has a bin of its own. NaN is above everything, as in a sort; null has
-    no bin.
+    zero has a bin of its own. NaN is above everything, as in a sort, and null
+    below.
     """
     size = f"abs({value})"
     octave = f"floor(log2({size}))"
     within = f"floor(({size} / pow(2D, {octave}) - 1) * {BINS_PER_OCTAVE})"
     number = f"({octave} * {BINS_PER_OCTAVE} + {within} + {_LOWEST})"
-    top = 2 * _LOWEST
     infinity = "double('Infinity')"
-    return (
-        f"CASE WHEN {value} IS NULL THEN NULL WHEN isnan({value}) THEN {top + 1}L "
-        f"WHEN {value} = {infinity} THEN {top}L WHEN {value} = -{infinity} THEN -{top}L "
+    bins = (
+        f"CASE WHEN {value} IS NULL THEN -{_TOP + 1}L WHEN isnan({value}) THEN {_TOP + 1}L "
+        f"WHEN {value} = {infinity} THEN {_TOP}L WHEN {value} = -{infinity} THEN -{_TOP}L "
         f"WHEN {value} > 0 THEN {number} WHEN {value} < 0 THEN -{number} ELSE 0L END"
     )
+    # Never null, and known to be: a join on it then adds no filter that would
+    # be pushed below the counts and make them two different subplans.
+    return f"coalesce({bins}, 0L)"
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """(keys, value, n). Groups without a value stay, with a null of count 0.
-
-    Counts for coarser keys can be derived from it without the input.
-    """
+    """(keys, value, n). Groups without a value stay, with a null of count 0."""
     v = F.col(value).cast("double")
     return df.groupBy(*keys, v.alias(value)).agg(F.count(v).alias("n"))
 
@@ -63,70 +76,80 @@ def quantiles_from_counts(
     value: str,
     quantiles: Mapping[str, float],
     method: str = "nearest",
+    parent: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Quantiles per group, from value counts that may be finer than the keys.
+    """Quantiles per group, from the value counts of the groups.
 
     ``nearest`` takes the value of rank round((n-1)q), halves away from zero;
     ``linear`` interpolates between the two neighbours, so q=0.5 is the median.
     A group without a value gives null.
+
+    With ``parent``, a part of the keys, the groups of those keys alone are
+    added. Their rows have ``_is_parent`` 1 and null in the other keys.
     """
-    if method not in ("nearest", "linear"):
-        raise ValueError(f"unknown method {method!r}")
     keys = list(keys)
-    if [*keys, value, "n"] != counts.columns:
-        counts = counts.groupBy(*keys, value).agg(F.sum("n").alias("n"))
+    ranks, results = _ranks_and_results(quantiles, method)
+    holds_rank = " OR ".join(f"({r} >= _end - _in_bin AND {r} < _end)" for r in ranks)
+    picked = ", ".join(
+        f"min(CASE WHEN _upto > {r} THEN _v END) AS _at{at}" for at, r in enumerate(ranks)
+    )
 
-    ranks, results = [], []
-    for alias, q in quantiles.items():
-        position, slot = f"(_size - 1) * {float(q)!r}D", len(ranks)
-        if method == "nearest":
-            ranks.append(f"floor({position} + 0.5D)")
-            results.append(f"_at{slot} AS {name(alias)}")
-        else:
-            ranks += [f"floor({position})", f"ceil({position})"]
-            part = f"({position} - floor({position}))"
-            between = f"_at{slot} * (1 - {part}) + _at{slot + 1} * {part}"
-            results.append(
-                f"CASE WHEN {part} = 0 THEN _at{slot} ELSE {between} END AS {name(alias)}"
-            )
-    wanted = ", ".join(f"struct({i} AS _slot, {rank} AS _rank)" for i, rank in enumerate(ranks))
-    picked = ", ".join(f"min(CASE WHEN _slot = {i} THEN _v END) AS _at{i}" for i in range(len(ranks)))
-
-    k = [name(key) for key in keys]
-    listed = "".join(f"{key}, " for key in k)
-    from_hits = "".join(f"h.{key}, " for key in k)
-    per_group = f"PARTITION BY {', '.join(k)}" if k else ""
-    same_group = " AND ".join(f"h.{key} <=> b.{key}" for key in [*k, "_bin"])
+    def each(names: Iterable[str]) -> str:
+        return "".join(f"{n}, " for n in names)
+
+    fine = [name(key) for key in keys]
+    groups, rows, lifted = fine, "binned", each(fine)
+    if parent is not None:
+        groups = [*fine, "_is_parent"]
+        rows = "(SELECT *, explode(array(0, 1)) AS _is_parent FROM binned)"
+        lifted = "_is_parent, " + each(
+            n if key in parent else f"CASE WHEN _is_parent = 0 THEN {n} END AS {n}"
+            for key, n in zip(keys, fine)
+        )
+    listed = each(groups)
+    plain = ", ".join(groups)
     return counts.sparkSession.sql(
         f"""
         WITH binned AS (
-          SELECT {listed} {name(value)} AS _v, n, {value_bin(name(value))} AS _bin FROM {{counts}}
+          SELECT {each(fine)} {name(value)} AS _v, n, {value_bin(name(value))} AS _bin
+          FROM {{counts}}
+        ),
+        lifted AS (
+          SELECT {lifted} _bin, _v, n FROM {rows}
         ),
         bins AS (
-          SELECT {listed} _bin, sum(n) AS _in_bin FROM binned GROUP BY {listed} _bin
+          SELECT {listed} _bin, sum(n) AS _in_bin FROM lifted GROUP BY {listed} _bin
         ),
         ends AS (
-          SELECT *, sum(_in_bin) OVER ({per_group} ORDER BY _bin) AS _end,
-            sum(_in_bin) OVER ({per_group}) AS _size
+          SELECT *, sum(_in_bin) OVER ({"PARTITION BY " + plain if plain else ""} ORDER BY _bin) AS _end,
+            sum(_in_bin) OVER ({"PARTITION BY " + plain if plain else ""}) AS _size
           FROM bins
         ),
-        wanted AS (
-          SELECT {listed} _bin, _end - _in_bin AS _before, _end, _size, inline(array({wanted}))
-          FROM ends
-        ),
         hits AS (
-          SELECT * FROM wanted WHERE _size = 0 OR (_rank >= _before AND _rank < _end)
+          SELECT {listed} _bin, _end - _in_bin AS _before, _size FROM ends
+          WHERE _size = 0 OR {holds_rank}
+        ),
+        near AS (
+          SELECT /*+ BROADCAST(w) */ l.* FROM lifted l
+          JOIN (SELECT DISTINCT _bin FROM hits) w ON l._bin = w._bin
+        ),
+        united AS (
+          SELECT {listed} _bin, _v, n, NULL AS _before, NULL AS _size FROM near
+          UNION ALL
+          SELECT {listed} _bin, NULL AS _v, 0 AS n, _before, _size FROM hits
+        ),
+        together AS (
+          SELECT * FROM united {"DISTRIBUTE BY " + plain if plain else ""}
         ),
         reached AS (
-          SELECT {from_hits} h._size, h._slot, h._rank, b._v,
-            h._before + sum(b.n) OVER (
-              PARTITION BY {from_hits} h._bin, h._slot ORDER BY b._v) AS _upto
-          FROM hits h JOIN binned b ON {same_group}
+          SELECT {listed} _v, max(_size) OVER ({"PARTITION BY " + plain if plain else ""}) AS _size,
+            max(_before) OVER (PARTITION BY {listed} _bin)
+              + sum(n) OVER (PARTITION BY {listed} _bin ORDER BY _v) AS _upto
+          FROM together
         ),
         picked AS (
           SELECT {listed} max(_size) AS _size, {picked} FROM reached
-          WHERE _size = 0 OR _upto > _rank
-          {"GROUP BY " + ", ".join(k) if k else ""}
+          {"GROUP BY " + plain if plain else ""}
         )
         SELECT {listed} {", ".join(results)} FROM picked
         """,
@@ -134,17 +157,109 @@ def quantiles_from_counts(
     )
 
 
+def _ranks_and_results(
+    quantiles: Mapping[str, float], method: str
+) -> tuple[list[str], list[str]]:
+    """SQL for the ranks to look up, from ``_size``, and for the results, from
+    the values ``_at0``, ``_at1``, ... found at those ranks."""
+    if method not in ("nearest", "linear"):
+        raise ValueError(f"unknown method {method!r}")
+    ranks, results = [], []
+    for alias, q in quantiles.items():
+        position, at = f"(_size - 1) * {float(q)!r}D", len(ranks)
+        if method == "nearest":
+            ranks.append(f"floor({position} + 0.5D)")
+            results.append(f"_at{at} AS {name(alias)}")
+        else:
+            ranks += [f"floor({position})", f"ceil({position})"]
+            part = f"({position} - floor({position}))"
+            between = f"_at{at} * (1 - {part}) + _at{at + 1} * {part}"
+            results.append(f"CASE WHEN {part} = 0 THEN _at{at} ELSE {between} END AS {name(alias)}")
+    return ranks, results
+
+
+def _quantiles_of_small(
+    slim: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    quantiles: Mapping[str, float],
+    method: str,
+    parent: Sequence[str] | None,
+) -> DataFrame:
+    """The same as ``quantiles_from_counts``, from one sorted array per group."""
+    ranks, results = _ranks_and_results(quantiles, method)
+    values = F.sort_array(F.collect_list(value)).alias("_sorted")
+    if parent is None:
+        groups, arrays = list(keys), slim.groupBy(*keys).agg(values)
+    else:
+        groups = [*keys, "_is_parent"]
+        sets = [[F.col(n) for n in s] for s in (keys, parent)]
+        is_parent = F.grouping(next(k for k in keys if k not in parent)).alias("_is_parent")
+        arrays = slim.groupingSets(sets, *keys).agg(is_parent, values)
+    at = [f"get(_sorted, int({rank})) AS _at{i}" for i, rank in enumerate(ranks)]
+    named = [name(g) for g in groups]
+    return (
+        arrays.selectExpr(*named, "_sorted", "size(_sorted) AS _size")
+        .selectExpr(*named, "_size", *at)
+        .selectExpr(*named, *results)
+    )
+
+
+def _quantiles(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    quantiles: Mapping[str, float],
+    method: str,
+    parent: Sequence[str] | None,
+    small: bool | None,
+) -> DataFrame:
+    slim = df.select(*keys, F.col(value).cast("double").alias(value))
+    if small is None:
+        small = estimated_bytes(slim) <= SMALL_BYTES
+    if small:
+        return _quantiles_of_small(slim, keys, value, quantiles, method, parent)
+    counts = value_counts(slim, keys, value)
+    return quantiles_from_counts(counts, keys, value, quantiles, method, parent)
+
+
 def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
     quantiles: Mapping[str, float],
     method: str = "nearest",
+    small: bool | None = None,
 ) -> DataFrame:
-    """One row per group, one column per quantile; see ``quantiles_from_counts``."""
-    return quantiles_from_counts(
-        value_counts(df, keys, value), keys, value, quantiles, method
-    )
+    """One row per group, one column per quantile; see ``quantiles_from_counts``.
+
+    ``small`` chooses the way; by default the estimated size does.
+    """
+    return _quantiles(df, list(keys), value, quantiles, method, None, small)
+
+
+def quantiles_with_parent(
+    df: DataFrame,
+    detail: Sequence[str],
+    parent: Sequence[str],
+    value: str,
+    quantiles: Mapping[str, tuple[str, float]],
+    method: str = "nearest",
+    small: bool | None = None,
+) -> DataFrame:
+    """Quantiles of every (detail + parent) group next to those of its parent group.
+
+    ``quantiles`` maps the name for the group to (name for its parent, q). The
+    values are read and counted once for both levels.
+    """
+    own = {alias: q for alias, (_, q) in quantiles.items()}
+    found = _quantiles(df, [*detail, *parent], value, own, method, list(parent), small)
+    family = Window.partitionBy(*parent)
+    above = [
+        F.max(F.when(F.col("_is_parent") == 1, F.col(n))).over(family).alias(alias)
+        for n, (alias, _) in quantiles.items()
+    ]
+    return found.select("*", *above).where("_is_parent = 0").drop("_is_parent")
 
 
 def approx_quantiles(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import fixed_text, grouped_text, ratio, round_even, total
@@ -12,8 +12,9 @@ from ..operators.quantile import (
     attach,
     exact_median,
     exact_quantiles,
+    quantiles_with_parent,
 )
-from ..operators.ranking import top_rows
+from ..operators.ranking import top_rows, whole_frame
 from ..schema import POSTINGS, PostingColumns
 
 QUARTILES = {"q1": 0.25, "q3": 0.75}
@@ -101,23 +102,57 @@ def competition_top(
 
 
 def contested_structure(
-    postings: DataFrame, n: int = 5, c: PostingColumns = POSTINGS, approx: bool = False
+    postings: DataFrame, n: int = 5, c: PostingColumns = POSTINGS
 ) -> DataFrame:
     """Pay and experience by seniority inside the ``n`` most contested
-    sub-sectors, next to the benchmark of their sector and seniority."""
-    chosen = F.broadcast(top_contested(postings, n, c))  # n rows
-    inside = matching(postings, chosen, c.category)
+    sub-sectors, next to the benchmark of their sector and seniority.
+
+    The postings are read twice: once for all sums, reduced to (sub-sector,
+    sector, seniority), and once for the quartiles of both levels. Which
+    sub-sectors are contested and what their sector requires are windows over
+    the few reduced rows.
+    """
     keys = [c.category, c.sector, c.level]
-    sums = inside.groupBy(*keys).agg(
-        F.avg(c.experience).alias("avg_exp"), total(c.vacancies).alias("vacancies")
+    reduced = postings.groupBy(*keys).agg(
+        total(c.applications).alias("_applications"),
+        total(c.vacancies).alias("vacancies"),
+        F.sum(c.experience).alias("_years"),
+        F.count(c.experience).alias("_with_years"),
+    )
+    within, parent = Window.partitionBy(c.category, c.sector), Window.partitionBy(c.sector, c.level)
+    sums = reduced.select(
+        "*",
+        ratio(
+            F.sum("_applications").over(within), F.sum("vacancies").over(within), "zero"
+        ).alias("apps_per_vac"),
+        ratio("_years", "_with_years", "null").alias("avg_exp"),
+        ratio(
+            F.sum("_years").over(parent), F.sum("_with_years").over(parent), "null"
+        ).alias("broad_avg_exp"),
+    )
+    place = F.dense_rank().over(whole_frame().orderBy(*by_competition(c)))
+    contested = sums.withColumn("_place", place).withColumn(
+        "_best", F.min("_place").over(Window.partitionBy(c.category))
     )
-    rows = attach(sums, _quartiles(inside, keys, c, approx), keys)
-    benchmarks = sector_level_benchmarks(postings, c, approx)
-    return rows.join(benchmarks, [c.sector, c.level], "left").select(
+    quartiles = quantiles_with_parent(
+        postings,
+        [c.category],
+        [c.sector, c.level],
+        c.salary,
+        {"q1": ("broad_q1", QUARTILES["q1"]), "q3": ("broad_q3", QUARTILES["q3"])},
+    )
+    return attach(contested.where(F.col("_best") <= n), quartiles, keys).select(
         *keys, "q1", "q3", "avg_exp", "vacancies", "broad_q1", "broad_q3", "broad_avg_exp"
     )
 
 
+def postings_of_contested(
+    postings: DataFrame, n: int = 5, c: PostingColumns = POSTINGS
+) -> DataFrame:
+    """The postings inside the ``n`` most contested sub-sectors."""
+    return matching(postings, F.broadcast(top_contested(postings, n, c)), c.category)  # n rows
+
+
 def with_positioning(
     structure: DataFrame, style: str = "k", c: PostingColumns = POSTINGS
 ) -> DataFrame:

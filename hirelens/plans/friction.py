@@ -7,12 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import count_where, ratio, round_even, total
 from ..functions.rules import REPOST_YES
-from ..operators.quantile import (
-    attach,
-    exact_median,
-    quantiles_from_counts,
-    value_counts,
-)
+from ..operators.quantile import attach, exact_median, quantiles_with_parent
 from ..operators.ranking import top_rows, whole_frame
 from ..schema import POSTINGS, PostingColumns
 
@@ -35,8 +30,7 @@ def friction_premium(
 ) -> DataFrame:
     """Friction, premium over the sector median and competition, top ``n`` by vacancies.
 
-    The ``n`` sub-sectors are cut first; both medians come from one set of
-    value counts.
+    The ``n`` sub-sectors are cut before the medians are attached.
     """
     keys = [c.category, c.sector]
     top = top_rows(
@@ -50,10 +44,15 @@ def friction_premium(
         F.col("vacancies").desc(),
         *keys,
     )
-    counts = value_counts(postings, keys, c.salary)
-    own = quantiles_from_counts(counts, keys, c.salary, {"median_salary": 0.5}, "linear")
-    parent = quantiles_from_counts(counts, [c.sector], c.salary, {"sector_median": 0.5}, "linear")
-    rows = attach(attach(top, own, keys), parent, [c.sector])
+    medians = quantiles_with_parent(
+        postings,
+        [c.category],
+        [c.sector],
+        c.salary,
+        {"median_salary": ("sector_median", 0.5)},
+        "linear",
+    )
+    rows = attach(top, medians, keys)
 
     premium = (ratio("median_salary", "sector_median", "ieee") - 1) * 100
     return rows.select(

@@ -97,8 +97,8 @@ def pulse(
 ) -> DataFrame:
     """Key figures, timeline and both shares from one scan, as one long table.
 
-    ``grouping`` tells the parts apart: 3 is (period, PMET), 11 is seniority,
-    13 is sector and 15 the grand total. Over no rows the result is empty;
+    ``grouping`` tells the parts apart: 3 is (period, PMET), 13 is sector,
+    14 is seniority and 15 the grand total. Over no rows the result is empty;
     ``kpi_summary`` gives the zeros in that case.
     """
     period = F.col(c.period(grain))

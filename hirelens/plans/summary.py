@@ -16,7 +16,7 @@ from ..functions.numeric import (
     total,
 )
 from ..functions.rules import REPOST_YES
-from ..operators.quantile import attach, exact_median, quantiles_from_counts, value_counts
+from ..operators.quantile import attach, exact_median, quantiles_with_parent
 from ..operators.ranking import argmax, top_rows, whole_frame
 from ..schema import POSTINGS, PostingColumns
 from .titles import frequent_titles
@@ -171,10 +171,15 @@ def sectoral_table(
     else:
         order = keys
 
-    counts = value_counts(postings, keys, c.salary)
-    own = quantiles_from_counts(counts, keys, c.salary, {"median_salary": 0.5}, "linear")
-    parent = quantiles_from_counts(counts, [c.sector], c.salary, {"parent_median": 0.5}, "linear")
-    rows = attach(attach(rows, own, keys), parent, [c.sector])
+    medians = quantiles_with_parent(
+        postings,
+        [c.category],
+        [c.sector],
+        c.salary,
+        {"median_salary": ("parent_median", 0.5)},
+        "linear",
+    )
+    rows = attach(rows, medians, keys)
     out = [
         *keys,
         "postings",

@@ -1,0 +1,14 @@
+"""What the optimizer knows about the size of a frame, without running it."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Estimate from the sizes of the files and the widths of the columns.
+
+    Files are compressed, so limits on it need some room. Joins without
+    statistics count as the product of their sides: far too large, never small.
+    """
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from ..sizes import estimated_bytes
+
 # Inputs above this size are never shuffled just to use more cores.
 SMALL_BYTES = 256 * 1024 * 1024
 
@@ -16,8 +18,8 @@ def spread(df: DataFrame) -> DataFrame:
     planning: input with enough pieces, and any large one, stays as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    execution = df._jdf.queryExecution()
-    size = int(str(execution.optimizedPlan().stats().sizeInBytes()))
-    if size > SMALL_BYTES or execution.toRdd().getNumPartitions() >= cores:
+    if estimated_bytes(df) > SMALL_BYTES:
+        return df
+    if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
         return df
     return df.repartition(cores)
