@@ -10,9 +10,12 @@ from ..schema import POSTINGS, PostingColumns, struct_of
 
 
 def _options(multi_line: bool) -> dict[str, str]:
-    # JSON inside a cell holds quotes; they are written doubled.
+    # JSON inside a cell holds quotes; they are written doubled. A missing cell
+    # is null and a quoted empty one an empty text, which the reader only tells
+    # apart if null has a mark of its own.
     return {
         "header": "true",
+        "nullValue": "\u0000",
         "quote": '"',
         "escape": '"',
         "multiLine": str(multi_line).lower(),
@@ -81,4 +84,4 @@ def read_csv_where(
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Write rows as CSV files that :func:`read_raw_csv` reads back unchanged."""
-    df.write.mode(mode).options(header=True, quote='"', escape='"', emptyValue='""').csv(path)
+    df.write.mode(mode).options(header=True, quote='"', escape='"').csv(path)

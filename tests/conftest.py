@@ -59,6 +59,7 @@ RAW_DEFAULTS = {
 @pytest.fixture(scope="session")
 def spark():
     session = local_session("4", "4g")
+    session.conf.set("spark.sql.maxMetadataStringLength", 10000)  # whole plans in texts
     yield session
     session.stop()
 
