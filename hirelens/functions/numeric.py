@@ -1,7 +1,8 @@
 """Ratios, rounding and number-to-text with the rules the reports rely on.
 
 All of these are plain column expressions: they stay inside whole-stage
-code generation and never call Python per row.
+code generation and never call Python per row. Operands are SQL expressions,
+mostly just column names; the ``_sql`` functions return such an expression.
 """
 
 from __future__ import annotations
@@ -9,9 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NAN, INF = float("nan"), float("inf")
-
-
 def total(col: str | Column) -> Column:
     """Sum that is 0, not null, over no rows or only nulls."""
     return F.coalesce(F.sum(col), F.lit(0))
@@ -23,7 +21,7 @@ def count_where(condition: Column, col: str | Column | None = None) -> Column:
     return F.count(F.when(condition, counted))
 
 
-def ratio(num: str | Column, den: str | Column, on_zero: str = "ieee") -> Column:
+def ratio_sql(num: str, den: str, on_zero: str = "ieee") -> str:
     """Floating-point quotient with an explicit rule for a zero denominator.
 
     ``ieee``        x/0 is +-infinity and 0/0 is NaN
@@ -31,44 +29,55 @@ def ratio(num: str | Column, den: str | Column, on_zero: str = "ieee") -> Column
     ``null``        x/0 is null
     ``zero``        x/0, null/x and x/null are all 0
     """
-    n = (F.col(num) if isinstance(num, str) else num).cast("double")
-    d = (F.col(den) if isinstance(den, str) else den).cast("double")
+    n, d = f"double({num})", f"double({den})"
+    quotient = f"try_divide({n}, {d})"
     if on_zero == "null":
-        return F.try_divide(n, d)
+        return quotient
     if on_zero == "zero":
-        return F.coalesce(F.try_divide(n, d), F.lit(0.0))
+        return f"coalesce({quotient}, 0D)"
     if on_zero not in ("ieee", "nan_to_zero"):
         raise ValueError(f"unknown rule {on_zero!r}")
-    undefined = 0.0 if on_zero == "nan_to_zero" else NAN
-    at_zero = (
-        F.when(n > 0, F.lit(INF)).when(n < 0, F.lit(-INF)).when(n == 0, F.lit(undefined))
-    )
-    return F.when(d == 0, at_zero).otherwise(F.try_divide(n, d))
+    undefined = "0D" if on_zero == "nan_to_zero" else "double('NaN')"
+    infinite = f"WHEN {n} > 0 THEN double('Infinity') WHEN {n} < 0 THEN -double('Infinity')"
+    at_zero = f"CASE {infinite} WHEN {n} = 0 THEN {undefined} END"
+    return f"CASE WHEN {d} = 0 THEN {at_zero} ELSE {quotient} END"
 
 
-def round_even(col: str | Column, digits: int) -> Column:
+def round_sql(value: str, digits: int) -> str:
     """Round to ``digits`` decimals, halves to the even neighbour."""
-    c = F.col(col) if isinstance(col, str) else col
-    scale = float(10**digits)
-    return F.rint(c * F.lit(scale)) / F.lit(scale)
+    scale = f"{float(10**digits)!r}D"
+    return f"(rint(({value}) * {scale}) / {scale})"
+
+
+def ratio(
+    num: str, den: str, on_zero: str = "ieee", times: int = 1, digits: int | None = None
+) -> Column:
+    """``ratio_sql`` as a column, optionally multiplied (percentages) and rounded."""
+    sql = ratio_sql(num, den, on_zero)
+    if times != 1:
+        sql = f"({sql}) * {times}"
+    return F.expr(sql if digits is None else round_sql(sql, digits))
+
+
+def round_even(value: str, digits: int) -> Column:
+    return F.expr(round_sql(value, digits))
 
 
-def _finite_text(c: Column, text: Column) -> Column:
-    return (
-        F.when(c.isNull() | F.isnan(c), F.lit("nan"))
-        .when(c == INF, F.lit("inf"))
-        .when(c == -INF, F.lit("-inf"))
-        .otherwise(text)
+def _finite_text(value: str, text: str) -> Column:
+    return F.expr(
+        f"CASE WHEN {value} IS NULL OR isnan({value}) THEN 'nan' "
+        f"WHEN {value} = double('Infinity') THEN 'inf' "
+        f"WHEN {value} = -double('Infinity') THEN '-inf' ELSE {text} END"
     )
 
 
-def grouped_text(col: str | Column, digits: int = 0) -> Column:
+def grouped_text(value: str, digits: int = 0) -> Column:
     """``1,234.5``: thousands separators, fixed decimals; null and NaN print as nan."""
-    c = (F.col(col) if isinstance(col, str) else col).cast("double")
-    return _finite_text(c, F.format_number(c, digits))
+    v = f"double({value})"
+    return _finite_text(v, f"format_number({v}, {digits})")
 
 
-def fixed_text(col: str | Column, digits: int = 1) -> Column:
+def fixed_text(value: str, digits: int = 1) -> Column:
     """``1234.5``: fixed decimals without separators; null and NaN print as nan."""
-    c = (F.col(col) if isinstance(col, str) else col).cast("double")
-    return _finite_text(c, F.translate(F.format_number(c, digits), ",", ""))
+    v = f"double({value})"
+    return _finite_text(v, f"translate(format_number({v}, {digits}), ',', '')")

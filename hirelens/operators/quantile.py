@@ -38,8 +38,8 @@ _TOP = 2 * _LOWEST
 
 
 # Keys and values whose files take up to this size are sorted in one array per
-# group; packed tightly, that is still only some ten million values.
-SMALL_BYTES = 16 * 1024 * 1024
+# group. At a few packed bytes per posting that is some ten million values.
+SMALL_BYTES = 64 * 1024 * 1024
 
 
 def value_bin(value: str) -> str:

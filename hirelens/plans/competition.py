@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import fixed_text, grouped_text, ratio, round_even, total
+from ..functions.numeric import fixed_text, grouped_text, ratio, round_sql, total
+from ..functions.rules import name
 from ..operators.filters import matching
 from ..operators.quantile import (
     approx_quantiles,
@@ -61,7 +62,7 @@ def _with_median(stats: DataFrame, postings: DataFrame, c: PostingColumns) -> Da
     label = F.concat(
         F.col(c.category),
         F.lit(" ("),
-        fixed_text(round_even("apps_per_vac", 1), 1),
+        fixed_text(round_sql("apps_per_vac", 1), 1),
         F.lit(")"),
     )
     return attach(stats, medians, keys).select(
@@ -119,16 +120,17 @@ def contested_structure(
         F.sum(c.experience).alias("_years"),
         F.count(c.experience).alias("_with_years"),
     )
-    within, parent = Window.partitionBy(c.category, c.sector), Window.partitionBy(c.sector, c.level)
+    within = f"OVER (PARTITION BY {name(c.category)}, {name(c.sector)})"
+    parent = f"OVER (PARTITION BY {name(c.sector)}, {name(c.level)})"
     sums = reduced.select(
         "*",
-        ratio(
-            F.sum("_applications").over(within), F.sum("vacancies").over(within), "zero"
-        ).alias("apps_per_vac"),
+        ratio(f"sum(_applications) {within}", f"sum(vacancies) {within}", "zero").alias(
+            "apps_per_vac"
+        ),
         ratio("_years", "_with_years", "null").alias("avg_exp"),
-        ratio(
-            F.sum("_years").over(parent), F.sum("_with_years").over(parent), "null"
-        ).alias("broad_avg_exp"),
+        ratio(f"sum(_years) {parent}", f"sum(_with_years) {parent}", "null").alias(
+            "broad_avg_exp"
+        ),
     )
     place = F.dense_rank().over(whole_frame().orderBy(*by_competition(c)))
     contested = sums.withColumn("_place", place).withColumn(
@@ -169,17 +171,17 @@ def with_positioning(
     icon = F.when(above, F.lit("up")).otherwise(F.lit("down"))
 
     if style == "k":
-        def pay(name):
-            return F.concat(fixed_text(F.col(name) / 1000, 1), F.lit("k"))
+        def pay(column):
+            return F.concat(fixed_text(f"{column} / 1000", 1), F.lit("k"))
 
-        def years(name):
-            return fixed_text(name, 1)
+        def years(column):
+            return fixed_text(column, 1)
     else:
-        def pay(name):
-            return grouped_text(F.coalesce(F.col(name), F.lit(0.0)).try_cast("long"), 0)
+        def pay(column):
+            return grouped_text(f"try_cast(coalesce({column}, 0D) AS bigint)", 0)
 
-        def years(name):
-            return fixed_text(round_even(F.coalesce(F.col(name), F.lit(0.0)), 1), 1)
+        def years(column):
+            return fixed_text(round_sql(f"coalesce({column}, 0D)", 1), 1)
 
     def side(title, q1, q3, exp):
         pay_range = [F.lit("Pay: $"), pay(q1), F.lit("-$"), pay(q3)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import count_where, ratio, round_even, total
+from ..functions.numeric import count_where, ratio, ratio_sql, round_even, total
 from ..functions.rules import REPOST_YES
 from ..operators.quantile import attach, exact_median, quantiles_with_parent
 from ..operators.ranking import top_rows, whole_frame
@@ -54,7 +54,7 @@ def friction_premium(
     )
     rows = attach(top, medians, keys)
 
-    premium = (ratio("median_salary", "sector_median", "ieee") - 1) * 100
+    premium = f"({ratio_sql('median_salary', 'sector_median', 'ieee')} - 1) * 100"
     return rows.select(
         *keys,
         "postings",
@@ -64,8 +64,8 @@ def friction_premium(
         "repost_count",
         "sector_median",
         round_even(premium, 2).alias("salary_premium_pct"),
-        round_even(ratio("repost_count", "postings", "ieee") * 100, 2).alias("friction_pct"),
-        round_even(ratio("applications", "vacancies", "null"), 2).alias("apps_per_vac"),
+        ratio("repost_count", "postings", "ieee", 100, 2).alias("friction_pct"),
+        ratio("applications", "vacancies", "null", digits=2).alias("apps_per_vac"),
     ).orderBy(F.col("vacancies").desc(), *keys)
 
 

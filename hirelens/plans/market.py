@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import ratio, round_even, total
+from ..functions.numeric import ratio, total
 from ..operators.ranking import top_rows, whole_frame
 from ..schema import POSTINGS, PostingColumns
 
@@ -20,8 +20,8 @@ ZONES = {
 
 def market_map(postings: DataFrame, c: PostingColumns = POSTINGS) -> DataFrame:
     """One row per sub-sector. A sub-sector has one sector, so ``min`` is that one."""
-    views = round_even(ratio("views", "postings", "ieee"), 2)
-    apps = round_even(ratio("applications", "vacancies", "ieee"), 2)
+    views = ratio("views", "postings", "ieee", digits=2)
+    apps = ratio("applications", "vacancies", "ieee", digits=2)
     return (
         postings.groupBy(c.category)
         .agg(
@@ -44,10 +44,10 @@ def weighted_avg_views(postings: DataFrame, c: PostingColumns = POSTINGS) -> Dat
     """Views per posting over everything, one row."""
     return postings.agg(
         total(c.views).alias("views"), F.count(c.job_id).alias("postings")
-    ).select(_average_views(F.col("views"), F.col("postings")))
+    ).select(_average_views("views", "postings"))
 
 
-def _average_views(views: Column, postings: Column) -> Column:
+def _average_views(views: str, postings: str) -> Column:
     return F.coalesce(ratio(views, postings, "ieee"), F.lit(0.0)).alias("weighted_avg_views")
 
 
@@ -78,9 +78,7 @@ def market_zones(market: DataFrame, c: PostingColumns = POSTINGS) -> DataFrame:
     """
     split = market.withColumns(
         {
-            "weighted_avg_views": _average_views(
-                F.sum("views").over(whole_frame()), F.sum("postings").over(whole_frame())
-            ),
+            "weighted_avg_views": _average_views("sum(views) OVER ()", "sum(postings) OVER ()"),
             "median_vacancies": F.median("vacancies").over(whole_frame()),
         }
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import count_where, fixed_text, grouped_text, ratio, round_even, total
+from ..functions.numeric import count_where, fixed_text, grouped_text, ratio, total
 from ..functions.rules import REPOST_YES
 from ..operators.ranking import share_of_total
 from ..schema import DEFAULT_GRAIN, POSTINGS, PostingColumns
@@ -70,9 +70,9 @@ def timeline(
     postings: DataFrame, grain: str = DEFAULT_GRAIN, c: PostingColumns = POSTINGS
 ) -> DataFrame:
     """The timeline with applications per vacancy, exact and as plotted."""
-    per_vacancy = ratio("applications", "vacancies", "nan_to_zero")
+    rule = ("applications", "vacancies", "nan_to_zero")
     return timeline_sums(postings, grain, c).withColumns(
-        {"apps_per_vacancy": per_vacancy, "apps_per_vacancy_plotted": round_even(per_vacancy, 2)}
+        {"apps_per_vacancy": ratio(*rule), "apps_per_vacancy_plotted": ratio(*rule, digits=2)}
     )
 
 

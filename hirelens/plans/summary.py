@@ -12,12 +12,11 @@ from ..functions.numeric import (
     fixed_text,
     grouped_text,
     ratio,
-    round_even,
     total,
 )
-from ..functions.rules import REPOST_YES
+from ..functions.rules import REPOST_YES, name
 from ..operators.quantile import attach, exact_median, quantiles_with_parent
-from ..operators.ranking import argmax, top_rows, whole_frame
+from ..operators.ranking import argmax, top_rows
 from ..schema import POSTINGS, PostingColumns
 from .titles import frequent_titles
 
@@ -121,14 +120,14 @@ def _sums(postings: DataFrame, c: PostingColumns) -> DataFrame:
             F.min("_leading.pick").alias("top_seniority"),
         )
     )
-    sector = Window.partitionBy(c.sector)
-    years, with_years = F.sum("_years").over(sector), F.sum("_with_years").over(sector)
+    sector = f"OVER (PARTITION BY {name(c.sector)})"
+    years, with_years = f"sum(_years) {sector}", f"sum(_with_years) {sector}"
     return rows.withColumns(
         {
             "avg_exp": ratio("_years", "_with_years", "null"),
             "parent_avg_exp": ratio(years, with_years, "null"),
-            "_all_vacancies": _or_one(F.sum("vacancies").over(whole_frame())),
-            "_all_applications": _or_one(F.sum("applications").over(whole_frame())),
+            "_all_vacancies": _or_one(F.expr("sum(vacancies) OVER ()")),
+            "_all_applications": _or_one(F.expr("sum(applications) OVER ()")),
         }
     )
 
@@ -154,8 +153,8 @@ def sectoral_table(
         {
             "pct_vacancies": _percent("vacancies", "_all_vacancies"),
             "pct_applications": _percent("applications", "_all_applications"),
-            "apps_per_vac": round_even(ratio("applications", "vacancies", "ieee"), 1),
-            "views_per_post": round_even(ratio("views", "postings", "ieee"), 1),
+            "apps_per_vac": ratio("applications", "vacancies", "ieee", digits=1),
+            "views_per_post": ratio("views", "postings", "ieee", digits=1),
             "pct_reposts": _percent("job_reposts", "postings"),
         }
     )
@@ -207,7 +206,7 @@ def sectoral_table(
 
 
 def _percent(part: str, whole: str) -> Column:
-    return round_even(ratio(part, whole, "ieee") * 100, 1)
+    return ratio(part, whole, "ieee", 100, 1)
 
 
 def salary_indicator(own: str, parent: str) -> Column:
@@ -244,18 +243,18 @@ def report(
 def formatted(table: DataFrame) -> DataFrame:
     """The table with its numbers as texts."""
 
-    def money(name):
-        known = F.col(name).isNotNull() & ~F.isnan(name)
-        return F.when(known, F.concat(F.lit("S$ "), grouped_text(name, 0))).otherwise(F.lit("-"))
+    def money(column):
+        known = F.col(column).isNotNull() & ~F.isnan(column)
+        return F.when(known, F.concat(F.lit("S$ "), grouped_text(column, 0))).otherwise(F.lit("-"))
 
-    def years(name):
-        return F.concat(fixed_text(name, 1), F.lit(" yrs"))
+    def years(column):
+        return F.concat(fixed_text(column, 1), F.lit(" yrs"))
 
-    def percent(name):
-        return F.concat(fixed_text(name, 1), F.lit("%"))
+    def percent(column):
+        return F.concat(fixed_text(column, 1), F.lit("%"))
 
-    def whole(name):
-        return grouped_text(name, 0)
+    def whole(column):
+        return grouped_text(column, 0)
 
     texts = {
         "median_salary": money,
