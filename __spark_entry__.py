@@ -6,6 +6,7 @@ operator of ``hirelens`` on them.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -62,10 +63,15 @@ def _counted(df: DataFrame, *columns) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one the cluster shares between its machines."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if shared is None:
-        raise RuntimeError("spark.checkpoint.dir must name a folder all executors can reach")
+    """A new folder below the one the cluster shares between its machines.
+
+    Only a local session without such a setting gets a folder of its own.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder all executors can reach")
+        shared = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     return f"{shared.rstrip('/')}/hirelens-{uuid.uuid4().hex}"
 
 

@@ -17,7 +17,15 @@ import tempfile
 import time
 
 from checks.session import local_session
-from hirelens import FilterSpec, apply_filters, build_clean, dashboard, read_clean, write_csv
+from hirelens import (
+    FilterSpec,
+    apply_filters,
+    build_clean,
+    collect_all,
+    dashboard,
+    read_clean,
+    write_csv,
+)
 from hirelens.plans import competition, friction, market, pulse, summary, titles
 from hirelens.sources.star_tables import raw_postings
 
@@ -91,8 +99,7 @@ def main() -> None:
 
     def everything():
         with dashboard(stored, FILTERS) as parts:
-            for part in parts.values():
-                part.collect()
+            collect_all(parts)
 
     times["whole_dashboard_filtered"] = timed(everything, runs=1)
     print(

@@ -2,7 +2,7 @@
 
 from .operators.filters import FilterSpec, apply_filters
 from .plans.cleaning import clean_postings
-from .plans.dashboard import dashboard, reports
+from .plans.dashboard import collect_all, dashboard, reports
 from .schema import POSTINGS, PostingColumns
 from .sources.clean_store import build_clean, ensure_clean, kept, read_clean, write_clean
 from .sources.raw_csv import read_csv_where, read_raw_csv, write_csv
@@ -14,6 +14,7 @@ __all__ = [
     "apply_filters",
     "build_clean",
     "clean_postings",
+    "collect_all",
     "dashboard",
     "ensure_clean",
     "kept",

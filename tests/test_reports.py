@@ -7,7 +7,7 @@ import math
 from conftest import dicts, plan
 from pyspark.sql import functions as F
 
-from hirelens import FilterSpec, apply_filters, dashboard
+from hirelens import FilterSpec, apply_filters, collect_all, dashboard
 from hirelens.operators import domains, filters
 from hirelens.plans import competition, friction, market, pulse, summary, titles
 
@@ -381,6 +381,8 @@ def test_dashboard_keeps_and_releases(spark, clean):
     with dashboard(p, FilterSpec(level="L1")) as reports:
         cards = {r.label: r.value for r in reports["kpi_cards"].collect()}
         assert cards["Total Applications"] == "60" and cards["Job Reposts"] == "12"
-        assert all(df.count() > 0 for df in reports.values())
+        rows = collect_all(reports)
+        assert rows.keys() == reports.keys() and all(rows.values())
+        assert rows["timeline"] == reports["timeline"].collect()
         assert "InMemoryTableScan" in plan(reports["timeline"])
     assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
