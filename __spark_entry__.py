@@ -6,8 +6,6 @@ operator of ``hirelens`` on them.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +18,16 @@ from hirelens.operators import domains
 from hirelens.plans import cleaning, competition, friction, market, pulse, summary, titles
 from hirelens.sources.clean_store import build_clean
 from hirelens.sources.raw_csv import write_csv
+from hirelens.sources.shared import scratch_folder
 from hirelens.sources.star_tables import raw_postings
 
+try:
+    import hirelens.llm.registry as training_data
+except ModuleNotFoundError as missing:  # the subpackage is optional
+    if missing.name not in ("hirelens.llm", "hirelens.llm.registry", "corpus_pipeline"):
+        raise
+    training_data = None
+
 C = POSTINGS
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,22 +68,9 @@ def _counted(df: DataFrame, *columns) -> DataFrame:
     return df.groupBy(*columns).agg(F.count(F.lit(1)).alias("postings"))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one the cluster shares between its machines.
-
-    Only a local session without such a setting gets a folder of its own.
-    """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder all executors can reach")
-        shared = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    return f"{shared.rstrip('/')}/hirelens-{uuid.uuid4().hex}"
-
-
 def ingest_csv_to_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw postings to CSV files, those through the ingest job to Parquet, and its scan."""
-    folder = shared_folder(spark)
+    folder = scratch_folder(spark)
     write_csv(raw_postings(spark, sf_dir), f"{folder}/raw_csv")
     return build_clean(
         spark,
@@ -100,7 +93,8 @@ def entry(spark: SparkSession) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     on, raw = _on_postings, _on_raw
-    return {
+    extra = training_data.queries() if training_data else {}
+    return extra | {
         # cleaning
         "clean_postings": postings,
         "ingest_csv_to_parquet": ingest_csv_to_parquet,
@@ -212,4 +206,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return statements()
+    return statements() | (training_data.oracle_sql() if training_data else {})
