@@ -199,7 +199,4 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     comes the first (a single document follows itself). Rows that share an id
     follow each other by text; a null id is the largest. No rows give no rows.
     """
-    rows = with_successors(docs).withColumn(
-        "doc_id", F.col("doc_id")
-    )
-    return rows.select("range", "extra", "doc_id", "text").mapInPandas(_compared, LIKENESS)
+    return with_successors(docs).select("range", "extra", "doc_id", "text").mapInPandas(_compared, LIKENESS)

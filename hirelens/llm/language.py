@@ -133,9 +133,9 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
             yield pd.DataFrame({"lang_pred": names, "score": np.array(scores, float)})
 
     judged = F.pandas_udf(judge, "lang_pred string, score double")
-    rows = docs.withColumn("__judged", judged("text"))
+    rows = docs.select(F.struct("*").alias("row"), judged("text").alias("judged"))
     return rows.select(
-        *(f"`{c}`" for c in docs.columns if c not in ("lang_pred", "score")),
-        "__judged.lang_pred",
-        "__judged.score",
+        *(F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("lang_pred", "score")),
+        "judged.lang_pred",
+        "judged.score",
     )

@@ -130,39 +130,27 @@ def lost_lines(docs: DataFrame, *, min_chars: int = 10, batches: int = 4, fanout
     return found
 
 
-def with_kept_text(docs: DataFrame, lost: DataFrame) -> DataFrame:
-    """``docs`` with __n_lines, __n_dropped and __kept (the other lines, joined).
+def kept_lines(docs: DataFrame, lost: DataFrame) -> DataFrame:
+    """(row, n_lines, n_dropped, kept): each row of ``docs`` and its other lines, joined.
 
-    A document whose lines are all dropped has an empty text; a null text
-    without lost lines is one empty line and comes out as the empty text.
+    A document whose lines are all dropped has an empty text; a null text is
+    one empty line and comes out as the empty text.
     """
-    gone = lost.groupBy(
-        F.col("doc").alias("__doc"), F.col("version").alias("__version")
-    ).agg(F.array_sort(F.collect_set("pos")).alias("__gone"))
-    doc, version = _document()
-    rows = docs.select("*", doc.alias("__doc"), version.alias("__version")).join(
-        gone, ["__doc", "__version"], "left"
-    )
-    rows = rows.withColumn("__lines", _lines())
-    ends = F.concat("__gone", F.array(F.size("__lines")))
-    starts = F.concat(F.array(F.lit(0)), F.transform("__gone", lambda p: p + 1))
-    spans = F.flatten(
-        F.transform(
-            F.arrays_zip(starts.alias("a"), ends.alias("b")),
-            lambda x: F.slice(F.col("__lines"), x["a"] + 1, x["b"] - x["a"]),
-        )
-    )
-    kept = F.when(F.col("__gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(
-        F.array_join(spans, "\n")
-    )
+    gone = lost.groupBy("doc", "version").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
+    rows = docs.select(F.struct("*").alias("row"), "text", *_document())
+    rows = rows.join(gone, ["doc", "version"], "left").withColumn("lines", _lines())
+    # What stays between two dropped lines is a slice; so the work is linear in the lines.
+    ends = F.concat("gone", F.array(F.size("lines")))
+    starts = F.concat(F.array(F.lit(0)), F.transform("gone", lambda p: p + 1))
+    spans = F.zip_with(starts, ends, lambda a, b: F.slice(F.col("lines"), a + 1, b - a))
+    none = F.col("gone").isNull()
     return rows.select(
-        *(f"`{c}`" for c in docs.columns),
-        F.size("__lines").cast("long").alias("__n_lines"),
-        F.when(F.col("__gone").isNull(), 0)
-        .otherwise(F.size("__gone"))
-        .cast("long")
-        .alias("__n_dropped"),
-        kept.alias("__kept"),
+        "row",
+        F.size("lines").cast("long").alias("n_lines"),
+        F.when(none, 0).otherwise(F.size("gone")).cast("long").alias("n_dropped"),
+        F.when(none, F.coalesce("text", F.lit("")))
+        .otherwise(F.array_join(F.flatten(spans), "\n"))
+        .alias("kept"),
     )
 
 
@@ -171,8 +159,7 @@ def dedup_lines(docs: DataFrame, **how) -> DataFrame:
 
     n_chars, if there, follows the new text.
     """
-    found = with_kept_text(docs, lost_lines(docs, **how))
-    new = {"text": F.col("__kept")}
-    if "n_chars" in docs.columns:
-        new["n_chars"] = F.length("__kept").cast("long")
-    return found.withColumns(new).select(*(f"`{c}`" for c in docs.columns))
+    new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return kept_lines(docs, lost_lines(docs, **how)).select(
+        *(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns)
+    )

@@ -3,7 +3,9 @@
 Documents are cut at multiples of the sequence length; the pieces are dealt by
 hash into groups of a bounded number of tokens. Within a group pieces go, by
 descending cost, to the sequence with the lowest estimated cost (linear plus
-quadratic in the length of each piece) that still has room.
+quadratic in the length of each piece) that has room for them. A piece for which
+no sequence has room is cut: the cheapest sequence with any room left takes what
+it can. So all the padding of a group is less than one sequence.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from hirelens.sources.shared import scratch_folder, stored
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
+NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 END_ID = 0
 # A space between two white-space characters (or before the end) belongs to their run.
 JOINED = re.compile(r"\s (?:\s|\Z)")
@@ -67,6 +70,7 @@ def pieces(docs: DataFrame, vocabulary: str, length: int = 1024) -> DataFrame:
     """Tokenize (doc_id, text) and cut: one row per piece of at most ``length`` ids.
 
     A document's ids end with id 0, so a null or empty text has that one id.
+    Pieces that may be cut again carry their ids, 32-bit little-endian.
     """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -80,29 +84,34 @@ def pieces(docs: DataFrame, vocabulary: str, length: int = 1024) -> DataFrame:
                     n = len(ids) // 4
                     for start in range(0, n, length):
                         piece = ids[4 * start : 4 * (start + length)]
-                        rows.append((doc, start, len(piece) // 4, zlib.crc32(piece), n))
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                        rest = bytes(piece) if n - start < length else None
+                        rows.append((doc, start, len(piece) // 4, zlib.crc32(piece), n, rest))
+            out = pd.DataFrame(rows, columns=[*NAMES, "ids"])
             yield out.astype({"doc_id": "Int64"})
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInPandas(cut, PIECES)
+    return rows.mapInPandas(cut, f"{PIECES}, ids binary")
 
 
-def assign(lengths: np.ndarray, room: int, linear: float, quadratic: float) -> tuple[np.ndarray, np.ndarray]:
-    """Sequence and offset of each piece; ``lengths`` must descend."""
-    n = max(1, math.ceil(int(lengths.sum()) / room))
+def assign(lengths: list[int], room: int, linear: float, quadratic: float) -> list[tuple[int, int, int, int, int]]:
+    """(piece, from, length, sequence, offset) for pieces in descending order of length."""
+    n = max(1, math.ceil(sum(lengths) / room))
     used, cost = np.zeros(n, np.int64), np.zeros(n)
-    sequence, offset = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
-    for i, size in enumerate(lengths.tolist()):
-        fits = used <= room - size
-        at = int(np.where(fits, cost, np.inf).argmin())
-        if not fits[at]:
-            at = len(used)
-            used, cost = np.append(used, np.zeros(n, np.int64)), np.append(cost, np.zeros(n))
-        sequence[i], offset[i] = at, used[at]
-        used[at] += size
-        cost[at] += linear * size + quadratic * size * size
-    return sequence, offset
+    out = []
+    for i, size in enumerate(lengths):
+        at = 0
+        while at < size:
+            rest = size - at
+            fits = used <= room - rest
+            if not fits.any():
+                fits = used < room
+            k = int(np.where(fits, cost, np.inf).argmin())
+            part = min(rest, room - int(used[k]))
+            out.append((i, at, part, k, int(used[k])))
+            used[k] += part
+            cost[k] += linear * part + quadratic * part * part
+            at += part
+    return out
 
 
 def pack(
@@ -128,11 +137,17 @@ def pack(
         group = group.sort_values(
             ["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True]
         ).reset_index(drop=True)
-        sequence, offset = assign(group["length"].to_numpy(), length, linear, quadratic)
-        _, sequence = np.unique(sequence, return_inverse=True)
-        group["sequence_id"] = group.pop("dealt").iloc[0] * (1 << 32) + sequence
-        group["offset"] = offset
-        return group
+        first, ids = int(group["dealt"].iloc[0]) << 32, group["ids"]
+        whole = group[NAMES].itertuples(index=False, name=None)
+        whole = [(None if pd.isna(r[0]) else r[0], *r[1:]) for r in whole]
+        rows = []
+        for i, at, part, k, offset in assign(group["length"].tolist(), length, linear, quadratic):
+            doc, start, size, crc, tokens = whole[i]
+            if part < size:
+                crc = zlib.crc32(memoryview(ids[i])[4 * at : 4 * (at + part)])
+            rows.append((doc, start + at, part, crc, tokens, first + k, offset))
+        out = pd.DataFrame(rows, columns=[*NAMES, "sequence_id", "offset"])
+        return out.astype({"doc_id": "Int64"})
 
     dealt = F.pmod(
         F.xxhash64("doc_id", "start", F.monotonically_increasing_id()), F.lit(groups)

@@ -21,6 +21,8 @@ from hirelens.llm.sampling import small_hashes
 
 GOOD, BAD, NOTHING = 2, 1, 0
 BUCKETS = 1024
+FEW = 30  # added to lengths, so that a share in a few characters says little
+SHARE = 0.3  # weight of the prior against that of the documents
 BLOCK = 1 << 22
 SYMBOLS = b"#$%&*|!<>{}=+~^_\\/@[]"
 UPPER = bytes(range(65, 91))
@@ -37,18 +39,18 @@ def _vote(value: float, good: float, bad: float) -> int:
 
 # What the labellers look at, in the order of their votes.
 LABELLERS = (
-    "repeated_neighbours", "commonest_word", "upper_case", "symbols", "bars", "shouts",
+    "repeated_neighbours", "repeated_pairs", "commonest_word", "upper_case", "symbols", "bars", "shouts",
     "marked_words", "sentences", "word_length",
 )
 
 
 def facts(text: str) -> tuple[list[str], float, float]:
-    """Words, the share of words that repeat the one before, the share of the commonest word."""
+    """Words, the (shrunk) share of words that repeat the one before, the share of the commonest word."""
     words = text.split()
     n = len(words)
     if not n:
         return words, 0.0, 0.0
-    again = sum(map(str.__eq__, words, words[1:])) / n
+    again = sum(map(str.__eq__, words, words[1:])) / (n + 10)  # in a few words one repeat says little
     return words, again, Counter(words).most_common(1)[0][1] / n
 
 
@@ -67,9 +69,10 @@ def votes(text: str) -> str:
     chars = (len(text) - n + 1) / n
     found = (
         _vote(again, 0.02, 0.1) if n >= 5 else NOTHING,
+        _vote(1 - len(set(zip(words, words[1:]))) / (n - 1), 0.3, 0.5) if n >= 20 else NOTHING,
         _vote(commonest, 0.12, 0.2) if n >= 30 else NOTHING,
-        _vote(upper / size, 0.1, 0.2),
-        _vote(symbols / size, 0.01, 0.04),
+        _vote(upper / (size + FEW), 0.1, 0.2),
+        _vote(symbols / (size + FEW), 0.01, 0.04),
         _vote(text.count(" | ") / n, 0.02, 0.1),
         _vote(text.count("!!") / n, 0.02, 0.1),
         _vote(marked, 0.05, 0.2),
@@ -88,7 +91,7 @@ def features(text: str) -> np.ndarray:
         code = (shape[:-2] << 16) | (shape[1:-1] << 8) | shape[2:]
         counts += np.bincount((code * np.uint32(2654435761)) >> np.uint32(22), minlength=BUCKETS)
     total = counts.sum()
-    shares = np.sqrt(counts / total) if total else counts
+    shares = np.sqrt(counts / (total + FEW))
     return np.concatenate([shares, [np.sqrt(again), commonest, 1.0]]).astype(np.float32)
 
 
@@ -106,21 +109,28 @@ class QualityModel:
 
 
 def posteriors(patterns: np.ndarray, good: float, chances: np.ndarray) -> np.ndarray:
-    """Chance of good for each row of votes; chances has the shape (2, labellers, 3)."""
+    """Chance of good for each row of votes; chances has the shape (2, labellers, 3).
+
+    A labeller that casts no vote says nothing: its chance is 1 for either class.
+    """
     at = np.arange(patterns.shape[1])
     logs = np.log(chances[:, at, patterns]).sum(axis=2) + np.log([[1 - good], [good]])
     return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))
 
 
 def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 50) -> tuple[float, np.ndarray]:
-    """Expectation-maximisation, started from the majority of the votes."""
-    goods, bads = (patterns == GOOD).sum(axis=1), (patterns == BAD).sum(axis=1)
-    chance = np.clip((goods - 2 * bads) / patterns.shape[1] + 0.5, 0.05, 0.95)
+    """Expectation-maximisation, started from the share of bad votes among those cast."""
+    bads, cast = (patterns == BAD).sum(axis=1), (patterns != NOTHING).sum(axis=1)
+    chance = np.clip(0.95 - 4 * bads / np.maximum(cast, 1), 0.05, 0.95)
     for _ in range(rounds):
         weight = np.stack([(1 - chance) * counts, chance * counts])
         good = (weight[1].sum() + 1) / (counts.sum() + 2)
-        chances = np.stack([weight @ (patterns == v) for v in (NOTHING, BAD, GOOD)], axis=2) + 1.0
-        chances /= chances.sum(axis=2, keepdims=True)
+        cast = np.stack([weight @ (patterns == v) for v in (BAD, GOOD)], axis=2) + 1.0
+        # Prior: no labeller sees every kind of bad text, and on good text all are mostly right.
+        cast[0] += weight[0].sum() * SHARE / 2
+        cast[1, :, 1] += weight[1].sum() * SHARE
+        cast /= cast.sum(axis=2, keepdims=True)
+        chances = np.concatenate([np.ones_like(cast[:, :, :1]), cast], axis=2)
         chance = posteriors(patterns, good, chances)
     return float(good), chances
 
@@ -158,7 +168,7 @@ def train(docs: DataFrame, *, rows: int = 4000, threshold: float = 0.5) -> Quali
     counted = docs.select(_votes_of().alias("votes")).groupBy("votes").count().orderBy("votes").collect()
     width = BUCKETS + 3
     if not counted:
-        return QualityModel(0.5, np.full((2, len(LABELLERS), 3), 1 / 3), np.zeros(width), threshold)
+        return QualityModel(0.5, np.ones((2, len(LABELLERS), 3)), np.zeros(width), threshold)
     patterns = np.array([list(map(int, r["votes"])) for r in counted])
     counts = np.array([r["count"] for r in counted], float)
     good, chances = estimate(patterns, counts)

@@ -120,19 +120,15 @@ def cut(text: str, spans: str, mark: str) -> str:
 def redact(docs: DataFrame, ledger: str | None = None, rules=RULES, mark: str = "[secret]") -> DataFrame:
     """``docs`` with every span replaced by ``mark`` (overlapping ones by one); n_chars follows."""
     ledger = ledger or scratch_folder(docs.sparkSession, "ledger")
-    found = (
-        scan_new(docs, ledger, rules)
-        .where("spans <> ''")
-        .select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
-    )
-    rows = docs.withColumn("__blob", F.sha2("text", 256)).join(found, "__blob", "left")
+    found = scan_new(docs, ledger, rules).where("spans <> ''").select("blob", "spans")
 
     @F.pandas_udf("string")
     def cleaned(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([t if s is None else cut(t, s, mark) for t, s in zip(texts, spans)], dtype=object)
 
-    clean = cleaned("text", "__spans")
-    new = {"text": clean}
+    rows = docs.select(F.struct("*").alias("row"), F.sha2("text", 256).alias("blob"))
+    rows = rows.join(found, "blob", "left").withColumn("clean", cleaned("row.text", "spans"))
+    new = {"text": F.col("clean")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length(clean))
-    return rows.withColumns(new).select(*(f"`{c}`" for c in docs.columns))
+        new["n_chars"] = F.when(F.col("spans").isNull(), F.col("row.n_chars")).otherwise(F.length("clean"))
+    return rows.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))

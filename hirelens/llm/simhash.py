@@ -151,10 +151,9 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
         .distinct()
     )
     # A repeated id with other texts: only the text whose fingerprint is kept.
-    rows = docs.withColumn("__fp", fingerprint_column("text", how.get("words", 3)))
-    joined = rows.join(
-        kept.select(F.col("doc_id").alias("__id"), F.col("fp").alias("__kept")),
-        F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__kept")),
-        "left_semi",
+    rows = docs.select(
+        F.struct("*").alias("row"), "doc_id", fingerprint_column("text", how.get("words", 3)).alias("fp")
     )
-    return joined.dropDuplicates(["doc_id", "__fp"]).select(*(f"`{c}`" for c in docs.columns))
+    same = rows.doc_id.eqNullSafe(kept.doc_id) & (rows.fp == kept.fp)
+    chosen = rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "fp"])
+    return chosen.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))

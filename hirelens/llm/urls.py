@@ -63,19 +63,14 @@ def matching_rule(host: Column, path: Column, rules: list[Rule]) -> tuple[Column
 def _grams(part: Column, kind: str, sizes: tuple[int, ...], buckets: int) -> list[Column]:
     """Bucket numbers of all n-grams of ``<part>`` with end marks."""
     marked = F.concat(F.lit("<"), part, F.lit(">"))
-    length = F.length(marked)
-    return [
-        F.when(
-            length >= n,
-            F.transform(
-                F.sequence(F.lit(1), F.greatest(length - (n - 1), F.lit(1))),
-                lambda i, n=n: F.pmod(
-                    F.xxhash64(F.lit(kind), F.substr(marked, i, F.lit(n))), F.lit(buckets)
-                ).cast("int"),
-            ),
-        ).otherwise(F.array().cast("array<int>"))
-        for n in sizes
-    ]
+
+    def hashed(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(marked) - (n - 1), F.lit(1)))
+        gram = lambda i: F.xxhash64(F.lit(kind), F.substr(marked, i, F.lit(n)))
+        found = F.transform(starts, lambda i: F.pmod(gram(i), F.lit(buckets)).cast("int"))
+        return F.when(F.length(marked) >= n, found).otherwise(F.array().cast("array<int>"))
+
+    return [hashed(n) for n in sizes]
 
 
 def features(host: Column, path: Column, buckets: int, sizes: tuple[int, ...] = (2, 3, 4)) -> Column:
