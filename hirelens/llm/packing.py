@@ -10,9 +10,11 @@ it can. So all the padding of a group is less than one sequence.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,44 +28,58 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 END_ID = 0
+# Fixed value: the pattern of the byte-level vocabulary.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # A space between two white-space characters (or before the end) belongs to their run.
 JOINED = re.compile(r"\s (?:\s|\Z)")
 
 
-class WordIds:
+def byte_alphabet() -> dict[str, int]:
+    """The character that stands for each byte in a byte-level vocabulary file."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+class WordIds(dict):
     """Ids of texts as bytes, by a table of the words met so far.
 
     The vocabulary's pattern never lets a piece reach over a space that starts
     a word, so a text's ids are those of its words one after the other. A text
-    with a longer run of white space is encoded as a whole.
+    with a longer run of white space is encoded as a whole. The vocabulary is
+    read from its tokenizers file; tiktoken, which gives the same ids, encodes.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.most, self.known = most, {}
-
-    def encoded(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        whole = [i for i, t in enumerate(texts) if JOINED.search(t)]
-        words = [t.split(" ") for t in texts]
-        for i in whole:
-            words[i] = [""]
-        if len(self.known) > self.most:
-            self.known.clear()
-        known = self.known
-        new = list({w for ws in words for w in ws[1:] if w not in known})
-        known.update(zip(new, self.encoded([" " + w for w in new])))
-        firsts = self.encoded([ws[0] for ws in words])
-        out = [a + b"".join(map(known.__getitem__, ws[1:])) for a, ws in zip(firsts, words)]
-        for i, ids in zip(whole, self.encoded([texts[i] for i in whole])):
-            out[i] = ids
-        return out
+    def __init__(self, path: str, most: int = 300_000):
+        import tiktoken
+
+        super().__init__()
+        with open(path, encoding="utf-8") as file:
+            described = json.load(file)
+        special = {t["content"] for t in described["added_tokens"]}
+        letters = byte_alphabet()
+        ranks = {
+            bytes(letters[c] for c in token): number
+            for token, number in described["model"]["vocab"].items()
+            if token not in special
+        }
+        coding = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.ids, self.most = coding.encode_ordinary, most
+
+    def encoded(self, text: str) -> bytes:
+        return array("I", self.ids(text)).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        self[word] = found = self.encoded(" " + word)
+        return found
+
+    def __call__(self, text: str) -> bytes:
+        if JOINED.search(text):
+            return self.encoded(text)
+        if len(self) > self.most:
+            self.clear()
+        first, *words = text.split(" ")
+        return self.encoded(first) + b"".join(map(self.__getitem__, words))
 
 
 def pieces(docs: DataFrame, vocabulary: str, length: int = 1024) -> DataFrame:
@@ -77,15 +93,13 @@ def pieces(docs: DataFrame, vocabulary: str, length: int = 1024) -> DataFrame:
         encode = WordIds(vocabulary)
         for batch in batches:
             rows = []
-            for at in range(0, len(batch), 256):
-                part = batch.iloc[at : at + 256]
-                for doc, ids in zip(part["doc_id"], encode(part["text"].tolist())):
-                    ids = memoryview(ids + END_ID.to_bytes(4, "little"))
-                    n = len(ids) // 4
-                    for start in range(0, n, length):
-                        piece = ids[4 * start : 4 * (start + length)]
-                        rest = bytes(piece) if n - start < length else None
-                        rows.append((doc, start, len(piece) // 4, zlib.crc32(piece), n, rest))
+            for doc, text in zip(batch["doc_id"], batch["text"]):
+                ids = memoryview(encode(text) + END_ID.to_bytes(4, "little"))
+                n = len(ids) // 4
+                for start in range(0, n, length):
+                    piece = ids[4 * start : 4 * (start + length)]
+                    rest = bytes(piece) if n - start < length else None
+                    rows.append((doc, start, len(piece) // 4, zlib.crc32(piece), n, rest))
             out = pd.DataFrame(rows, columns=[*NAMES, "ids"])
             yield out.astype({"doc_id": "Int64"})
 
