@@ -12,6 +12,7 @@ its own between its two states.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,7 +29,7 @@ START = re.compile(r"(?<! ) ")
 CHUNK = 1 << 14
 GROUP = 256
 NEVER = -np.inf
-MOST_WORDS = 400_000
+MOST_WORDS = 150_000
 KEY = "doc long, version long"
 ENCODED = "doc_id long, ids binary, score double, n_chunks int"
 
@@ -42,10 +43,11 @@ class Pieces:
         model = SentencePieceProcessor(model_file=path)
         ids = range(model.get_piece_size())
         plain = [i for i in ids if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
-        self.score = {model.id_to_piece(i).replace(SPACE_MARK, " "): model.get_score(i) for i in plain}
-        self.id = {model.id_to_piece(i).replace(SPACE_MARK, " "): i for i in plain}
+        texts = {i: model.id_to_piece(i).replace(SPACE_MARK, " ") for i in plain}
+        self.id = {t: i for i, t in texts.items()}
+        self.score = {t: model.get_score(i) for i, t in texts.items()}
         self.bytes = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        self.text = {i: model.id_to_piece(i).replace(SPACE_MARK, " ").encode() for i in plain}
+        self.text = {i: t.encode() for i, t in texts.items()}
         self.text |= {i: bytes([b]) for b, i in enumerate(self.bytes)}
         # If only runs of blanks hold a blank after their first character, no piece reaches over
         # the start of such a run: from one run to the next a text can be solved on its own.
@@ -54,7 +56,13 @@ class Pieces:
             raise ValueError(f"piece {over[0]!r} reaches over the start of a word")
         self.longest = max(map(len, self.score), default=1)
         self.fallback = min(self.score.values(), default=0.0) - 10
-        self.known: dict[str, tuple[bytes, float]] = {}
+        # Pieces and all their beginnings; a beginning that is no piece can't be taken.
+        self.table = {p[:n]: NEVER for p in self.score for n in range(1, len(p))} | self.score
+        # Score by id; a character in bytes pays once, at its first byte.
+        self.scores = np.zeros(len(ids))
+        self.scores[list(texts)] = [self.score[t] for t in texts.values()]
+        self.scores[[i for b, i in enumerate(self.bytes) if not 0x80 <= b < 0xC0]] = self.fallback
+        self.known = Words(self)
 
     def forward(self, s: str, start: int, stop: int, last: int) -> tuple[list[float], list[int]]:
         """Best scores of segmenting s[start:end] for every end up to ``stop``, and the last starts.
@@ -65,50 +73,51 @@ class Pieces:
         n = stop - start
         best, back = [NEVER] * (n + 1), [0] * (n + 1)
         best[0] = 0.0
-        score, longest = self.score.get, self.longest
-        for end in range(1, n + 1):
-            top, at = NEVER, 0
-            low = max(0, end - longest)
-            for b in range(low, min(end, last - start + 1)):
-                if best[b] != NEVER:
-                    v = score(s[start + b : start + end])
-                    if v is not None and best[b] + v > top:
-                        top, at = best[b] + v, b
-            b = end - 1
-            if b <= last - start and s[start + b : start + end] not in self.score and best[b] + self.fallback > top:
-                top, at = best[b] + self.fallback, b
-            best[end], back[end] = top, at
+        get = self.table.get
+        for b in range(min(n, last - start + 1)):
+            so_far = best[b]
+            if so_far == NEVER:
+                continue
+            at = start + b
+            for end in range(b + 1, n + 1):
+                v = get(s[at : start + end])
+                if v is None:
+                    break
+                v += so_far
+                if v > best[end]:
+                    best[end], back[end] = v, b
+            if s[at] not in self.score and so_far + self.fallback > best[b + 1]:
+                best[b + 1], back[b + 1] = so_far + self.fallback, b
         return best, back
 
-    def between(self, s: str, start: int, stop: int, last: int | None = None) -> tuple[float, bytes]:
-        """Best score and ids of s[start:stop]."""
-        best, back = self.forward(s, start, stop, stop if last is None else last)
+    def between(self, s: str, start: int, stop: int, last: int | None = None) -> bytes:
+        """Ids of the best path through s[start:stop]."""
+        _, back = self.forward(s, start, stop, stop if last is None else last)
         ids, end = [], stop - start
         while end > 0:
             piece = s[start + back[end] : start + end]
-            if piece in self.score:
+            if piece in self.id:
                 ids.append(self.id[piece])
             else:
                 ids += [self.bytes[b] for b in reversed(piece.encode())]
             end = back[end]
-        return best[-1], np.array(ids[::-1], "<u4").tobytes()
-
-    def words(self, s: str) -> tuple[float, bytes]:
-        """The same for a text that starts with a run of blanks, by a table of words."""
-        if len(self.known) > MOST_WORDS:
-            self.known.clear()
-        known = self.known
-        found = WORD.findall(s) if "  " in s else [" " + w for w in s.split(" ")[1:]]
-        for w in found:
-            if w not in known:
-                score, ids = self.between(w, 0, len(w))
-                known[w] = (ids, score)
-        parts = [known[w] for w in found]
-        return sum(p[1] for p in parts), b"".join([p[0] for p in parts])
-
-    def syncs(self, s: str, length: int, entry: int) -> tuple[int, int] | None:
-        """A first and a last start of a run of blanks that every path passes, from ``entry`` on."""
-        first = START.search(s, entry, length)
+        return array("I", ids[::-1]).tobytes()
+
+    def total(self, ids: bytes) -> float:
+        return float(self.scores[np.frombuffer(ids, "<u4")].sum())
+
+    def words(self, s: str) -> bytes:
+        """The same for a text that is empty or starts with a run of blanks, by a table of words."""
+        found = [w[1:] for w in WORD.findall(s)] if "  " in s else s.split(" ")[1:]
+        self.known.turn()
+        return b"".join(map(self.known.__getitem__, found))
+
+    def syncs(self, s: str, length: int) -> tuple[int, int] | None:
+        """The first and the last start of a run of blanks in a chunk, both on every path.
+
+        The first comes after any piece that reaches in from the chunk before.
+        """
+        first = START.search(s, self.longest, length)
         if not first:
             return None
         last = s.rfind(" ", first.start(), length)
@@ -116,40 +125,63 @@ class Pieces:
             last -= 1
         return first.start(), last
 
-    def matrix(self, s: str, length: int, final: bool) -> np.ndarray:
-        """Best scores from state to state for a chunk of ``length`` characters and what follows."""
+    def matrix(self, s: str, length: int, final: bool) -> tuple[np.ndarray, bytes]:
+        """Best scores from state to state for a chunk of ``length`` characters and what follows.
+
+        Also the ids between the first and the last sync, which no state changes.
+        """
         size = self.longest
         out = np.full((size, size), NEVER)
         top = 0 if final else min(size - 1, len(s) - length)
-        sync = self.syncs(s, length, size)
+        sync = self.syncs(s, length)
         if sync:
-            head = [self.between(s, i, sync[0])[0] for i in range(size)]
-            middle = self.words(s[sync[0] : sync[1]])[0] if sync[1] > sync[0] else 0.0
-            tail, _ = self.forward(s, sync[1], length + top, length - 1)
-            ends = np.array(tail[length - sync[1] :]) + middle
+            first, last = sync
+            middle = self.words(s[first:last])
+            tail, _ = self.forward(s, last, length + top, length - 1)
+            ends = np.array(tail[length - last :]) + self.total(middle)
             for i in range(size):
-                out[i, : top + 1] = head[i] + ends
-            return out
+                out[i, : top + 1] = self.forward(s, i, first, first)[0][-1] + ends
+            return out, middle
         for i in range(min(size, length + 1)):
             if i == length:
                 out[i, 0] = 0.0
                 continue
             ends, _ = self.forward(s, i, length + top, length - 1)
             out[i, : top + 1] = ends[length - i :]
-        return out
+        return out, b""
 
-    def chunk(self, s: str, length: int, entry: int, leave: int) -> tuple[float, bytes]:
-        """Best score and ids of the pieces that start within a chunk, between two states."""
+    def ends(self, rim: str, length: int, first: int, last: int, entry: int, leave: int) -> tuple[bytes, bytes]:
+        """Ids of a chunk before and after its middle, between two states.
+
+        ``rim`` is the chunk and what follows without the middle, which lies
+        from ``first`` to ``last``; without syncs (-1) it is all of it.
+        """
         if entry == length + leave:
-            return 0.0, b""
-        sync = self.syncs(s, length, entry)
-        if not sync:
-            return self.between(s, entry, length + leave, length - 1)
-        parts = [self.between(s, entry, sync[0])]
-        if sync[1] > sync[0]:
-            parts.append(self.words(s[sync[0] : sync[1]]))
-        parts.append(self.between(s, sync[1], length + leave, length - 1))
-        return sum(p[0] for p in parts), b"".join(p[1] for p in parts)
+            return b"", b""
+        if first < 0:
+            return self.between(rim, entry, length + leave, length - 1), b""
+        cut = last - first
+        return self.between(rim, entry, first), self.between(rim, first, length + leave - cut, length - 1 - cut)
+
+
+class Words(dict):
+    """Ids of words without their first blank; of two generations, the older one is dropped."""
+
+    def __init__(self, solver: Pieces):
+        super().__init__()
+        self.solver, self.older = solver, {}
+
+    def turn(self) -> None:
+        if len(self) > MOST_WORDS:
+            self.older = dict(self)
+            self.clear()
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.solver.between(" " + word, 0, len(word) + 1)
+        self[word] = ids
+        return ids
 
 
 @lru_cache(maxsize=2)
@@ -178,40 +210,25 @@ def _square(data: bytes) -> np.ndarray:
     return m.reshape(int(len(m) ** 0.5), -1)
 
 
-def _split(docs: DataFrame, overlap: int, chunk: int) -> DataFrame:
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _giants(giants: DataFrame, model: str, chunk: int) -> DataFrame:
+    """(doc, version, ids, score, n_chunks) of distinct giant texts (doc, version, text)."""
+
+    def transfers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        solver = pieces(model)
         for batch in batches:
             for doc, version, text in zip(batch["doc"], batch["version"], batch["text"]):
                 s = " " + text
                 starts = range(0, len(s), chunk)
                 for at in range(0, len(starts), 64):  # bounded batches of a giant text
-                    part = [
-                        (doc, version, p // chunk, p + chunk >= len(s), min(chunk, len(s) - p), s[p : p + chunk + overlap])
-                        for p in starts[at : at + 64]
-                    ]
-                    yield pd.DataFrame(part, columns=["doc", "version", "k", "final", "length", "s"])
-
-    return docs.mapInPandas(split, f"{KEY}, k long, final boolean, length int, s string")
-
-
-def _giants(giants: DataFrame, model: str, chunk: int) -> DataFrame:
-    """(doc, version, ids, score, n_chunks) of distinct giant texts (doc, version, text)."""
-    spark = giants.sparkSession
-    folder = scratch_folder(spark, "chunks")
-    parts = stored(_split(giants, pieces(model).longest - 1, chunk), f"{folder}/chunks")
-
-    def matrices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        solver = pieces(model)
-        for b in batches:
-            rows = zip(b["s"], b["length"], b["final"])
-            yield b[["doc", "version", "k"]].assign(m=[solver.matrix(s, n, f).tobytes() for s, n, f in rows])
+                    yield pd.DataFrame([(doc, version, p // chunk, *_transfer(solver, s, p, chunk)) for p in starts[at : at + 64]], columns=names)
 
+    schema = f"{KEY}, k long, m binary, middle binary, length int, first int, last int, rim string"
+    names = [c.split()[0] for c in schema.split(", ")]
     transfer = stored(
-        parts.select("doc", "version", "k", "length", "final", "s")
-        .mapInPandas(matrices, f"{KEY}, k long, m binary")
-        .withColumn("g", F.floor(F.col("k") / GROUP)),
-        f"{folder}/matrices",
+        giants.mapInPandas(transfers, schema).withColumn("g", F.floor(F.col("k") / GROUP)),
+        scratch_folder(giants.sparkSession, "transfers"),
     )
+    matrix = transfer.select("doc", "version", "k", "g", "m")
 
     def product(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("k")
@@ -220,7 +237,7 @@ def _giants(giants: DataFrame, model: str, chunk: int) -> DataFrame:
             total = _square(data) if total is None else times(total, _square(data))
         return group[["doc", "version", "g"]].iloc[:1].assign(m=[total.tobytes()])
 
-    products = transfer.groupBy("doc", "version", "g").applyInPandas(product, f"{KEY}, g long, m binary")
+    products = matrix.groupBy("doc", "version", "g").applyInPandas(product, f"{KEY}, g long, m binary")
 
     def chained(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("g")
@@ -240,7 +257,7 @@ def _giants(giants: DataFrame, model: str, chunk: int) -> DataFrame:
 
     by_group = ["doc", "version", "g"]
     borders = (
-        transfer.groupBy(*by_group)
+        matrix.groupBy(*by_group)
         .cogroup(chain.groupBy(*by_group))
         .applyInPandas(inner, f"{KEY}, k long, entry int, leave int")
     )
@@ -248,21 +265,38 @@ def _giants(giants: DataFrame, model: str, chunk: int) -> DataFrame:
     def traced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         solver = pieces(model)
         for b in batches:
-            found = [solver.chunk(*x) for x in zip(b["s"], b["length"], b["entry"], b["leave"])]
-            yield b[["doc", "version", "k"]].assign(score=[f[0] for f in found], ids=[f[1] for f in found])
+            rows = zip(b["rim"], b["length"], b["first"], b["last"], b["entry"], b["leave"])
+            ends = [solver.ends(*x) for x in rows]
+            yield b[["doc", "version", "k"]].assign(head=[e[0] for e in ends], tail=[e[1] for e in ends])
+
+    key = ["doc", "version"]
+    ends = (
+        transfer.select(*key, "k", "length", "first", "last", "rim")
+        .join(borders, [*key, "k"])
+        .select(*key, "k", "rim", "length", "first", "last", "entry", "leave")
+        .mapInPandas(traced, f"{KEY}, k long, head binary, tail binary")
+    )
 
-    ids = (
-        parts.join(borders, ["doc", "version", "k"])
-        .select("doc", "version", "k", "length", "entry", "leave", "s")
-        .mapInPandas(traced, f"{KEY}, k long, score double, ids binary")
+    def whole(middles: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
+        both = middles.merge(ends[["k", "head", "tail"]], on="k").sort_values("k")
+        ids = b"".join(x for row in zip(both["head"], both["middle"], both["tail"]) for x in row)
+        score = pieces(model).total(ids)
+        return middles[key].iloc[:1].assign(ids=[ids], score=[score], n_chunks=[len(both)])
+
+    return (
+        transfer.select(*key, "k", "middle")
+        .groupBy(*key)
+        .cogroup(ends.groupBy(*key))
+        .applyInPandas(whole, f"{KEY}, ids binary, score double, n_chunks int")
     )
 
-    def whole(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("k")
-        first = group[["doc", "version"]].iloc[:1]
-        return first.assign(ids=[b"".join(group["ids"])], score=[group["score"].sum()], n_chunks=[len(group)])
 
-    return ids.groupBy("doc", "version").applyInPandas(whole, f"{KEY}, ids binary, score double, n_chunks int")
+def _transfer(solver: Pieces, s: str, p: int, chunk: int) -> tuple:
+    """Matrix and middle ids of the chunk at ``p``, and the text around the middle."""
+    part, length = s[p : p + chunk + solver.longest - 1], min(chunk, len(s) - p)
+    m, middle = solver.matrix(part, length, p + chunk >= len(s))
+    first, last = solver.syncs(part, length) or (-1, -1)
+    return m.tobytes(), middle, length, first, last, part if first < 0 else part[:first] + part[last:]
 
 
 def encode(docs: DataFrame, model: str, *, chunk: int = CHUNK) -> DataFrame:
@@ -289,8 +323,8 @@ def encode(docs: DataFrame, model: str, *, chunk: int = CHUNK) -> DataFrame:
     def solved(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         solver = pieces(model)
         for texts in batches:
-            found = [solver.words(" " + t) for t in texts]
-            yield pd.DataFrame({"ids": [f[1] for f in found], "score": [float(f[0]) for f in found]})
+            ids = [solver.words(" " + t) for t in texts]
+            yield pd.DataFrame({"ids": ids, "score": [solver.total(x) for x in ids]})
 
     small = rows.where(~giant).select("doc_id", solved("text").alias("x"))
     small = small.select("doc_id", "x.ids", "x.score", F.lit(1).alias("n_chunks"))
