@@ -9,15 +9,11 @@ group may hold a third of all rows. So the work is split in three steps:
    shuffle that grows with the input.
 2. Add the counts up in bins of the value, ordered like the values. A running
    sum over the few bins of a group tells which bin holds which rank.
-3. Keep the counts of the bins that hold a wanted rank, send them to their
-   group together with the running sums, and sort those few.
+3. Join the counts with the (group, bin) pairs that hold a wanted rank, and sort
+   those few within their bin. No task ever holds a whole group.
 
 The bins depend on the value alone, so no sample is involved, and steps 2 and
-3 read the same shuffled counts (``ReusedExchange`` in the plan).
-
-Three rounds of shuffles have a fixed price. Where the optimizer's estimate
-says that all keys and values together are small, the values of a group are
-sorted as one array instead; both ways give the same result.
+3 read the same counts. There is one program for all sizes.
 """
 
 from __future__ import annotations
@@ -28,20 +24,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import name
-from ..sizes import estimated_bytes
 
 BINS_PER_OCTAVE = 64
 # Every double above 0 has a binary exponent above -1075. So there are fewer
-# than 140,000 bins in all: a list of bins is always small enough to broadcast.
+# than 140,000 bins in all.
 _LOWEST = 1080 * BINS_PER_OCTAVE
 _TOP = 2 * _LOWEST
 
 
-# Keys and values whose files take up to this size are sorted in one array per
-# group. At a few packed bytes per posting that is some ten million values.
-SMALL_BYTES = 64 * 1024 * 1024
-
-
 def value_bin(value: str) -> str:
     """SQL for a bin number that never decreases as the value grows.
 
@@ -130,22 +120,13 @@ def quantiles_from_counts(
           WHERE _size = 0 OR {holds_rank}
         ),
         near AS (
-          SELECT /*+ BROADCAST(w) */ l.* FROM lifted l
-          JOIN (SELECT DISTINCT _bin FROM hits) w ON l._bin = w._bin
-        ),
-        united AS (
-          SELECT {listed} _bin, _v, n, NULL AS _before, NULL AS _size FROM near
-          UNION ALL
-          SELECT {listed} _bin, NULL AS _v, 0 AS n, _before, _size FROM hits
-        ),
-        together AS (
-          SELECT * FROM united {"DISTRIBUTE BY " + plain if plain else ""}
+          SELECT l.*, h._before, h._size FROM lifted l
+          JOIN hits h ON {" AND ".join([*(f"l.{k} <=> h.{k}" for k in groups), "l._bin = h._bin"])}
         ),
         reached AS (
-          SELECT {listed} _v, max(_size) OVER ({"PARTITION BY " + plain if plain else ""}) AS _size,
-            max(_before) OVER (PARTITION BY {listed} _bin)
-              + sum(n) OVER (PARTITION BY {listed} _bin ORDER BY _v) AS _upto
-          FROM together
+          SELECT {listed} _v, _size,
+            _before + sum(n) OVER (PARTITION BY {listed} _bin ORDER BY _v) AS _upto
+          FROM near
         ),
         picked AS (
           SELECT {listed} max(_size) AS _size, {picked} FROM reached
@@ -178,33 +159,6 @@ def _ranks_and_results(
     return ranks, results
 
 
-def _quantiles_of_small(
-    slim: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    quantiles: Mapping[str, float],
-    method: str,
-    parent: Sequence[str] | None,
-) -> DataFrame:
-    """The same as ``quantiles_from_counts``, from one sorted array per group."""
-    ranks, results = _ranks_and_results(quantiles, method)
-    values = F.sort_array(F.collect_list(value)).alias("_sorted")
-    if parent is None:
-        groups, arrays = list(keys), slim.groupBy(*keys).agg(values)
-    else:
-        groups = [*keys, "_is_parent"]
-        sets = [[F.col(n) for n in s] for s in (keys, parent)]
-        is_parent = F.grouping(next(k for k in keys if k not in parent)).alias("_is_parent")
-        arrays = slim.groupingSets(sets, *keys).agg(is_parent, values)
-    at = [f"get(_sorted, int({rank})) AS _at{i}" for i, rank in enumerate(ranks)]
-    named = [name(g) for g in groups]
-    return (
-        arrays.selectExpr(*named, "_sorted", "size(_sorted) AS _size")
-        .selectExpr(*named, "_size", *at)
-        .selectExpr(*named, *results)
-    )
-
-
 def _quantiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -212,13 +166,8 @@ def _quantiles(
     quantiles: Mapping[str, float],
     method: str,
     parent: Sequence[str] | None,
-    small: bool | None,
 ) -> DataFrame:
     slim = df.select(*keys, F.col(value).cast("double").alias(value))
-    if small is None:
-        small = estimated_bytes(slim) <= SMALL_BYTES
-    if small:
-        return _quantiles_of_small(slim, keys, value, quantiles, method, parent)
     counts = value_counts(slim, keys, value)
     return quantiles_from_counts(counts, keys, value, quantiles, method, parent)
 
@@ -229,13 +178,10 @@ def exact_quantiles(
     value: str,
     quantiles: Mapping[str, float],
     method: str = "nearest",
-    small: bool | None = None,
 ) -> DataFrame:
     """One row per group, one column per quantile; see ``quantiles_from_counts``.
-
-    ``small`` chooses the way; by default the estimated size does.
-    """
-    return _quantiles(df, list(keys), value, quantiles, method, None, small)
+"""
+    return _quantiles(df, list(keys), value, quantiles, method, None)
 
 
 def quantiles_with_parent(
@@ -245,7 +191,6 @@ def quantiles_with_parent(
     value: str,
     quantiles: Mapping[str, tuple[str, float]],
     method: str = "nearest",
-    small: bool | None = None,
 ) -> DataFrame:
     """Quantiles of every (detail + parent) group next to those of its parent group.
 
@@ -253,7 +198,7 @@ def quantiles_with_parent(
     values are read and counted once for both levels.
     """
     own = {alias: q for alias, (_, q) in quantiles.items()}
-    found = _quantiles(df, [*detail, *parent], value, own, method, list(parent), small)
+    found = _quantiles(df, [*detail, *parent], value, own, method, list(parent))
     family = Window.partitionBy(*parent)
     above = [
         F.max(F.when(F.col("_is_parent") == 1, F.col(n))).over(family).alias(alias)

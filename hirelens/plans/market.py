@@ -23,14 +23,19 @@ def market_map(postings: DataFrame, c: PostingColumns = POSTINGS) -> DataFrame:
     views = ratio("views", "postings", "ieee", digits=2)
     apps = ratio("applications", "vacancies", "ieee", digits=2)
     return (
-        postings.groupBy(c.category)
+        # Sums alone are hashed; a minimum of texts would sort every posting first.
+        postings.groupBy(c.category, c.sector)
         .agg(
-            F.min(c.sector).alias(c.sector),
             total(c.vacancies).alias("vacancies"),
             total(c.applications).alias("applications"),
             total(c.views).alias("views"),
             F.count(c.job_id).alias("postings"),
         )
+        .groupBy(c.category)
+        .agg(
+            F.min(c.sector).alias(c.sector),
+            *(F.sum(n).alias(n) for n in ("vacancies", "applications", "views", "postings")),
+        )
         .withColumns(
             {
                 "views_per_posting": F.nanvl(views, F.lit(0.0)),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,9 +35,12 @@ def write_clean(
     ``partition_by_year`` gives one directory per year for partition pruning.
     ``sort_within`` sorts each task's rows without a shuffle: sectors or
     periods then sit together, and row groups can be skipped by their min/max.
+    With both, rows are sorted by year first: the writer needs that order and
+    would else sort again and lose the other one.
     Low-cardinality strings are dictionary-encoded by the Parquet writer.
     """
-    out = postings.sortWithinPartitions(*sort_within) if sort_within else postings
+    year = [c.period("Yearly")] if partition_by_year else []
+    out = postings.sortWithinPartitions(*year, *sort_within) if sort_within else postings
     writer = out.write.mode(mode)
     if partition_by_year:
         writer = writer.partitionBy(c.period("Yearly"))
@@ -63,11 +66,16 @@ def build_clean(
     mode: str = "errorifexists",
     multi_line: bool = True,
     c: PostingColumns = POSTINGS,
+    cleaning: Mapping[str, object] | None = None,
     **layout,
 ) -> DataFrame:
-    """CSV to cleaned Parquet in one job without a shuffle; returns the new scan."""
+    """CSV to cleaned Parquet in one job without a shuffle; returns the new scan.
+
+    ``cleaning`` holds options of ``clean_postings``, such as ``date_formats``
+    for dates that are not ISO, or ``sortable_weeks``.
+    """
     raw = read_raw_csv(spark, csv_path, c, multi_line)
-    write_clean(clean_postings(raw, c), out_path, mode, c=c, **layout)
+    write_clean(clean_postings(raw, c, **(cleaning or {})), out_path, mode, c=c, **layout)
     return read_clean(spark, out_path, c)
 
 

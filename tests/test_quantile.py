@@ -55,31 +55,29 @@ def groups(rows, position):
     return out
 
 
-@pytest.mark.parametrize("small", [True, False])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_against_brute_force(spark, small, seed):
+def test_against_brute_force(spark, seed):
     rows = sample(seed)
     df = spark.createDataFrame(rows, "k string, p string, v double")
     qs = {"q1": 0.25, "q3": 0.75, "lo": 0.0, "hi": 1.0}
-    got = {(r["k"],): r for r in dicts(exact_quantiles(df, ["k"], "v", qs, small=small))}
+    got = {(r["k"],): r for r in dicts(exact_quantiles(df, ["k"], "v", qs))}
     expected = groups(rows, [0])
     assert got.keys() == expected.keys()
     for key, values in expected.items():
         assert {n: got[key][n] for n in qs} == {n: nearest(values, q) for n, q in qs.items()}
-    medians = exact_quantiles(df, ["k", "p"], "v", {"m": 0.5}, "linear", small=small)
+    medians = exact_quantiles(df, ["k", "p"], "v", {"m": 0.5}, "linear")
     assert {(r["k"], r["p"]): r["m"] for r in dicts(medians)} == {
         k: median(v) for k, v in groups(rows, [0, 1]).items()
     }
-    whole = exact_quantiles(df, [], "v", {"m": 0.5}, "linear", small=small)
+    whole = exact_quantiles(df, [], "v", {"m": 0.5}, "linear")
     assert dicts(whole) == [{"m": median([r[2] for r in rows])}]
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_with_parent(spark, small):
+def test_with_parent(spark):
     rows = sample(3)
     df = spark.createDataFrame(rows, "k string, p string, v double")
     got = quantiles_with_parent(
-        df, ["k"], ["p"], "v", {"q1": ("pq1", 0.25), "q3": ("pq3", 0.75)}, small=small
+        df, ["k"], ["p"], "v", {"q1": ("pq1", 0.25), "q3": ("pq3", 0.75)}
     )
     parents = groups(rows, [1])
     expected = {
@@ -94,28 +92,25 @@ def test_with_parent(spark, small):
     assert {(r.pop("k"), r.pop("p")): r for r in dicts(got)} == expected
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_nearest_rounds_half_away_and_median_averages(spark, small):
+def test_nearest_rounds_half_away_and_median_averages(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (10.0,)], "v double")
-    got = exact_quantiles(df, [], "v", {"q1": 0.25, "half": 0.5, "q3": 0.75}, small=small)
+    got = exact_quantiles(df, [], "v", {"q1": 0.25, "half": 0.5, "q3": 0.75})
     assert dicts(got) == [{"q1": 2.0, "half": 3.0, "q3": 3.0}]
-    assert dicts(exact_quantiles(df, [], "v", {"m": 0.5}, "linear", small=small)) == [{"m": 2.5}]
+    assert dicts(exact_quantiles(df, [], "v", {"m": 0.5}, "linear")) == [{"m": 2.5}]
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_infinities_and_nan_sort_last(spark, small):
+def test_infinities_and_nan_sort_last(spark):
     df = spark.createDataFrame([(math.nan,), (math.inf,), (-math.inf,), (0.0,)], "v double")
     row = exact_quantiles(
-        df, [], "v", {"a": 0.0, "b": 1 / 3, "c": 2 / 3, "d": 1.0}, small=small
+        df, [], "v", {"a": 0.0, "b": 1 / 3, "c": 2 / 3, "d": 1.0}
     ).first()
     assert (row.a, row.b, row.c) == (-math.inf, 0.0, math.inf) and math.isnan(row.d)
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_no_rows(spark, small):
+def test_no_rows(spark):
     df = spark.createDataFrame([], "k string, v double")
-    assert dicts(exact_quantiles(df, ["k"], "v", {"q": 0.5}, small=small)) == []
-    assert dicts(exact_quantiles(df, [], "v", {"q": 0.5}, small=small)) == [{"q": None}]
+    assert dicts(exact_quantiles(df, ["k"], "v", {"q": 0.5})) == []
+    assert dicts(exact_quantiles(df, [], "v", {"q": 0.5})) == [{"q": None}]
 
 
 @settings(max_examples=15, deadline=None)
@@ -144,8 +139,8 @@ def test_counts_are_shuffled_once(spark, tmp_path):
     )
     df = spark.read.parquet(str(tmp_path / "t"))
     for found in (
-        exact_quantiles(df, ["k"], "v", {"q": 0.5}, small=False),
-        quantiles_with_parent(df, ["k"], ["p"], "v", {"q": ("pq", 0.5)}, small=False),
+        exact_quantiles(df, ["k"], "v", {"q": 0.5}),
+        quantiles_with_parent(df, ["k"], ["p"], "v", {"q": ("pq", 0.5)}),
     ):
         found.collect()
         final = plan(found).split("Initial Plan")[0]
@@ -153,12 +148,12 @@ def test_counts_are_shuffled_once(spark, tmp_path):
         assert "ReusedExchange" in final
 
 
-def test_small_estimates_choose_the_array(spark, tmp_path):
+def test_no_window_or_exchange_holds_a_group_of_values(spark, tmp_path):
+    """Values are windowed by (group, bin) only; windows by group see sums of bins."""
     spark.range(1000).selectExpr("id % 3 AS k", "double(id) AS v").write.parquet(str(tmp_path / "t"))
-    small = spark.read.parquet(str(tmp_path / "t"))
-    large = small.crossJoin(spark.range(10**9).select("id"))
-    assert "Window" not in plan(exact_median(small, ["k"], "v", "m"))
-    assert "Window" in plan(exact_median(large, ["k"], "v", "m"))
+    found = plan(exact_median(spark.read.parquet(str(tmp_path / "t")), ["k"], "v", "m"))
+    windows = [x for x in found.splitlines() if "Window [" in x and "_v#" in x]
+    assert windows and all("_bin#" in x.split("windowspecdefinition(")[1] for x in windows)
 
 
 def test_approximation_has_the_same_shape(spark):

@@ -22,7 +22,6 @@ from hirelens import (
     write_csv,
 )
 from hirelens.plans import pulse
-from hirelens.sources.spread import spread
 from hirelens.sources.star_tables import raw_postings
 
 
@@ -195,17 +194,6 @@ def test_kept_frames_are_released(spark, raw):
     assert not held.is_cached
 
 
-def test_spread_only_touches_small_inputs_in_few_pieces(spark, tmp_path):
-    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "t"))
-    small = spark.read.parquet(str(tmp_path / "t"))
-    cores = spark.sparkContext.defaultParallelism
-    assert spread(small).rdd.getNumPartitions() == cores
-    many = spark.range(0, 1000, 1, cores * 2)
-    assert spread(many).rdd.getNumPartitions() == cores * 2
-    large = small.crossJoin(spark.range(0, 10**9, 1, 1).select(F.col("id").alias("j")))
-    assert spread(large) is large
-
-
 def test_derived_postings_reach_every_case(spark):
     raw = raw_postings(spark, SF_DIR)
     assert raw.count() == spark.read.parquet(f"{SF_DIR}/lineitem.parquet").count()
