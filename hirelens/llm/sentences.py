@@ -12,6 +12,7 @@ its own between its two states.
 from __future__ import annotations
 
 import re
+import struct
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -62,7 +63,7 @@ class Pieces:
         self.scores = np.zeros(len(ids))
         self.scores[list(texts)] = [self.score[t] for t in texts.values()]
         self.scores[[i for b, i in enumerate(self.bytes) if not 0x80 <= b < 0xC0]] = self.fallback
-        self.known = Words(self)
+        self.known = Words(self, path)
 
     def forward(self, s: str, start: int, stop: int, last: int) -> tuple[list[float], list[int]]:
         """Best scores of segmenting s[start:end] for every end up to ``stop``, and the last starts.
@@ -110,6 +111,7 @@ class Pieces:
         """The same for a text that is empty or starts with a run of blanks, by a table of words."""
         found = [w[1:] for w in WORD.findall(s)] if "  " in s else s.split(" ")[1:]
         self.known.turn()
+        self.known.learn(found)
         return b"".join(map(self.known.__getitem__, found))
 
     def syncs(self, s: str, length: int) -> tuple[int, int] | None:
@@ -164,18 +166,67 @@ class Pieces:
         return self.between(rim, entry, first), self.between(rim, first, length + leave - cut, length - 1 - cut)
 
 
+def exact_model(path: str, scores: dict[str, float]) -> tuple[bytes, int] | None:
+    """The model for the library's own best-path search, and the longest word it solves exactly.
+
+    That search adds in single precision, relative to the lowest score: exact
+    for whole scores while sums stay below 2**23. A lowest score that only runs
+    of blanks have is raised to the next one, so an answer for a word without a
+    blank inside holds if it does not start with the blank alone. None if a
+    score is not whole or not negative (such a piece may be user-defined, for
+    which the library has rules of its own).
+    """
+    if not all(v < 0 and v.is_integer() for v in scores.values()):
+        return None
+    with open(path, "rb") as file:
+        model = file.read()
+    lowest = min(scores.values(), default=-1.0)
+    written = [v for p, v in scores.items() if p.strip(" ")]
+    if written and lowest not in written:
+        model = model.replace(_score(lowest), _score(min(written)))
+        lowest = min(written)
+    # Fields given again replace the former: best path by score, and no normalisation but the first blank.
+    return model + b"\x12\x02\x18\x01" + b"\x1a\x08\x12\x00\x18\x01\x20\x00\x28\x01", int(2**23 // -lowest)
+
+
+def _score(value: float) -> bytes:
+    """A piece's score as the model file holds it."""
+    return b"\x15" + struct.pack("<f", value)
+
+
 class Words(dict):
-    """Ids of words without their first blank; of two generations, the older one is dropped."""
+    """Ids of words without their first blank; of two generations, the older one is dropped.
+
+    New words of characters that are all pieces themselves go to the library's
+    search together; the others, and those that it starts with the blank alone,
+    are solved here one by one.
+    """
+
+    def __init__(self, solver: Pieces, path: str):
+        from sentencepiece import SentencePieceProcessor
 
-    def __init__(self, solver: Pieces):
         super().__init__()
-        self.solver, self.older = solver, {}
+        self.solver, self.older, self.quick = solver, {}, None
+        letters = "".join(p for p in solver.score if len(p) == 1 and p != " ")
+        exact = exact_model(path, solver.score) if letters and " " in solver.score else None
+        if exact:
+            self.quick = SentencePieceProcessor(model_proto=exact[0]).encode
+            self.plain = re.compile(f"[{re.escape(letters)}]{{1,{exact[1]}}}").fullmatch
 
     def turn(self) -> None:
         if len(self) > MOST_WORDS:
             self.older = dict(self)
             self.clear()
 
+    def learn(self, words: list[str]) -> None:
+        if self.quick:
+            new = [w for w in set(words) if w not in self and w not in self.older and self.plain(w)]
+            if new:
+                blank = self.solver.id[" "]
+                for word, ids in zip(new, self.quick(new, out_type=int, num_threads=1)):
+                    if ids[0] != blank:
+                        self[word] = array("I", ids).tobytes()
+
     def __missing__(self, word: str) -> bytes:
         ids = self.older.get(word)
         if ids is None:

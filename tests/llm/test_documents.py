@@ -414,6 +414,19 @@ def test_sentences_round_trip_and_optimum(spark, texts, chunk):
         assert score_of(solver, ids) + unknown * solver.fallback == pytest.approx(r.score, rel=1e-12)
 
 
+def test_new_words_solved_together_are_best_paths(texts):
+    rng = np.random.default_rng(5)
+    solver = sentences.Pieces(MODEL)
+    letters = [p for p in solver.score if len(p) == 1]
+    words = {w for t in texts.values() for w in t.split(" ")}
+    words |= {"".join(rng.choice(letters, rng.integers(1, 300))).replace(" ", "") for _ in range(300)}
+    words |= {"".join(rng.choice([*"theainrs"], rng.integers(1, 300))) for _ in range(300)}
+    solver.known.learn([*words])
+    assert len(solver.known) > len(words) / 2
+    for word, ids in solver.known.items():
+        assert ids == solver.between(" " + word, 0, len(word) + 1)
+
+
 def test_sentences_whole_round_trip(spark, texts):
     got = {r.doc_id: r.decoded_sha256 for r in registry.op4_sentencepiece(spark, SF).collect()}
     assert got == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in texts.items()}
