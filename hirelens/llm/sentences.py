@@ -166,7 +166,7 @@ class Pieces:
         return self.between(rim, entry, first), self.between(rim, first, length + leave - cut, length - 1 - cut)
 
 
-def exact_model(path: str, scores: dict[str, float]) -> tuple[bytes, int] | None:
+def exact_model(path: str, scores: dict[str, float], first_blank: bool) -> tuple[bytes, int] | None:
     """The model for the library's own best-path search, and the longest word it solves exactly.
 
     That search adds in single precision, relative to the lowest score: exact
@@ -185,8 +185,9 @@ def exact_model(path: str, scores: dict[str, float]) -> tuple[bytes, int] | None
     if written and lowest not in written:
         model = model.replace(_score(lowest), _score(min(written)))
         lowest = min(written)
-    # Fields given again replace the former: best path by score, and no normalisation but the first blank.
-    return model + b"\x12\x02\x18\x01" + b"\x1a\x08\x12\x00\x18\x01\x20\x00\x28\x01", int(2**23 // -lowest)
+    # Fields given again replace the former: best path by score, no normalisation, a first blank or none.
+    model += b"\x12\x02\x18\x01" + b"\x1a\x08\x12\x00\x18%c\x20\x00\x28\x01" % first_blank
+    return model, int(2**23 // -lowest)
 
 
 def _score(value: float) -> bytes:
@@ -199,19 +200,21 @@ class Words(dict):
 
     New words of characters that are all pieces themselves go to the library's
     search together; the others, and those that it starts with the blank alone,
-    are solved here one by one.
+    are solved here one by one. A character that no piece holds, like a line
+    break, parts a word: what comes after it has a table of its own.
     """
 
     def __init__(self, solver: Pieces, path: str):
-        from sentencepiece import SentencePieceProcessor
-
         super().__init__()
-        self.solver, self.older, self.quick = solver, {}, None
+        self.solver, self.older = solver, {}
         letters = "".join(p for p in solver.score if len(p) == 1 and p != " ")
-        exact = exact_model(path, solver.score) if letters and " " in solver.score else None
-        if exact:
-            self.quick = SentencePieceProcessor(model_proto=exact[0]).encode
-            self.plain = re.compile(f"[{re.escape(letters)}]{{1,{exact[1]}}}").fullmatch
+        held = "".join(sorted({c for p in solver.score for c in p}))
+        self.part = re.compile(f"([^{re.escape(held)}])").split if held else lambda word: [word]
+        self.quick = quick_search(path, solver.score, True) if letters and " " in solver.score else None
+        self.after = Tails(solver, None)
+        if self.quick:
+            self.plain = re.compile(f"[{re.escape(letters)}]{{1,{self.quick[1]}}}").fullmatch
+            self.after = Tails(solver, (quick_search(path, solver.score, False)[0], self.plain))
 
     def turn(self) -> None:
         if len(self) > MOST_WORDS:
@@ -223,18 +226,47 @@ class Words(dict):
             new = [w for w in set(words) if w not in self and w not in self.older and self.plain(w)]
             if new:
                 blank = self.solver.id[" "]
-                for word, ids in zip(new, self.quick(new, out_type=int, num_threads=1)):
+                for word, ids in zip(new, self.quick[0](new, out_type=int, num_threads=1)):
                     if ids[0] != blank:
                         self[word] = array("I", ids).tobytes()
 
     def __missing__(self, word: str) -> bytes:
         ids = self.older.get(word)
         if ids is None:
+            first, *rest = self.part(word)
+            if rest:
+                return self[first] + b"".join(map(self.after.__getitem__, rest))
             ids = self.solver.between(" " + word, 0, len(word) + 1)
         self[word] = ids
         return ids
 
 
+class Tails(dict):
+    """Ids of parts of words, after a character that no piece holds or such a character itself."""
+
+    def __init__(self, solver: Pieces, quick: tuple | None):
+        super().__init__()
+        self.solver, self.quick = solver, quick
+
+    def __missing__(self, part: str) -> bytes:
+        if len(self) > MOST_WORDS // 4:
+            self.clear()
+        if self.quick and self.quick[1](part):
+            ids = array("I", self.quick[0](part, out_type=int)).tobytes()
+        else:
+            ids = self.solver.between(part, 0, len(part))
+        self[part] = ids
+        return ids
+
+
+def quick_search(path: str, scores: dict[str, float], first_blank: bool) -> tuple | None:
+    """The library's search in the exact model, and its longest word."""
+    from sentencepiece import SentencePieceProcessor
+
+    exact = exact_model(path, scores, first_blank)
+    return exact and (SentencePieceProcessor(model_proto=exact[0]).encode, exact[1])
+
+
 @lru_cache(maxsize=2)
 def pieces(path: str) -> Pieces:
     return Pieces(path)
