@@ -16,8 +16,8 @@ from hirelens import POSTINGS, FilterSpec, apply_filters, clean_postings
 from hirelens.functions import rules, text
 from hirelens.operators import domains
 from hirelens.plans import cleaning, competition, friction, market, pulse, summary, titles
-from hirelens.sources.clean_store import build_clean
-from hirelens.sources.raw_csv import write_csv
+from hirelens.sources.clean_store import build_clean, ensure_clean
+from hirelens.sources.raw_csv import read_csv_where, write_csv
 from hirelens.sources.shared import scratch_folder
 from hirelens.sources.star_tables import raw_postings
 
@@ -82,6 +82,26 @@ def ingest_csv_to_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def ingest_if_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table built from CSV files on first use, and what a second use reads of it."""
+    folder = scratch_folder(spark)
+    write_csv(raw_postings(spark, sf_dir), f"{folder}/raw_csv")
+    for _ in range(2):
+        table = ensure_clean(spark, f"{folder}/raw_csv", f"{folder}/clean", multi_line=False)
+    return table
+
+
+def csv_filtered_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw postings without reposts, cut while their CSV files are read."""
+    folder = scratch_folder(spark)
+    raw = raw_postings(spark, sf_dir).select(C.job_id, C.repost_count, C.vacancies)
+    write_csv(raw, f"{folder}/raw_csv")
+    found = read_csv_where(
+        spark, f"{folder}/raw_csv", {C.repost_count: 0}, raw.schema, multi_line=False
+    )
+    return _counted(found, C.vacancies)
+
+
 def _structure(p: DataFrame) -> DataFrame:
     return competition.contested_structure(p, 5)
 
@@ -98,6 +118,8 @@ def queries() -> dict[str, Query]:
         # cleaning
         "clean_postings": postings,
         "ingest_csv_to_parquet": ingest_csv_to_parquet,
+        "ingest_if_missing": ingest_if_missing,
+        "csv_filtered_scan": csv_filtered_scan,
         "outlier_filter": raw(
             lambda r: cleaning.drop_outliers(r)
             .groupBy(C.vacancies)
@@ -145,6 +167,18 @@ def queries() -> dict[str, Query]:
         "period_bounds": on(lambda p: domains.period_bounds(p, "Weekly")),
         # pulse
         "kpi_summary": on(pulse.kpi_summary),
+        "kpi_of_sector": on(
+            lambda p: pulse.kpi_summary(apply_filters(p, FilterSpec(sector=EVERY_FILTER.sector)))
+        ),
+        "kpi_of_pmet": on(
+            lambda p: pulse.kpi_summary(apply_filters(p, FilterSpec(pmet=EVERY_FILTER.pmet)))
+        ),
+        "kpi_of_level": on(
+            lambda p: pulse.kpi_summary(apply_filters(p, FilterSpec(level=EVERY_FILTER.level)))
+        ),
+        "kpi_without_reposts": on(
+            lambda p: pulse.kpi_summary(apply_filters(p, FilterSpec(exclude_reposts=True)))
+        ),
         "kpi_filtered": on(lambda p: pulse.kpi_summary(apply_filters(p, EVERY_FILTER))),
         "kpi_week_range": on(lambda p: pulse.kpi_summary(apply_filters(p, WEEKS))),
         "kpi_no_rows": on(lambda p: pulse.kpi_summary(apply_filters(p, NOTHING))),
@@ -157,6 +191,7 @@ def queries() -> dict[str, Query]:
         "apps_by_seniority": on(pulse.apps_by_seniority),
         "apps_by_sector": on(pulse.apps_by_sector),
         "pulse_grouping_sets": on(pulse.pulse),
+        "pulse_no_rows": on(lambda p: pulse.pulse(apply_filters(p, NOTHING))),
         # market
         "market_map": on(market.market_map),
         "weighted_avg_views": on(market.weighted_avg_views),

@@ -114,6 +114,12 @@ def _timeline(label: str) -> str:
         FROM postings GROUP BY ALL)"""
 
 
+def _pulse(where: str = "true") -> str:
+    return f"""SELECT quarterly AS period, pmet AS "PMET", sector AS broad_sector,
+      level AS position_level, cast(grouping(quarterly, pmet, sector, level) AS bigint) AS grouping, {_KPIS}
+      FROM postings WHERE {where} GROUP BY GROUPING SETS ((quarterly, pmet), (sector), (level), ())"""
+
+
 def _share(column: str, name: str) -> str:
     return f"""SELECT {column} AS {name}, {_APPS} AS applications,
       {_APPS} / (SELECT cast(sum(apps) AS bigint) FROM postings) AS share FROM postings GROUP BY {column}"""
@@ -298,6 +304,9 @@ def statements() -> dict[str, str]:
         # cleaning
         "clean_postings": _CLEAN,
         "ingest_csv_to_parquet": _CLEAN,
+        "ingest_if_missing": _CLEAN,
+        "csv_filtered_scan": 'SELECT vac AS "numberOfVacancies", count(*) AS postings FROM raw '
+        "WHERE repost_count = 0 GROUP BY vac",
         "outlier_filter": "SELECT vac AS \"numberOfVacancies\", count(*) AS postings, min(max_salary) AS "
         "min_max_salary FROM raw WHERE vac < 10 AND max_salary > 0 GROUP BY vac",
         "title_rules": "SELECT raw_title, title, count(*) AS postings FROM extracted GROUP BY ALL",
@@ -327,6 +336,10 @@ def statements() -> dict[str, str]:
         "period_bounds": "SELECT min(weekly) AS lo, max(weekly) AS hi FROM postings",
         # pulse
         "kpi_summary": _kpi(),
+        "kpi_of_sector": _kpi("sector = 'Industrial & Infrastructure'"),
+        "kpi_of_pmet": _kpi("pmet = 'PMET'"),
+        "kpi_of_level": _kpi("level = 'Manager / Professional'"),
+        "kpi_without_reposts": _kpi("repost = 'N'"),
         "kpi_filtered": _kpi(
             "sector = 'Industrial & Infrastructure' AND pmet = 'PMET' AND level = 'Manager / Professional' "
             "AND repost = 'N' AND quarterly BETWEEN '1996-Q2' AND '2000-Q3'"
@@ -346,9 +359,8 @@ def statements() -> dict[str, str]:
         "timeline_yearly": _timeline("yearly"),
         "apps_by_seniority": _share("level", "position_level"),
         "apps_by_sector": _share("sector", "broad_sector"),
-        "pulse_grouping_sets": f"""SELECT quarterly AS period, pmet AS "PMET", sector AS broad_sector,
-          level AS position_level, cast(grouping(quarterly, pmet, sector, level) AS bigint) AS grouping, {_KPIS}
-          FROM postings GROUP BY GROUPING SETS ((quarterly, pmet), (sector), (level), ())""",
+        "pulse_grouping_sets": _pulse(),
+        "pulse_no_rows": _pulse("quarterly BETWEEN '1900-Q1' AND '1900-Q2'"),
         # market
         "market_map": f", {_MARKET} SELECT {_MARKET_COLUMNS} FROM market",
         "weighted_avg_views": f"SELECT {_VIEWS} / count(job_id) AS weighted_avg_views FROM postings",

@@ -98,8 +98,9 @@ def pulse(
     """Key figures, timeline and both shares from one scan, as one long table.
 
     ``grouping`` tells the parts apart: 3 is (period, PMET), 13 is sector,
-    14 is seniority and 15 the grand total. Over no rows the result is empty;
-    ``kpi_summary`` gives the zeros in that case.
+    14 is seniority and 15 the grand total, which is there over no rows, too.
+    Postings are reduced to the finest of these groups first; only those few
+    rows are multiplied by the grouping sets.
     """
     period = F.col(c.period(grain))
     slim = postings.select(
@@ -114,7 +115,13 @@ def pulse(
         c.job_id,
     )
     dims = ["period", c.pmet, c.sector, c.level]
-    sets = [["period", c.pmet], [c.sector], [c.level], []]
-    return slim.groupingSets([[F.col(n) for n in s] for s in sets], *dims).agg(
-        F.grouping_id(*dims).alias("grouping"), *_kpis(c)
+    reduced = slim.groupBy(*dims).agg(*_kpis(c))
+    sums = [total(n).alias(n) for n in reduced.columns[len(dims) :]]
+    sets = [["period", c.pmet], [c.sector], [c.level]]
+    parts = reduced.groupingSets([[F.col(n) for n in s] for s in sets], *dims).agg(
+        F.grouping_id(*dims).alias("grouping"), *sums
     )
+    nothing = [F.lit(None).cast("string").alias(n) for n in dims]
+    everything = F.lit(15).cast("long").alias("grouping")
+    whole = reduced.agg(*sums).select(*nothing, everything, *reduced.columns[len(dims) :])
+    return parts.unionByName(whole)

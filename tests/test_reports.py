@@ -126,6 +126,12 @@ def test_shares_without_applications_are_zero(clean):
     assert [r["share"] for r in dicts(pulse.apps_by_sector(p))] == [0.0]
 
 
+def test_pulse_over_no_rows_has_its_grand_total(clean):
+    (row,) = dicts(pulse.pulse(clean()))
+    assert row["grouping"] == 15 and row["period"] is None
+    assert row["vacancies"] == row["applications"] == row["views"] == row["posts"] == row["reposts"] == 0
+
+
 # market
 
 
