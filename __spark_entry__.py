@@ -16,9 +16,10 @@ from hirelens import POSTINGS, FilterSpec, apply_filters, clean_postings
 from hirelens.functions import rules, text
 from hirelens.operators import domains
 from hirelens.plans import cleaning, competition, friction, market, pulse, summary, titles
+from hirelens.plans.dashboard import dashboard
 from hirelens.sources.clean_store import build_clean, ensure_clean
 from hirelens.sources.raw_csv import read_csv_where, write_csv
-from hirelens.sources.shared import scratch_folder
+from hirelens.sources.shared import scratch_folder, stored
 from hirelens.sources.star_tables import raw_postings
 
 try:
@@ -106,6 +107,41 @@ def _structure(p: DataFrame) -> DataFrame:
     return competition.contested_structure(p, 5)
 
 
+# Of the reports of a dashboard: what names a row, its figures and its texts.
+REPORTED = {
+    "kpi_cards": (("label",), (), ("value",)),
+    "timeline": (("period", C.pmet), ("vacancies", "applications"), ()),
+    "apps_by_seniority": ((C.level,), ("applications", "share"), ()),
+    "apps_by_sector": ((C.sector,), ("applications", "share"), ()),
+    "market": ((C.category,), ("views", "apps_per_vacancy"), ()),
+    "competition_top": ((C.category,), ("apps_per_vac", "median_salary"), ("salary_text",)),
+    "hierarchy": (("id",), ("value",), ()),
+    "friction": ((C.category,), ("friction_pct",), ()),
+    "table": ((C.category, C.sector), (), ("median_salary", "titles")),
+}
+
+
+def dashboard_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All reports of one request over postings that are scanned once, as one long table."""
+    with dashboard(postings(spark, sf_dir), FilterSpec(grain="Quarterly")) as parts:
+        long = None
+        for report, (names, figures, texts) in REPORTED.items():
+            unknown = {"number": F.lit(None).cast("double"), "text": F.lit(None).cast("string")}
+            cells = [(n, unknown | {"number": F.col(n).cast("double")}) for n in figures]
+            cells += [(n, unknown | {"text": F.col(n)}) for n in texts]
+            cells = [
+                F.struct(F.lit(n).alias("measure"), *(v.alias(k) for k, v in cell.items()))
+                for n, cell in cells
+            ]
+            rows = parts[report].select(
+                F.lit(report).alias("report"),
+                F.concat_ws("|", *names).alias("item"),
+                F.inline(F.array(*cells)),
+            )
+            long = rows if long is None else long.unionAll(rows)
+        return stored(long, scratch_folder(spark, "dashboard"))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Vacancies and applications by quarter and PMET flag on the smallest tables."""
     return pulse.timeline(postings(spark, "/root/testdata/sf0.001"), "Quarterly")
@@ -191,6 +227,7 @@ def queries() -> dict[str, Query]:
         "apps_by_seniority": on(pulse.apps_by_seniority),
         "apps_by_sector": on(pulse.apps_by_sector),
         "pulse_grouping_sets": on(pulse.pulse),
+        "dashboard_reports": dashboard_reports,
         "pulse_no_rows": on(lambda p: pulse.pulse(apply_filters(p, NOTHING))),
         # market
         "market_map": on(market.market_map),

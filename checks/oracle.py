@@ -299,6 +299,35 @@ _CLEAN = f"""SELECT vac AS "numberOfVacancies", apps AS "metadata_totalNumberJob
   quarterly AS "Period_Quarterly", yearly AS "Period_Yearly" FROM postings"""
 
 
+# Rows of the whole dashboard: report, its statement, what names a row, figures, texts.
+_DASHBOARD = (
+    ("kpi_cards", "kpi_cards", "label", (), ("value",)),
+    ("timeline", "timeline_quarterly", "period || '|' || \"PMET\"", ("vacancies", "applications"), ()),
+    ("apps_by_seniority", "apps_by_seniority", "position_level", ("applications", "share"), ()),
+    ("apps_by_sector", "apps_by_sector", "broad_sector", ("applications", "share"), ()),
+    ("market", "market_map", "category", ("views", "apps_per_vacancy"), ()),
+    ("competition_top", "competition_top10", "category", ("apps_per_vac", "median_salary"), ("salary_text",)),
+    ("hierarchy", "hierarchy", "id", ("value",), ()),
+    ("friction", "friction_premium", "category", ("friction_pct",), ()),
+    ("table", "table_formatted", "category || '|' || broad_sector", (), ("median_salary", "titles")),
+)
+
+
+def _dashboard(bodies: dict[str, str]) -> str:
+    parts = []
+    for report, body, item, figures, texts in _DASHBOARD:
+        inner = bodies[body].strip()
+        inner = "WITH " + inner[1:] if inner.startswith(",") else inner
+        for n in (*figures, *texts):
+            number = f"cast({n} AS double)" if n in figures else "NULL::double"
+            text = f"{n}" if n in texts else "NULL::varchar"
+            parts.append(
+                f"SELECT '{report}' AS report, {item} AS item, '{n}' AS measure, "
+                f"{number} AS number, {text} AS text FROM ({inner})"
+            )
+    return " UNION ALL ".join(parts)
+
+
 def statements() -> dict[str, str]:
     bodies = {
         # cleaning
@@ -421,4 +450,5 @@ def statements() -> dict[str, str]:
         "salary_by_experience": 'SELECT years AS "minimumYearsExperience", count(*) AS postings, '
         "median(salary) AS median_salary FROM postings GROUP BY years",
     }
+    bodies["dashboard_reports"] = _dashboard(bodies)
     return {name: POSTINGS_CTE + body for name, body in bodies.items()}

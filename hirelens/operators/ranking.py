@@ -37,8 +37,9 @@ def top_per_group(
 def argmax(df: DataFrame, keys: Sequence[str], by: str, pick: str) -> DataFrame:
     """Per group the ``pick`` with the highest ``by``; ties go to the lowest ``pick``.
 
-    A plain aggregate (combined before the shuffle), not a sort of the group.
-    Also returns the winning ``by``.
+    A minimum of texts, for which Spark sorts the rows by their keys first; a
+    caller with many rows deals them by the keys before, so that they are
+    sorted once. Also returns the winning ``by``.
     """
     best = F.min(F.struct((-F.col(by)).alias("neg"), F.col(pick).alias("pick")))
     return (

@@ -89,9 +89,13 @@ def top_contested(postings: DataFrame, n: int = 5, c: PostingColumns = POSTINGS)
 def competition_top(
     postings: DataFrame, n: int = 10, c: PostingColumns = POSTINGS
 ) -> DataFrame:
-    """The ``n`` most contested sub-sectors, least contested first, with bar texts."""
+    """The ``n`` most contested sub-sectors, least contested first, with bar texts.
+
+    Pay is counted for their postings alone: a semi-join with the ``n`` names.
+    """
     top = top_rows(competition_sums(postings, c), n, *by_competition(c))
-    rows = _with_median(top, postings, c).withColumns(
+    inside = matching(postings, F.broadcast(top.select(c.category)), c.category)  # n rows
+    rows = _with_median(top, inside, c).withColumns(
         {
             "salary_text": F.concat(F.lit("$"), grouped_text("median_salary", 0)),
             "experience_text": F.concat(fixed_text("avg_exp", 1), F.lit("y")),

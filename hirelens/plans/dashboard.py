@@ -15,17 +15,22 @@ from . import competition, friction, market, pulse, summary
 
 
 def reports(
-    filtered: DataFrame, grain: str, c: PostingColumns = POSTINGS
+    filtered: DataFrame,
+    grain: str,
+    c: PostingColumns = POSTINGS,
+    overview: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """Every report as a lazy frame."""
+    """Every report as a lazy frame. ``overview`` holds the rows of ``pulse.reduced``."""
+    if overview is None:
+        overview = pulse.reduced(filtered, grain, c)
     structure = competition.with_positioning(competition.contested_structure(filtered, c=c), c=c)
     premium = friction.friction_premium(filtered, c=c)
     return {
-        "kpi_cards": pulse.kpi_cards(filtered, c),
-        "pulse": pulse.pulse(filtered, grain, c),
-        "timeline": pulse.timeline(filtered, grain, c),
-        "apps_by_seniority": pulse.apps_by_seniority(filtered, c),
-        "apps_by_sector": pulse.apps_by_sector(filtered, c),
+        "kpi_cards": pulse.cards_of(pulse.kpi_of_reduced(overview, c)),
+        "pulse": pulse.pulse_of_reduced(overview, grain, c),
+        "timeline": pulse.timeline(overview, grain, c),
+        "apps_by_seniority": pulse.apps_by_seniority(overview, c),
+        "apps_by_sector": pulse.apps_by_sector(overview, c),
         "market": market.flag_most_competitive(
             market.market_zones(market.market_map(filtered, c), c), c=c
         ),
@@ -43,12 +48,16 @@ def dashboard(
     """The reports over filtered postings that are scanned once and kept.
 
     The filters go into the scan; what is left is kept for all reports and
-    released when the block ends.
+    released when the block ends. So are the few rows that the overview (key
+    figures, timeline, shares, pulse) is made of.
     """
     spec = spec or FilterSpec()
     needed = [n for n in c.read_columns if n not in c.periods or n == c.period(spec.grain)]
-    with kept(apply_filters(postings, spec, c).select(*needed)) as held:
-        yield reports(held, spec.grain, c)
+    with (
+        kept(apply_filters(postings, spec, c).select(*needed)) as held,
+        kept(pulse.reduced(held, spec.grain, c)) as overview,
+    ):
+        yield reports(held, spec.grain, c, overview)
 
 
 def collect_all(frames: Mapping[str, DataFrame], at_once: int = 8) -> dict[str, list[Row]]:

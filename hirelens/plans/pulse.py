@@ -23,7 +23,34 @@ def _kpis(c: PostingColumns) -> list[Column]:
 
 def kpi_summary(postings: DataFrame, c: PostingColumns = POSTINGS) -> DataFrame:
     """Five totals and the two ratios from them, one row, also over no rows."""
-    return postings.agg(*_kpis(c)).withColumns(
+    return _with_ratios(postings.agg(*_kpis(c)))
+
+
+def reduced(
+    postings: DataFrame, grain: str = DEFAULT_GRAIN, c: PostingColumns = POSTINGS
+) -> DataFrame:
+    """Postings summed to (period, PMET, sector, seniority): all that the overview needs.
+
+    Sums keep the names of their columns, so ``timeline`` and ``apps_by_*`` take
+    these rows in place of the postings; ``posts`` and ``reposts`` are counts.
+    """
+    return postings.groupBy(c.period(grain), c.pmet, c.sector, c.level).agg(
+        *(total(n).alias(n) for n in (c.vacancies, c.applications, c.views)), *_kpis(c)[3:]
+    )
+
+
+def _sums_of_reduced(c: PostingColumns) -> list[Column]:
+    names = {c.vacancies: "vacancies", c.applications: "applications", c.views: "views"}
+    return [total(n).alias(a) for n, a in (names | {"posts": "posts", "reposts": "reposts"}).items()]
+
+
+def kpi_of_reduced(rows: DataFrame, c: PostingColumns = POSTINGS) -> DataFrame:
+    """``kpi_summary`` from the rows of ``reduced``."""
+    return _with_ratios(rows.agg(*_sums_of_reduced(c)))
+
+
+def _with_ratios(sums: DataFrame) -> DataFrame:
+    return sums.withColumns(
         {
             "apps_per_vacancy": _if_positive("applications", "vacancies"),
             "views_per_post": _if_positive("views", "posts"),
@@ -37,6 +64,11 @@ def _if_positive(num: str, den: str) -> Column:
 
 def kpi_cards(postings: DataFrame, c: PostingColumns = POSTINGS) -> DataFrame:
     """The key figures as (position, label, value) text rows."""
+    return cards_of(kpi_summary(postings, c))
+
+
+def cards_of(kpis: DataFrame) -> DataFrame:
+    """The row of ``kpi_summary`` as cards."""
     # The labels of the five cards, in order.
     cards = (
         ("Total Vacancies", grouped_text("vacancies", 0)),
@@ -49,7 +81,7 @@ def kpi_cards(postings: DataFrame, c: PostingColumns = POSTINGS) -> DataFrame:
         F.struct(F.lit(i).alias("position"), F.lit(label).alias("label"), value.alias("value"))
         for i, (label, value) in enumerate(cards, 1)
     ]
-    return kpi_summary(postings, c).select(F.inline(F.array(*rows)))
+    return kpis.select(F.inline(F.array(*rows)))
 
 
 def timeline_sums(
@@ -102,26 +134,21 @@ def pulse(
     Postings are reduced to the finest of these groups first; only those few
     rows are multiplied by the grouping sets.
     """
-    period = F.col(c.period(grain))
-    slim = postings.select(
-        period.alias("period"),
-        c.pmet,
-        c.sector,
-        c.level,
-        c.vacancies,
-        c.applications,
-        c.views,
-        c.repost,
-        c.job_id,
-    )
+    return pulse_of_reduced(reduced(postings, grain, c), grain, c)
+
+
+def pulse_of_reduced(
+    rows: DataFrame, grain: str = DEFAULT_GRAIN, c: PostingColumns = POSTINGS
+) -> DataFrame:
+    """``pulse`` from the rows of ``reduced``."""
+    rows = rows.withColumnRenamed(c.period(grain), "period")
     dims = ["period", c.pmet, c.sector, c.level]
-    reduced = slim.groupBy(*dims).agg(*_kpis(c))
-    sums = [total(n).alias(n) for n in reduced.columns[len(dims) :]]
+    sums = _sums_of_reduced(c)
     sets = [["period", c.pmet], [c.sector], [c.level]]
-    parts = reduced.groupingSets([[F.col(n) for n in s] for s in sets], *dims).agg(
+    parts = rows.groupingSets([[F.col(n) for n in s] for s in sets], *dims).agg(
         F.grouping_id(*dims).alias("grouping"), *sums
     )
     nothing = [F.lit(None).cast("string").alias(n) for n in dims]
     everything = F.lit(15).cast("long").alias("grouping")
-    whole = reduced.agg(*sums).select(*nothing, everything, *reduced.columns[len(dims) :])
+    whole = rows.agg(*sums).select("*", *nothing, everything)
     return parts.unionByName(whole)

@@ -15,8 +15,10 @@ def distinct_roles(
 ) -> DataFrame:
     """One row per sub-sector and lower-cased title: its dominant spelling.
 
-    Spellings are counted first, then the most frequent one is taken; both
-    steps combine before the shuffle. Ties go to the spelling that sorts first.
+    Spellings are counted first, combined before the shuffle. The counted ones
+    are dealt by (sub-sector, lower-cased title) and sorted by it once; both
+    halves of the next aggregate run on that. Ties go to the spelling that sorts
+    first.
     ``clean`` cleans the shown title again, but not the lower-cased key.
     """
     shown = clean_title(c.title) if clean else F.col(c.title)
@@ -26,6 +28,7 @@ def distinct_roles(
         )
         .groupBy(c.category, "lower_title", "title")
         .agg(F.count(F.lit(1)).alias("n"))
+        .repartition(c.category, "lower_title")
     )
     return argmax(spellings, [c.category, "lower_title"], by="n", pick="title")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from conftest import dicts, plan
 from pyspark.sql import functions as F
@@ -382,6 +383,15 @@ def test_parts_add_up_to_the_whole(clean):
     assert {k[0] for k in long} == {3, 13, 14, 15}
 
 
+def test_spellings_are_sorted_once(clean):
+    text = plan(titles.distinct_roles(table_postings(clean)))
+    assert len(re.findall(r"\bSort \[", text)) == 1, text
+
+
+def test_pay_of_the_contested_is_cut_before_counting(clean):
+    assert "LeftSemi" in plan(competition.competition_top(table_postings(clean)))
+
+
 def test_dashboard_keeps_and_releases(spark, clean):
     p = table_postings(clean)
     with dashboard(p, FilterSpec(level="L1")) as reports:
