@@ -21,6 +21,7 @@ from hirelens.llm.sampling import small_hashes
 from hirelens.sources.shared import scratch_folder, stored
 
 BLOCK = 2048
+RANKED = 128  # rows whose cells are ranked at a time
 TINY = 1e-300
 
 
@@ -51,6 +52,32 @@ class MultiIndex:
         cells = near_a[:, i] * b.shape[1] + near_b[:, j]
         return np.take_along_axis(cells, nearest, 1)
 
+    def ranks(self, x: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """The place of one cell in the whole order of each row, by counting the cells before it.
+
+        Sums grow along each half, so those before the cell are a prefix for
+        every centroid of the first half, found by bisection: no cell is sorted.
+        """
+        out = np.empty(len(x), np.int64)
+        for at in range(0, len(x), RANKED):
+            rows, cell = x[at : at + RANKED], np.asarray(cells[at : at + RANKED])[:, None]
+            a, b = distances(rows[:, : self.half], self.first), distances(rows[:, self.half :], self.second)
+            near_a, near_b = np.argsort(a, axis=1, kind="stable"), np.argsort(b, axis=1, kind="stable")
+            i = (near_a == cell // b.shape[1]).argmax(1)[:, None]
+            j = (near_b == cell % b.shape[1]).argmax(1)[:, None]
+            a, b = np.take_along_axis(a, near_a, 1), np.take_along_axis(b, near_b, 1)
+            total = np.take_along_axis(a, i, 1) + np.take_along_axis(b, j, 1)
+            ties = np.arange(a.shape[1]) < i  # of equal sums, those of nearer first centroids come before
+            low, high = np.zeros(a.shape, np.int64), np.full(a.shape, b.shape[1])
+            while (low < high).any():
+                middle = (low + high) // 2
+                sums = a + np.take_along_axis(b, np.minimum(middle, b.shape[1] - 1), 1)
+                before = (low < high) & ((sums < total) | (ties & (sums == total)))
+                low, high = np.where(before, middle + 1, low), np.where(before, high, middle)
+            np.put_along_axis(low, i, j, 1)
+            out[at : at + RANKED] = low.sum(1)
+        return out
+
 
 def distances(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return (x * x).sum(1)[:, None] - 2 * x @ centroids.T + (centroids * centroids).sum(1)
@@ -77,15 +104,14 @@ def fit(x: np.ndarray, k: int, min_cosine: float, recall: float, queries: int =
     """
     half = x.shape[1] // 2
     index = MultiIndex(k_means(x[:, :half], k), k_means(x[:, half:], k, seed=8), 1)
-    cells = len(index.first) * len(index.second)
     rng = np.random.default_rng(9)
     a = x[rng.choice(len(x), min(queries, len(x)), replace=False)]
     away = rng.normal(size=a.shape)
     away -= (away * a).sum(1)[:, None] * a
     away /= np.maximum(np.linalg.norm(away, axis=1)[:, None], TINY)
     b = min_cosine * a + math.sqrt(1 - min_cosine**2) * away
-    to_b = (index.order(a, cells) == index.order(b, 1)).argmax(1)
-    to_a = (index.order(b, cells) == index.order(a, 1)).argmax(1)
+    to_b = index.ranks(a, index.order(b, 1)[:, 0])
+    to_a = index.ranks(b, index.order(a, 1)[:, 0])
     needed = np.quantile(np.minimum(to_a, to_b), recall, method="higher")
     return MultiIndex(index.first, index.second, int(needed) + 1)
 

@@ -81,6 +81,25 @@ def test_multi_sequence_order_is_the_true_order():
     assert (index.order(x) == np.argsort(sums, axis=1)[:, :12]).all()
 
 
+def test_ranks_are_places_in_the_order():
+    rng = np.random.default_rng(12)
+    index = embeddings.MultiIndex(rng.integers(0, 3, (9, 2)) * 1.0, rng.integers(0, 3, (6, 2)) * 1.0, 1)
+    x = rng.integers(0, 3, (300, 4)) * 1.0  # whole numbers: many sums are equal
+    cells = rng.integers(0, 54, 300)
+    assert (index.ranks(x, cells) == (index.order(x, 54) == cells[:, None]).argmax(1)).all()
+
+
+def test_calibration_never_holds_all_cells_of_all_queries():
+    import tracemalloc
+
+    x = embeddings.unit(np.random.default_rng(13).normal(size=(1000, 8)))
+    tracemalloc.start()
+    embeddings.fit(x, 300, 0.95, 0.99)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400 * 300**2 * 8 / 4  # a quarter of one array of queries x cells
+
+
 # --- URLs -----------------------------------------------------------------------------------
 
 
