@@ -3,13 +3,15 @@
 Two independent codebooks, one for each half of the vectors, form a product
 grid. Each vector is filed in its cell and visits the cells nearest to it in the
 order of the sum of both distances (multi-sequence order), as many as the target
-recall needs. Where visitors meet members, cosines are computed exactly.
+recall needs for the true links of a set of queries, which are found by brute
+force. Where visitors meet members, cosines are computed exactly.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -21,6 +23,7 @@ from hirelens.llm.sampling import small_hashes
 from hirelens.sources.shared import scratch_folder, stored
 
 BLOCK = 2048
+QUERIES = 2000  # vectors whose true links are found by brute force
 RANKED = 128  # rows whose cells are ranked at a time
 TINY = 1e-300
 
@@ -97,10 +100,11 @@ def k_means(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray
 
 
 def fit(x: np.ndarray, k: int, min_cosine: float, recall: float, queries: int = 400) -> MultiIndex:
-    """Codebooks from the sample ``x`` (rows of length 1), and visits for the target recall.
+    """Codebooks from the sample ``x`` (rows of length 1), and least visits for the target recall.
 
     The visits are measured on partners at exactly ``min_cosine``, in random
-    directions: the hardest that must be found, from either side.
+    directions. True partners differ where the data vary and cross more borders
+    of cells: ``_true_ranks`` measures them, this is for data without links.
     """
     half = x.shape[1] // 2
     index = MultiIndex(k_means(x[:, :half], k), k_means(x[:, half:], k, seed=8), 1)
@@ -116,6 +120,61 @@ def fit(x: np.ndarray, k: int, min_cosine: float, recall: float, queries: int =
     return MultiIndex(index.first, index.second, int(needed) + 1)
 
 
+def _true_ranks(distinct: DataFrame, shared, min_cosine: float) -> dict[int, int]:
+    """How many links of the queries need which rank, from the side that finds them sooner.
+
+    Every vector meets every query, in blocks. ``shared`` is a broadcast of the
+    index, the queries and their nodes. High ranks are rounded up to ten binary
+    digits, so that only a few thousand counts come to the driver.
+    """
+
+    def ranked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index, queries, nodes = shared.value
+        home = index.order(queries, 1)[:, 0]
+        for batch in batches:
+            for at in range(0, len(batch), 1024):
+                part = batch.iloc[at : at + 1024]
+                x = unit(part["vector"])
+                linked = (x @ queries.T >= min_cosine) & (part["node"].to_numpy()[:, None] != nodes[None, :])
+                i, j = np.nonzero(linked)
+                if not len(i):
+                    continue
+                some, i = np.unique(i, return_inverse=True)
+                x = x[some]
+                cell = index.order(x, 1)[:, 0]
+                ranks = _ranks_once(index, queries, j, cell[i])
+                far = np.nonzero(ranks)[0]
+                ranks[far] = np.minimum(ranks[far], _ranks_once(index, x, i[far], home[j[far]]))
+                step = 1 << np.maximum(np.frexp(ranks)[1] - 10, 0)
+                rank, n = np.unique(-(-ranks // step) * step, return_counts=True)
+                yield pd.DataFrame({"rank": rank, "n": n})
+
+    found = distinct.select("node", "vector").mapInPandas(ranked, "rank long, n long")
+    return {r["rank"]: r["n"] for r in found.groupBy("rank").agg(F.sum("n").alias("n")).collect()}
+
+
+def _ranks_once(index: MultiIndex, x: np.ndarray, rows: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """Ranks of ``cells`` for the rows ``x[rows]``; equal pairs are ranked once."""
+    pairs, place = np.unique(np.stack([rows, cells]), axis=1, return_inverse=True)
+    return index.ranks(x[pairs[0]], pairs[1])[place.ravel()]
+
+
+def enough_visits(ranks: dict[int, int], recall: float) -> int:
+    """Visits that find the share ``recall`` of all links, if the ranks of a sample of them are these.
+
+    1.64 standard errors are added to the share: the sample's own quantile would
+    be too low half the time.
+    """
+    total = sum(ranks.values())
+    wanted = min(total, total * recall + 1.64 * math.sqrt(total * recall * (1 - recall)))
+    found = 0
+    for rank, n in sorted(ranks.items()):
+        found += n
+        if found >= wanted:
+            return rank + 1
+    return 1
+
+
 def unit(vectors) -> np.ndarray:
     x = np.stack([np.asarray(v, np.float64) for v in vectors])
     x /= np.abs(x).max(1)[:, None]  # squares of huge or tiny components stay finite
@@ -170,20 +229,36 @@ def _met(min_cosine: float):
     return met
 
 
+def _fitted(distinct: DataFrame, total: int, min_cosine: float, recall: float, sample: int) -> MultiIndex:
+    """The index of ``distinct``: its codebooks and its visits."""
+    context = distinct.sparkSession.sparkContext
+    chosen = (
+        small_hashes(distinct.select("node", "vector"), F.xxhash64("vector"), total, sample + QUERIES)
+        .orderBy("__hash")
+        .limit(sample + QUERIES)
+        .collect()
+    )
+    k = int(min(1024, max(1, round(math.sqrt(total / 32)))))
+    x = unit([r.vector for r in chosen])
+    index = fit(x[:sample], k, min_cosine, recall)
+    if len(index.first) * len(index.second) == 1:
+        return index
+    # The last of the chosen: where there are enough vectors, none that the codebooks were fitted on.
+    queries, nodes = x[-QUERIES:], np.array([r.node for r in chosen[-QUERIES:]])
+    shared = context.broadcast((index, queries, nodes))
+    visits = enough_visits(_true_ranks(distinct, shared, min_cosine), recall)
+    shared.unpersist()
+    cells = len(index.first) * len(index.second)
+    return replace(index, visits=min(cells, max(index.visits, visits)))
+
+
 def _of_one_size(distinct: DataFrame, total: int, min_cosine: float, recall: float, sample: int) -> DataFrame:
     """(a, b, n): partial counts n of links of node a, and links a-b where they differ.
 
     ``distinct``: node, vector, copies; all vectors of one size.
     """
     spark = distinct.sparkSession
-    chosen = (
-        small_hashes(distinct.select("vector"), F.xxhash64("vector"), total, sample)
-        .orderBy("__hash")
-        .limit(sample)
-        .collect()
-    )
-    k = int(min(1024, max(1, round(math.sqrt(total / 32)))))
-    shared = spark.sparkContext.broadcast(fit(unit([r.vector for r in chosen]), k, min_cosine, recall))
+    shared = spark.sparkContext.broadcast(_fitted(distinct, total, min_cosine, recall, sample))
 
     @F.pandas_udf("array<int>")
     def visited(vectors: pd.Series) -> pd.Series:
@@ -236,7 +311,9 @@ def near_groups(
     and the index finds it; equal vectors always do. Rows with a null, zero or
     non-finite vector, or with a null component, link with nothing; vectors of
     different sizes do not link. ``sample`` bounds the vectors that the
-    codebooks are fitted on, for each vector size.
+    codebooks are fitted on, for each vector size. ``recall`` is the share of all
+    links between distinct vectors that the index is to find, measured on all
+    links of up to 2,000 of them.
     """
     spark = vectors.sparkSession
     rows = vectors.select("vec_id", "embedding", usable(F.col("embedding")).alias("usable"))
