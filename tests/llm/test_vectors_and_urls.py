@@ -100,6 +100,33 @@ def test_calibration_never_holds_all_cells_of_all_queries():
     assert peak < 400 * 300**2 * 8 / 4  # a quarter of one array of queries x cells
 
 
+@pytest.mark.parametrize("dims, rank", [(64, 6), (384, 8)])
+def test_recall_of_copies_that_differ_where_the_data_vary(spark, tmp_path, dims, rank):
+    """Low-rank vectors, half of them near copies in the same subspace, on a grid of 25 x 25 cells."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(21)
+    basis = rng.normal(size=(rank, dims))
+    low = rng.normal(size=(10_000, rank))
+    away = rng.normal(size=low.shape) * np.linalg.norm(low, axis=1)[:, None] / np.sqrt(rank)
+    x = np.concatenate([low, low + 0.28 * away]) @ basis
+    flat = pa.array(x.ravel())
+    vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, dims, dtype=np.int32)), flat)
+    pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": vectors}), tmp_path / "x.parquet")
+    want = np.zeros(len(x), int)
+    unit = embeddings.unit(x)
+    for at in range(0, len(x), 1000):
+        want[at : at + 1000] = (unit[at : at + 1000] @ unit.T >= 0.95).sum(1) - 1
+    got = embeddings.near_groups(spark.read.parquet(str(tmp_path)), min_cosine=0.95)
+    found = {r.vec_id: r.n_links for r in got.select("vec_id", "n_links").collect()}
+    found = np.array([found[i] for i in range(len(x))])
+    print("links", want.sum(), "recall", found.sum() / want.sum())
+    assert want.sum() > 10_000
+    assert (found <= want).all()
+    assert found.sum() >= 0.99 * want.sum()
+
+
 # --- URLs -----------------------------------------------------------------------------------
 
 
