@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from hirelens.llm.sampling import small_hashes
@@ -165,7 +165,14 @@ def train(docs: DataFrame, *, rows: int = 4000, threshold: float = 0.5) -> Quali
     the sample's features come to the driver. The sample holds the distinct
     texts with the smallest hashes. Without rows every document scores 0.5.
     """
-    counted = docs.select(_votes_of().alias("votes")).groupBy("votes").count().orderBy("votes").collect()
+    texts = docs.select(_text().alias("text"))
+    counted = (
+        texts.select(_votes_of().alias("votes"), F.xxhash64("text").alias("hash"))
+        .groupBy("votes")
+        .agg(F.count(F.lit(1)).alias("count"), F.countDistinct("hash").alias("texts"))
+        .orderBy("votes")
+        .collect()
+    )
     width = BUCKETS + 3
     if not counted:
         return QualityModel(0.5, np.ones((2, len(LABELLERS), 3)), np.zeros(width), threshold)
@@ -179,14 +186,19 @@ def train(docs: DataFrame, *, rows: int = 4000, threshold: float = 0.5) -> Quali
             {"votes": [votes(t) for t in texts], "x": [features(t).tobytes() for t in texts]}
         )
 
-    texts = docs.select(_text().alias("text"))
-    sample = (
-        small_hashes(texts, F.xxhash64("text"), int(counts.sum()), rows)
-        .select("__hash", measured("text").alias("m"))
-        .orderBy("__hash")
-        .limit(rows)
-        .collect()
-    )
+    def smallest(total: int) -> list[Row]:
+        return (
+            small_hashes(texts, F.xxhash64("text"), total, rows)
+            .select("__hash", measured("text").alias("m"))
+            .orderBy("__hash")
+            .limit(rows)
+            .collect()
+        )
+
+    distinct = sum(r["texts"] for r in counted)  # equal texts have equal votes
+    sample = smallest(distinct)
+    if len(sample) < min(rows, distinct):  # the hashes lie unevenly: no cut
+        sample = smallest(rows)
     x = np.stack([np.frombuffer(r.m.x, np.float32) for r in sample]).astype(np.float64)
     y = posteriors(np.array([list(map(int, r.m.votes)) for r in sample]), good, chances)
     return QualityModel(good, chances, fit_scorer(x, y), threshold)

@@ -482,6 +482,20 @@ def test_quality_odd_rows(spark, sample):
     assert {r.score for r in quality.scored(docs, nothing).collect()} == {0.5}
 
 
+def test_quality_of_repeated_and_null_texts(spark, monkeypatch):
+    """The scorer learns from all distinct texts, however often they are repeated."""
+    nothing = spark.range(50_000).select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    rows = quality.scored(nothing, quality.train(nothing)).select("posterior", "score").distinct().collect()
+    assert len(rows) == 1 and 0 <= rows[0].score < 0.5
+    drawn = []
+    fit = quality.fit_scorer
+    monkeypatch.setattr(quality, "fit_scorer", lambda x, y: drawn.append(len(x)) or fit(x, y))
+    words = F.concat(F.lit("Some words about number "), (F.col("id") % 50).cast("string"), F.lit("."))
+    quality.train(spark.range(50_000).select(words.alias("text")))
+    quality.train(spark.range(50_000).select(F.when(F.col("id") % 3 == 0, words).alias("text")))
+    assert drawn == [50, 51]
+
+
 def test_language_held_out(spark, sample):
     truth = {r.doc_id: r.lang for r in sample.collect()}
     rows = registry.op7_language(spark, SF).collect()
