@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from hirelens.llm import embeddings, chunks, language, lines, packing, quality, secrets, sentences, simhash, urls
+from hirelens.llm import embeddings, chunks, language, lines, packing, quality, secrets, sentences, simhash, spelling, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -101,6 +101,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(pages, URL_RULES, model)
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), min_length=5, min_count=3, times=2)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -117,6 +121,7 @@ def queries() -> dict[str, Query]:
         "op8_simhash": op8_simhash,
         "op9_secrets": op9_secrets,
         "op10_url_filter": op10_url_filter,
+        "op12_spelling_variants": op12_spelling_variants,
         "pipeline": pipeline,
     }
 
@@ -144,5 +149,64 @@ GROUP BY k.doc_id
 """
 
 
+# CRC-32 byte by byte; neighbours by the word without one letter; forms followed by recursion.
+SPELLING_SQL = r"""
+WITH RECURSIVE crc AS (
+    SELECT list(v ORDER BY i) AS tab FROM (
+        SELECT i, list_reduce(list_prepend(i::BIGINT, list_transform(range(8), lambda z: 0::BIGINT)),
+            lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+        FROM range(256) t(i))
+), found AS (
+    SELECT coalesce(doc_id::VARCHAR, '') AS doc,
+           unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run
+    FROM documents
+), counted AS (
+    SELECT doc, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run,
+           count(*) AS k
+    FROM found GROUP BY 1, 2
+), coded AS (
+    SELECT run, k, flatten(list_transform(string_split(doc || ':' || run, ''), lambda x:
+        CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT]
+             ELSE [192 + (unicode(x) >> 6)::BIGINT, 128 + (unicode(x) & 63)::BIGINT] END)) AS bytes
+    FROM counted
+), hashed AS (
+    SELECT run, k, xor(4294967295, list_reduce(list_prepend(4294967295, bytes),
+        lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]))) AS h
+    FROM coded, crc
+), words AS (
+    SELECT CASE WHEN h % 97 = 0
+                THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2)
+                ELSE run END AS word,
+           sum(k)::BIGINT AS n
+    FROM hashed GROUP BY 1 HAVING sum(k) >= 3 AND length(word) >= 5
+), without AS (
+    SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+    FROM words, unnest(range(1, length(word) + 1)) t(i)
+), pairs AS (
+    SELECT u.word, v.word AS near, v.n AS near_n
+    FROM without u JOIN without v ON u.i = v.i AND u.rest = v.rest AND u.word <> v.word
+    UNION
+    SELECT u.word, v.word, v.n FROM words u JOIN without v ON u.word = v.rest
+    UNION
+    SELECT v.word, u.word, u.n FROM words u JOIN without v ON u.word = v.rest
+), ranked AS (
+    SELECT word, near, near_n, count(*) OVER (PARTITION BY word) AS n_near,
+           row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS place
+    FROM pairs
+), formed AS (
+    SELECT w.word, w.n, coalesce(n_near, 0) AS n_near,
+           CASE WHEN near_n >= 2 * w.n THEN near END AS form,
+           CASE WHEN near_n >= 2 * w.n THEN near_n END AS form_n
+    FROM words w LEFT JOIN ranked r ON w.word = r.word AND place = 1
+), chain AS (
+    SELECT word, word AS root FROM formed
+    UNION
+    SELECT c.word, f.form FROM chain c JOIN formed f ON c.root = f.word WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n
+FROM formed f JOIN chain c ON f.word = c.word JOIN formed e ON c.root = e.word AND e.form IS NULL
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": LINE_DEDUP_SQL}
+    return {"op6_line_dedup": LINE_DEDUP_SQL, "op12_spelling_variants": SPELLING_SQL}
