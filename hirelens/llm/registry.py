@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from hirelens.llm import embeddings, chunks, language, lines, packing, quality, secrets, sentences, simhash, spelling, urls
+from hirelens.llm import embeddings, chunks, language, lines, packing, quality, secrets, sentences, simhash, spelling, templates, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -105,6 +105,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"), min_length=5, min_count=3, times=2)
 
 
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.main_text(table(spark, sf_dir, "pages"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -122,6 +126,7 @@ def queries() -> dict[str, Query]:
         "op9_secrets": op9_secrets,
         "op10_url_filter": op10_url_filter,
         "op12_spelling_variants": op12_spelling_variants,
+        "op13_main_text": op13_main_text,
         "pipeline": pipeline,
     }
 
