@@ -55,12 +55,12 @@ class WordIds(dict):
 
         super().__init__()
         with open(path, encoding="utf-8") as file:
-            described = json.load(file)
-        special = {t["content"] for t in described["added_tokens"]}
+            self.described = json.load(file)
+        special = {t["content"] for t in self.described["added_tokens"]}
         letters = byte_alphabet()
         ranks = {
             bytes(letters[c] for c in token): number
-            for token, number in described["model"]["vocab"].items()
+            for token, number in self.described["model"]["vocab"].items()
             if token not in special
         }
         coding = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from hirelens.llm import embeddings, chunks, language, lines, packing, quality, secrets, sentences, simhash, spelling, templates, urls
+from hirelens.llm import alignment, embeddings, chunks, language, lines, packing, quality, secrets, sentences, simhash, spelling, templates, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -101,6 +101,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(pages, URL_RULES, model)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return alignment.align(docs, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"), min_length=5, min_count=3, times=2)
 
@@ -125,6 +130,7 @@ def queries() -> dict[str, Query]:
         "op8_simhash": op8_simhash,
         "op9_secrets": op9_secrets,
         "op10_url_filter": op10_url_filter,
+        "op11_alignment": op11_alignment,
         "op12_spelling_variants": op12_spelling_variants,
         "op13_main_text": op13_main_text,
         "pipeline": pipeline,
