@@ -13,9 +13,7 @@ distinct pairs once, and the sums over all blocks return to it.
 from __future__ import annotations
 
 import hashlib
-import re
-from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -28,10 +26,9 @@ from hirelens.llm.packing import WordIds, byte_alphabet
 from hirelens.sources.shared import scratch_folder, stored
 
 SPACE_MARK = "▁"
-WORD = re.compile(r" +[^ ]*")
-MOST_WORDS = 200_000
-# Characters of a block, and links that are looked at together.
-BLOCK, LINKS = 1 << 23, 1 << 21
+# Characters of a block; links and tokens that are looked at together.
+BLOCK, LINKS, PART = 1 << 23, 1 << 21, 1 << 16
+NONE = np.zeros(0, np.uint32)
 
 FIGURES = ["n_a", "n_b", "n_groups", "n_links"]
 BLOCKS = (
@@ -41,79 +38,64 @@ BLOCKS = (
 ALIGNED = "doc string, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
-class ByteIds(WordIds):
-    """Ids of the byte-level vocabulary, and the bytes of each."""
+def byte_side(path: str) -> tuple[Callable, list[bytes]]:
+    """How a byte-level vocabulary encodes a text, and the bytes of each id."""
+    words = WordIds(path)
+    letters, vocab = byte_alphabet(), words.described["model"]["vocab"]
+    special = {t["content"] for t in words.described["added_tokens"]}
+    known = [b""] * (max(vocab.values(), default=-1) + 1)
+    for token, i in vocab.items():
+        known[i] = token.encode() if token in special else bytes(letters[c] for c in token)
+    return words.ids, known
 
-    def __init__(self, path: str):
-        super().__init__(path, MOST_WORDS)
-        letters = byte_alphabet()
-        vocab = self.described["model"]["vocab"]
-        specials = {t["content"] for t in self.described["added_tokens"]}
-        self.bytes = [b""] * (max(vocab.values(), default=0) + 1)
-        for token, i in vocab.items():
-            self.bytes[i] = token.encode() if token in specials else bytes(letters[c] for c in token)
 
+def piece_side(path: str) -> tuple[Callable, list[bytes]]:
+    """The same of a sentencepiece model, which adds a blank to the text."""
+    from sentencepiece import SentencePieceProcessor
 
-class PieceIds(dict):
-    """Ids of the sentencepiece model for words without their first blank, by a table of words.
+    model = SentencePieceProcessor(model_file=path)
+    pieces = ((model.is_byte(i), model.id_to_piece(i)) for i in range(model.get_piece_size()))
+    known = [bytes([int(p[3:5], 16)]) if byte else p.replace(SPACE_MARK, " ").encode() for byte, p in pieces]
+    return model.encode_as_numpy, known
 
-    No piece reaches over the start of a run of blanks, so a text's ids are
-    those of its runs of blanks with what follows, one after the other. A word
-    whose pieces do not give back its bytes has none.
-    """
 
-    def __init__(self, path: str):
-        from sentencepiece import SentencePieceProcessor
-
-        super().__init__()
-        model = SentencePieceProcessor(model_file=path)
-        self.encode = model.encode
-        self.blank = array("I", [model.piece_to_id(SPACE_MARK)]).tobytes()
-        self.bytes = []
-        for i in range(model.get_piece_size()):
-            piece = model.id_to_piece(i)
-            own = bytes([int(piece[3:5], 16)]) if model.is_byte(i) else piece.replace(SPACE_MARK, " ").encode()
-            self.bytes.append(own)
-            if piece.strip(SPACE_MARK) and SPACE_MARK in piece[1:].lstrip(SPACE_MARK) and not model.is_control(i):
-                raise ValueError(f"piece {piece!r} reaches over the start of a word")
-
-    def __call__(self, text: str) -> bytes | None:
-        """Ids of a text that starts with a blank, None if they do not give back its bytes."""
-        words = [w[1:] for w in WORD.findall(text)] if "  " in text else text.split(" ")[1:]
-        if len(self) > MOST_WORDS:
-            self.clear()
-        self[""] = self.blank  # the library adds no blank to nothing
-        new = [w for w in set(words) if w not in self]
-        if new:
-            for word, ids in zip(new, self.encode(new, out_type=int, num_threads=1)):
-                back = b"".join(map(self.bytes.__getitem__, ids))
-                self[word] = array("I", ids).tobytes() if back == f" {word}".encode() else None
-        found = list(map(self.__getitem__, words))
-        return None if None in found else b"".join(found)
+class Strings:
+    """Many short byte strings in one buffer, to be joined by their numbers."""
+
+    def __init__(self, strings: list[bytes]):
+        self.length = np.array([len(x) for x in strings], np.int32)
+        self.start = np.cumsum(self.length, dtype=np.int32) - self.length
+        self.buffer = np.frombuffer(b"".join(strings), np.uint8)
+
+    def joined(self, numbers: np.ndarray) -> np.ndarray:
+        n = self.length[numbers]
+        upto = np.cumsum(n, dtype=np.int32)
+        at = np.repeat(self.start[numbers] - upto + n, n)
+        at += np.arange(len(at), dtype=np.int32)
+        return self.buffer[at]
 
 
 class Pair:
     """Two tokenizers with what is looked up by id."""
 
     def __init__(self, vocabulary: str, model: str):
-        self.a, self.b = ByteIds(vocabulary), PieceIds(model)
-        self.sizes = len(self.a.bytes), len(self.b.bytes)
-        self.length = [np.array([len(x) for x in side.bytes], np.int64) for side in (self.a, self.b)]
+        (self.a, bytes_a), (self.b, bytes_b) = byte_side(vocabulary), piece_side(model)
+        self.sizes = len(bytes_a), len(bytes_b)
+        self.sides = Strings(bytes_a), Strings(bytes_b)
         texts = [[str(i).encode() for i in range(n)] for n in self.sizes]
         # The decimal id with the mark after it: in a group, at its end, for both sides.
-        self.texts = [t + mark for ids, marks in zip(texts, ((b",", b"|"), (b",", b";"))) for mark in marks for t in ids]
+        marked = ((texts[0], b","), (texts[0], b"|"), (texts[1], b","), (texts[1], b";"))
+        self.written = Strings([t + mark for ids, mark in marked for t in ids])
 
-    def ids(self, text: str | None) -> tuple[bytes, bytes]:
-        """Ids of a text with a blank before it, both empty if one side does not give back its bytes."""
-        if not text or SPACE_MARK in text:
-            return b"", b""
-        spaced = " " + text
-        b = self.b(spaced)
-        if b is None:
-            return b"", b""
-        a = self.a(spaced)
-        lost = self.length[0][np.frombuffer(a, np.uint32)].sum() != len(spaced.encode())
-        return (b"", b"") if lost else (a, b)
+    def ids(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a text with a blank before it, none if one side does not give back its bytes."""
+        if text and SPACE_MARK not in text:
+            spaced = " " + text
+            both = np.array(self.a(spaced), np.uint32), np.asarray(self.b(text)).astype(np.uint32)
+            whole = np.frombuffer(spaced.encode(), np.uint8)
+            if all(np.array_equal(side.joined(ids), whole) for side, ids in zip(self.sides, both)):
+                return both
+        return NONE, NONE
 
 
 @lru_cache(maxsize=1)
@@ -129,19 +111,18 @@ def near_middle(ea: np.ndarray, eb: np.ndarray, lo: np.ndarray, hi: np.ndarray)
     wide as the one before.
     """
     middle = (lo + hi - 1) // 2
-    cut, partner = np.full(len(lo), -1), np.full(len(lo), -1)
-    left = np.arange(len(lo))
-    reach = 0
+    cut, partner = np.full(len(lo), -1, np.int32), np.full(len(lo), -1, np.int32)
+    where = np.searchsorted(eb, ea[middle])
+    hit = eb[where] == ea[middle]
+    cut[hit], partner[hit] = middle[hit], where[hit]
+    left = np.flatnonzero(~hit & (hi - lo > 2))
+    reach = 1
     while len(left):
-        far = max(2 * reach, 1)
+        far = 2 * reach
         low, high, m = lo[left], hi[left] - 2, middle[left]
-        if reach:
-            starts = np.stack([np.maximum(low, m - far + 1), m + reach])
-            counts = np.maximum(np.stack([m - reach, np.minimum(high, m + far - 1)]) - starts + 1, 0)
-        else:
-            starts, counts = m[None], np.ones((1, len(m)), np.int64)
-        sizes = counts.ravel()
-        owner = np.repeat(np.tile(left, len(counts)), sizes)
+        starts = np.stack([np.maximum(low, m - far + 1), m + reach])
+        sizes = np.maximum(np.stack([m - reach, np.minimum(high, m + far - 1)]) - starts + 1, 0).ravel()
+        owner = np.repeat(np.tile(left, 2), sizes)
         begin = np.repeat(starts.ravel() - (np.cumsum(sizes) - sizes), sizes)
         tried = begin + np.arange(len(owner))
         where = np.searchsorted(eb, ea[tried])
@@ -168,7 +149,7 @@ def groups(ea: np.ndarray, eb: np.ndarray, a: np.ndarray, b: np.ndarray) -> tupl
     lo, hi, lb, hb = lo[some], hi[some], lb[some], hb[some]
     ends_a, ends_b = [], []
     while len(lo):
-        cut, partner = np.full(len(lo), -1), np.full(len(lo), -1)
+        cut, partner = np.full(len(lo), -1, np.int32), np.full(len(lo), -1, np.int32)
         large = np.flatnonzero((hi - lo > 1) & (hb - lb > 1))
         cut[large], partner[large] = near_middle(ea, eb, lo[large], hi[large])
         leaf = cut < 0
@@ -183,6 +164,29 @@ def groups(ea: np.ndarray, eb: np.ndarray, a: np.ndarray, b: np.ndarray) -> tupl
     return np.sort(np.concatenate(ends_a)), np.sort(np.concatenate(ends_b))
 
 
+def runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Consecutive texts, as from and to, of at most ``most`` tokens or one text."""
+    upto = np.cumsum(sizes)
+    start = 0
+    while start < len(sizes):
+        stop = int(np.searchsorted(upto, (upto[start - 1] if start else 0) + most, side="right"))
+        yield start, max(stop, start + 1)
+        start = max(stop, start + 1)
+
+
+def all_groups(pair: Pair, ids_a: np.ndarray, ids_b: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the groups of a block end; texts go together in parts that fit a processor's cache."""
+    ends_a, ends_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i, j in runs(np.diff(a), PART):
+        ea = np.cumsum(pair.sides[0].length[ids_a[a[i] : a[j]]], dtype=np.int32)
+        eb = np.cumsum(pair.sides[1].length[ids_b[b[i] : b[j]]], dtype=np.int32)
+        before = ((n[i : j + 1] - n[i]).astype(np.int32) for n in (a, b))
+        end_a, end_b = groups(ea, eb, *before)
+        ends_a.append(end_a + a[i])
+        ends_b.append(end_b + b[i])
+    return np.concatenate(ends_a), np.concatenate(ends_b)
+
+
 def summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order and the sum of the weights of each."""
     if not len(keys):
@@ -242,10 +246,9 @@ def unpacked(data: bytes) -> np.ndarray:
 def block_rows(pair: Pair, number: int, docs: list[str], texts: list[str | None]) -> Iterator[pd.DataFrame]:
     """A block's documents and its distinct pairs, see ``BLOCKS``."""
     ids = [pair.ids(t) for t in texts]
-    ids_a, ids_b = (np.frombuffer(b"".join(x[side] for x in ids), np.uint32) for side in (0, 1))
-    a, b = (np.cumsum([0, *(len(x[side]) // 4 for x in ids)]) for side in (0, 1))
-    ea, eb = np.cumsum(pair.length[0][ids_a]), np.cumsum(pair.length[1][ids_b])
-    end_a, end_b = groups(ea, eb, a, b)
+    ids_a, ids_b = (np.concatenate([x[side] for x in ids]) for side in (0, 1))
+    a, b = (np.cumsum([0, *(len(x[side]) for x in ids)]) for side in (0, 1))
+    end_a, end_b = all_groups(pair, ids_a, ids_b, a, b)
     na, nb = np.diff(end_a, prepend=0), np.diff(end_b, prepend=0)
     start_a, start_b = end_a - na, end_b - nb
     doc = np.searchsorted(a, start_a, side="right") - 1
@@ -258,11 +261,11 @@ def block_rows(pair: Pair, number: int, docs: list[str], texts: list[str | None]
     last_a[end_a - 1], last_b[end_b - 1] = True, True
     written[np.arange(len(ids_a)) + start_b[of_a]] = ids_a + va * last_a
     written[np.arange(len(ids_b)) + end_a[of_b]] = ids_b + 2 * va + vb * last_b
-    look, marks = pair.texts.__getitem__, (a + b).tolist()
+    marks = (a + b).tolist()
     hashes = []
     for start, stop in zip(marks, marks[1:]):
-        form = b"".join(map(look, written[start:stop].tolist()))
-        hashes.append(hashlib.sha256(form[:-1]).hexdigest() if form else "")
+        form = pair.written.joined(written[start:stop])
+        hashes.append(hashlib.sha256(form[:-1]).hexdigest() if len(form) else "")
 
     keys, times = linked(ids_a, ids_b, start_a, na, start_b, nb, doc, pair.sizes)
     owner, codes = np.divmod(keys, va * vb)
