@@ -22,12 +22,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hirelens.llm.batches import Strings
 from hirelens.llm.packing import WordIds, byte_alphabet
 from hirelens.sources.shared import scratch_folder, stored
 
 SPACE_MARK = "▁"
 # Characters of a block; links and tokens that are looked at together.
-BLOCK, LINKS, PART = 1 << 23, 1 << 21, 1 << 16
+BLOCK, LINKS, PART = 1 << 22, 1 << 21, 1 << 16
 NONE = np.zeros(0, np.uint32)
 
 FIGURES = ["n_a", "n_b", "n_groups", "n_links"]
@@ -59,22 +60,6 @@ def piece_side(path: str) -> tuple[Callable, list[bytes]]:
     return model.encode_as_numpy, known
 
 
-class Strings:
-    """Many short byte strings in one buffer, to be joined by their numbers."""
-
-    def __init__(self, strings: list[bytes]):
-        self.length = np.array([len(x) for x in strings], np.int32)
-        self.start = np.cumsum(self.length, dtype=np.int32) - self.length
-        self.buffer = np.frombuffer(b"".join(strings), np.uint8)
-
-    def joined(self, numbers: np.ndarray) -> np.ndarray:
-        n = self.length[numbers]
-        upto = np.cumsum(n, dtype=np.int32)
-        at = np.repeat(self.start[numbers] - upto + n, n)
-        at += np.arange(len(at), dtype=np.int32)
-        return self.buffer[at]
-
-
 class Pair:
     """Two tokenizers with what is looked up by id."""
 

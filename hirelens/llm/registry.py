@@ -45,10 +45,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: how many ids, their CRC-32, the score, and what decoding gives back."""
-    model = vocabulary("piece_bpe_32k.model")
-    return sentences.digests(sentences.decode(
-        sentences.encode(table(spark, sf_dir, "documents"), model), model
-    ))
+    return sentences.round_trip(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,21 +7,30 @@ reaches into the next chunk, and each chunk yields a matrix of best scores from
 state to state. Matrices are multiplied (max, plus) in groups, the chain of
 products gives the best states at all borders, and every chunk is backtraced on
 its own between its two states.
+
+Among paths of equal score the one with the longest last piece wins, then the
+longest piece before it, and so on. A matrix carries that order too: for every
+state it ends in, the rank of the states it may start from. So ids do not depend
+on how a text is split.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import struct
+import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hirelens.llm.batches import Strings, by_group
 from hirelens.sources.shared import scratch_folder, stored
 
 SPACE_MARK = "▁"
@@ -32,7 +41,9 @@ GROUP = 256
 NEVER = -np.inf
 MOST_WORDS = 150_000
 KEY = "doc long, version long"
-ENCODED = "doc_id long, ids binary, score double, n_chunks int"
+CHUNKS = f"{KEY}, k long, part string, length int, final boolean"
+TRANSFERS = f"{KEY}, k long, m binary, ranks binary, middle binary, length int, first int, last int, rim string"
+DIGESTS = "n_tokens long, ids_crc32 long, score double, decoded_sha256 string"
 
 
 class Pieces:
@@ -63,6 +74,7 @@ class Pieces:
         self.scores = np.zeros(len(ids))
         self.scores[list(texts)] = [self.score[t] for t in texts.values()]
         self.scores[[i for b, i in enumerate(self.bytes) if not 0x80 <= b < 0xC0]] = self.fallback
+        self.strings = Strings([self.text.get(i, b"") for i in ids])
         self.known = Words(self, path)
 
     def forward(self, s: str, start: int, stop: int, last: int) -> tuple[list[float], list[int]]:
@@ -104,6 +116,10 @@ class Pieces:
             end = back[end]
         return array("I", ids[::-1]).tobytes()
 
+    def decoded(self, ids: bytes) -> bytes:
+        """What ids stand for, without the first blank."""
+        return self.strings.joined(np.frombuffer(ids, "<u4")).tobytes()[1:]
+
     def total(self, ids: bytes) -> float:
         return float(self.scores[np.frombuffer(ids, "<u4")].sum())
 
@@ -127,13 +143,14 @@ class Pieces:
             last -= 1
         return first.start(), last
 
-    def matrix(self, s: str, length: int, final: bool) -> tuple[np.ndarray, bytes]:
+    def matrix(self, s: str, length: int, final: bool) -> tuple[np.ndarray, np.ndarray, bytes]:
         """Best scores from state to state for a chunk of ``length`` characters and what follows.
 
-        Also the ids between the first and the last sync, which no state changes.
+        Also the ranks of the entry states among paths of equal score, and the
+        ids between the first and the last sync, which no state changes.
         """
         size = self.longest
-        out = np.full((size, size), NEVER)
+        out, order = np.full((size, size), NEVER), np.full((size, size), size, np.int16)
         top = 0 if final else min(size - 1, len(s) - length)
         sync = self.syncs(s, length)
         if sync:
@@ -141,16 +158,21 @@ class Pieces:
             middle = self.words(s[first:last])
             tail, _ = self.forward(s, last, length + top, length - 1)
             ends = np.array(tail[length - last :]) + self.total(middle)
-            for i in range(size):
-                out[i, : top + 1] = self.forward(s, i, first, first)[0][-1] + ends
-            return out, middle
-        for i in range(min(size, length + 1)):
-            if i == length:
-                out[i, 0] = 0.0
-                continue
-            ends, _ = self.forward(s, i, length + top, length - 1)
-            out[i, : top + 1] = ends[length - i :]
-        return out, b""
+            heads = [self.forward(s, i, first, first) for i in range(size)]
+            for i, (best, _) in enumerate(heads):
+                out[i, : top + 1] = best[-1] + ends
+            order[:, : top + 1] = ranked([cuts(back, i, first) for i, (_, back) in enumerate(heads)], size)[:, None]
+            return out, order, middle
+        entries = range(min(size, length + 1))
+        found = [self.forward(s, i, length + top, length - 1) for i in entries if i < length]
+        for i, (best, _) in enumerate(found):
+            out[i, : top + 1] = best[length - i :]
+        if length < size:  # the piece that reaches in ends where the chunk does
+            out[length, 0] = 0.0
+        for j in range(top + 1):
+            paths = [cuts(back, i, length + j) if best[length + j - i] > NEVER else None for i, (best, back) in enumerate(found)]
+            order[:, j] = ranked([*paths, *([[-1] if not j else None] * (length < size))], size)
+        return out, order, b""
 
     def ends(self, rim: str, length: int, first: int, last: int, entry: int, leave: int) -> tuple[bytes, bytes]:
         """Ids of a chunk before and after its middle, between two states.
@@ -213,6 +235,7 @@ class Words(dict):
         self.quick = quick_search(path, solver.score, True) if letters and " " in solver.score else None
         self.after = Tails(solver, None)
         if self.quick:
+            self.letters = set(letters)
             self.plain = re.compile(f"[{re.escape(letters)}]{{1,{self.quick[1]}}}").fullmatch
             self.after = Tails(solver, (quick_search(path, solver.score, False)[0], self.plain))
 
@@ -223,7 +246,12 @@ class Words(dict):
 
     def learn(self, words: list[str]) -> None:
         if self.quick:
-            new = [w for w in set(words) if w not in self and w not in self.older and self.plain(w)]
+            new = set(words).difference(self)
+            if self.older:
+                new.difference_update(self.older)
+            if not (set().union(*new) <= self.letters and max(map(len, new), default=1) <= self.quick[1]):
+                new = filter(self.plain, new)
+            new = [w for w in new if w]
             if new:
                 blank = self.solver.id[" "]
                 for word, ids in zip(new, self.quick[0](new, out_type=int, num_threads=1)):
@@ -272,126 +300,133 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Max-plus product."""
-    return (a[:, :, None] + b[None, :, :]).max(axis=1)
+def cuts(back: list[int], start: int, end: int) -> list[int]:
+    """Where the pieces of a path start, from its last one to ``start``; before that, over the border, is -1."""
+    places, at = [], end - start
+    while at > 0:
+        at = back[at]
+        places.append(start + at)
+    return [*places, -1]
+
+
+def ranked(paths: list[list[int] | None], size: int) -> np.ndarray:
+    """Rank of each path; the first piece from the right that starts earlier wins. None comes last."""
+    ranks = np.full(size, size, np.int16)
+    there = sorted((p, i) for i, p in enumerate(paths) if p is not None)
+    for rank, (_, i) in enumerate(there):
+        ranks[i] = rank
+    return ranks
 
 
-def best_states(matrices: list[np.ndarray], entry: int, leave: int) -> list[int]:
+def times(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Max-plus product of two pairs of scores and ranks."""
+    size = len(a[0])
+    total = a[0][:, :, None] + b[0][None, :, :]
+    best = total.max(axis=1)
+    via = np.where((total == best[:, None, :]) & (total > NEVER), b[1][None, :, :], size + 1).argmin(axis=1)
+    columns, rows = np.arange(size)[None, :], np.arange(size)[:, None]
+    # First the state in between, by the right matrix; then the left one's rank for that state.
+    key = np.where(best > NEVER, b[1][via, columns].astype(np.int64) * (size + 1) + a[1][rows, via], 1 << 40)
+    ranks = np.where(best > NEVER, key.argsort(axis=0, kind="stable").argsort(axis=0, kind="stable"), size)
+    return best, ranks.astype(np.int16)
+
+
+def best_states(matrices: list[tuple[np.ndarray, np.ndarray]], entry: int, leave: int) -> list[int]:
     """The states at all borders of a chain between two given ones, both included."""
-    scores = [np.where(np.arange(len(matrices[0])) == entry, 0.0, NEVER)]
-    for m in matrices:
+    size = len(matrices[0][0])
+    scores = [np.where(np.arange(size) == entry, 0.0, NEVER)]
+    for m, _ in matrices:
         scores.append((scores[-1][:, None] + m).max(axis=0))
     states = [leave]
-    for m, before in zip(reversed(matrices), reversed(scores[:-1])):
-        states.append(int((before + m[:, states[-1]]).argmax()))
+    for (m, ranks), before in zip(reversed(matrices), reversed(scores[:-1])):
+        total = before + m[:, states[-1]]
+        possible = (total == total.max()) & (total > NEVER)
+        states.append(int(np.where(possible, ranks[:, states[-1]], size + 1).argmin()))
     return states[::-1]
 
 
-def _square(data: bytes) -> np.ndarray:
-    m = np.frombuffer(data)
-    return m.reshape(int(len(m) ** 0.5), -1)
+def _square(scores: bytes, ranks: bytes) -> tuple[np.ndarray, np.ndarray]:
+    m = np.frombuffer(scores)
+    size = int(len(m) ** 0.5)
+    return m.reshape(size, -1), np.frombuffer(ranks, np.int16).reshape(size, -1)
 
 
 def _giants(giants: DataFrame, model: str, chunk: int) -> DataFrame:
-    """(doc, version, ids, score, n_chunks) of distinct giant texts (doc, version, text)."""
+    """(doc, version, ids, score, n_chunks) of distinct giant texts (doc, version, text).
 
-    def transfers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        solver = pieces(model)
+    Every chunk is a row of its own before any work is done on it, and the rows
+    are dealt to a stated number of tasks, since they are small for their cost.
+    """
+    spark = giants.sparkSession
+    folder = scratch_folder(spark, "transfers")
+    reach = pieces(model).longest - 1
+    key = ["doc", "version"]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in CHUNKS.split(", ")]
         for batch in batches:
             for doc, version, text in zip(batch["doc"], batch["version"], batch["text"]):
                 s = " " + text
-                starts = range(0, len(s), chunk)
-                for at in range(0, len(starts), 64):  # bounded batches of a giant text
-                    yield pd.DataFrame([(doc, version, p // chunk, *_transfer(solver, s, p, chunk)) for p in starts[at : at + 64]], columns=names)
-
-    schema = f"{KEY}, k long, m binary, middle binary, length int, first int, last int, rim string"
-    names = [c.split()[0] for c in schema.split(", ")]
-    transfer = stored(
-        giants.mapInPandas(transfers, schema).withColumn("g", F.floor(F.col("k") / GROUP)),
-        scratch_folder(giants.sparkSession, "transfers"),
-    )
-    matrix = transfer.select("doc", "version", "k", "g", "m")
-
-    def product(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("k")
-        total = None
-        for data in group["m"]:
-            total = _square(data) if total is None else times(total, _square(data))
-        return group[["doc", "version", "g"]].iloc[:1].assign(m=[total.tobytes()])
+                rows = ((doc, version, p // chunk, s[p : p + chunk + reach], min(chunk, len(s) - p), p + chunk >= len(s)) for p in range(0, len(s), chunk))
+                while part := list(islice(rows, 64)):  # bounded batches of a giant text
+                    yield pd.DataFrame(part, columns=names)
 
-    products = matrix.groupBy("doc", "version", "g").applyInPandas(product, f"{KEY}, g long, m binary")
-
-    def chained(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("g")
-        states = best_states([_square(m) for m in group["m"]], 0, 0)
-        return group[["doc", "version", "g"]].assign(entry=states[:-1], leave=states[1:])
-
-    chain = products.groupBy("doc", "version").applyInPandas(chained, f"{KEY}, g long, entry int, leave int")
-
-    def inner(group: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("k")
-        if len(group):
-            states = best_states([_square(m) for m in group["m"]], int(ends["entry"].iloc[0]), int(ends["leave"].iloc[0]))
-            group = group.assign(entry=states[:-1], leave=states[1:])
-        else:
-            group = group.assign(entry=[], leave=[])
-        return group[["doc", "version", "k", "entry", "leave"]]
-
-    by_group = ["doc", "version", "g"]
-    borders = (
-        matrix.groupBy(*by_group)
-        .cogroup(chain.groupBy(*by_group))
-        .applyInPandas(inner, f"{KEY}, k long, entry int, leave int")
-    )
-
-    def traced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def transfers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         solver = pieces(model)
-        for b in batches:
-            rows = zip(b["rim"], b["length"], b["first"], b["last"], b["entry"], b["leave"])
-            ends = [solver.ends(*x) for x in rows]
-            yield b[["doc", "version", "k"]].assign(head=[e[0] for e in ends], tail=[e[1] for e in ends])
-
-    key = ["doc", "version"]
-    ends = (
-        transfer.select(*key, "k", "length", "first", "last", "rim")
-        .join(borders, [*key, "k"])
-        .select(*key, "k", "rim", "length", "first", "last", "entry", "leave")
-        .mapInPandas(traced, f"{KEY}, k long, head binary, tail binary")
-    )
+        names = [c.split()[0] for c in TRANSFERS.split(", ")]
+        for batch in batches:
+            rows = zip(*(batch[c].tolist() for c in ("doc", "version", "k", "part", "length", "final")))
+            while part := list(islice(rows, 256)):
+                yield pd.DataFrame([(doc, version, k, *_transfer(solver, *x)) for doc, version, k, *x in part], columns=names)
 
-    def whole(middles: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
-        both = middles.merge(ends[["k", "head", "tail"]], on="k").sort_values("k")
-        ids = b"".join(x for row in zip(both["head"], both["middle"], both["tail"]) for x in row)
-        score = pieces(model).total(ids)
-        return middles[key].iloc[:1].assign(ids=[ids], score=[score], n_chunks=[len(both)])
-
-    return (
-        transfer.select(*key, "k", "middle")
-        .groupBy(*key)
-        .cogroup(ends.groupBy(*key))
-        .applyInPandas(whole, f"{KEY}, ids binary, score double, n_chunks int")
+    chunks = giants.mapInPandas(cut, CHUNKS).repartition(parts, *key, "k")
+    transfer = stored(
+        chunks.mapInPandas(transfers, TRANSFERS).withColumn("g", F.floor(F.col("k") / GROUP)), f"{folder}/chunks"
     )
+    matrix = transfer.select(*key, "k", "g", "m", "ranks")
 
-
-def _transfer(solver: Pieces, s: str, p: int, chunk: int) -> tuple:
-    """Matrix and middle ids of the chunk at ``p``, and the text around the middle."""
-    part, length = s[p : p + chunk + solver.longest - 1], min(chunk, len(s) - p)
-    m, middle = solver.matrix(part, length, p + chunk >= len(s))
+    def product(rows: list[tuple]) -> Iterator[tuple]:
+        total = None
+        for _, scores, ranks in rows:
+            one = _square(scores, ranks)
+            total = one if total is None else times(total, one)
+        yield total[0].tobytes(), total[1].tobytes()
+
+    def chained(rows: list[tuple]) -> Iterator[tuple]:
+        states = best_states([_square(*m) for _, *m in rows], 0, 0)
+        return ((g, entry, leave) for (g, *_), entry, leave in zip(rows, states, states[1:]))
+
+    def inner(rows: list[tuple]) -> Iterator[tuple]:
+        states = best_states([_square(m, r) for _, m, r, *_ in rows], rows[0][3], rows[0][4])
+        return ((k, entry, leave) for (k, *_), entry, leave in zip(rows, states, states[1:]))
+
+    products = by_group(matrix, [*key, "g"], ["k"], product, f"{KEY}, g long, m binary, ranks binary", parts)
+    chain = by_group(products, key, ["g"], chained, f"{KEY}, g long, entry int, leave int", parts)
+    known = matrix.join(chain, [*key, "g"]).select(*key, "g", "k", "m", "ranks", "entry", "leave")
+    borders = by_group(known, [*key, "g"], ["k"], inner, f"{KEY}, g long, k long, entry int, leave int", parts)
+
+    def whole(rows: list[tuple]) -> Iterator[tuple]:
+        solver, ids = pieces(model), []
+        for _, middle, *state in rows:
+            head, tail = solver.ends(*state)
+            ids += [head, middle, tail]
+        ids = b"".join(ids)
+        yield ids, solver.total(ids), len(rows)
+
+    traced = transfer.select(*key, "k", "middle", "rim", "length", "first", "last").join(borders.drop("g"), [*key, "k"])
+    return by_group(traced, key, ["k"], whole, f"{KEY}, ids binary, score double, n_chunks int", parts)
+
+
+def _transfer(solver: Pieces, part: str, length: int, final: bool) -> tuple:
+    """Matrix, ranks and middle ids of a chunk, and the text around the middle."""
+    m, ranks, middle = solver.matrix(part, length, final)
     first, last = solver.syncs(part, length) or (-1, -1)
-    return m.tobytes(), middle, length, first, last, part if first < 0 else part[:first] + part[last:]
-
+    return m.tobytes(), ranks.tobytes(), middle, length, first, last, part if first < 0 else part[:first] + part[last:]
 
-def encode(docs: DataFrame, model: str, *, chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, ids, score, n_chunks) for every row of ``docs`` (doc_id, text).
 
-    ids are 32-bit little-endian numbers. Texts get the leading blank that the
-    model expects; no other normalisation is done, and characters without a
-    piece, the space mark itself included, become byte pieces. Null and empty
-    texts are that blank alone. Texts of more than ``chunk`` characters go
-    through the scan; their score is the optimum all the same, but among
-    segmentations of equal score another may be found.
-    """
+def _rows(docs: DataFrame, model: str, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, text) of short texts, and (doc_id, ids, score, n_chunks) of giant ones."""
     if chunk <= pieces(model).longest:
         raise ValueError("a chunk must be longer than any piece")
     rows = docs.select(
@@ -401,6 +436,23 @@ def encode(docs: DataFrame, model: str, *, chunk: int = CHUNK) -> DataFrame:
         F.coalesce("text", F.lit("")).alias("text"),
     )
     giant = F.length("text") >= chunk
+    large = rows.where(giant)
+    found = _giants(large.dropDuplicates(["doc", "version"]).select("doc", "version", "text"), model, chunk)
+    large = large.select("doc_id", "doc", "version").join(found, ["doc", "version"])
+    return rows.where(~giant).select("doc_id", "text"), large.select("doc_id", "ids", "score", "n_chunks")
+
+
+def encode(docs: DataFrame, model: str, *, chunk: int = CHUNK) -> DataFrame:
+    """(doc_id, ids, score, n_chunks) for every row of ``docs`` (doc_id, text).
+
+    ids are 32-bit little-endian numbers. Texts get the leading blank that the
+    model expects; no other normalisation is done, and characters without a
+    piece, the space mark itself included, become byte pieces. Null and empty
+    texts are that blank alone. Texts of ``chunk`` characters or more go
+    through the scan; if the scores are whole numbers, their ids and scores are
+    those of the direct way. Repeated rows are encoded as often as they occur;
+    no rows give no rows.
+    """
 
     @F.pandas_udf("ids binary, score double")
     def solved(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -409,12 +461,9 @@ def encode(docs: DataFrame, model: str, *, chunk: int = CHUNK) -> DataFrame:
             ids = [solver.words(" " + t) for t in texts]
             yield pd.DataFrame({"ids": ids, "score": [solver.total(x) for x in ids]})
 
-    small = rows.where(~giant).select("doc_id", solved("text").alias("x"))
-    small = small.select("doc_id", "x.ids", "x.score", F.lit(1).alias("n_chunks"))
-    large = rows.where(giant)
-    found = _giants(large.dropDuplicates(["doc", "version"]).select("doc", "version", "text"), model, chunk)
-    large = large.select("doc_id", "doc", "version").join(found, ["doc", "version"])
-    return small.unionAll(large.select("doc_id", "ids", "score", "n_chunks"))
+    small, large = _rows(docs, model, chunk)
+    small = small.select("doc_id", solved("text").alias("x"))
+    return small.select("doc_id", "x.ids", "x.score", F.lit(1).alias("n_chunks")).unionAll(large)
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
@@ -422,28 +471,39 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
 
     @F.pandas_udf("string")
     def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        table = pieces(model).text
+        solver = pieces(model)
         for batch in batches:
-            yield pd.Series(
-                [
-                    None
-                    if ids is None
-                    else b"".join(map(table.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode()[1:]
-                    for ids in batch
-                ],
-                dtype=object,
-            )
+            yield pd.Series([None if x is None else solver.decoded(x).decode() for x in batch], dtype=object)
 
     return encoded.withColumn("text", decoded("ids"))
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """Of each document: how many ids, their CRC-32, score, chunks, SHA-256 of the decoded text."""
-    return decoded.select(
-        "doc_id",
-        (F.length("ids") / 4).cast("long").alias("n_tokens"),
-        F.crc32("ids").alias("ids_crc32"),
-        "score",
-        "n_chunks",
-        F.sha2("text", 256).alias("decoded_sha256"),
-    )
+def round_trip(docs: DataFrame, model: str, *, chunk: int = CHUNK) -> DataFrame:
+    """(doc_id, n_chunks, DIGESTS) of every row encoded and its ids decoded again.
+
+    The digests are the number of ids, their CRC-32, the score, and the SHA-256
+    of the decoded text. Both ways are done in one call, so ids and texts stay
+    where they are. Texts are treated as by ``encode``.
+    """
+
+    def digest(solver: Pieces, ids: bytes) -> tuple:
+        return len(ids) // 4, zlib.crc32(ids), solver.total(ids), hashlib.sha256(solver.decoded(ids)).hexdigest()
+
+    names = [c.split()[0] for c in DIGESTS.split(", ")]
+
+    @F.pandas_udf(DIGESTS)
+    def of_texts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        solver = pieces(model)
+        for texts in batches:
+            yield pd.DataFrame([digest(solver, solver.words(" " + t)) for t in texts], columns=names)
+
+    @F.pandas_udf(DIGESTS)
+    def of_ids(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        solver = pieces(model)
+        for batch in batches:
+            yield pd.DataFrame([digest(solver, x) for x in batch], columns=names)
+
+    small, large = _rows(docs, model, chunk)
+    small = small.select("doc_id", F.lit(1).alias("n_chunks"), of_texts("text").alias("x"))
+    large = large.select("doc_id", "n_chunks", of_ids("ids").alias("x"))
+    return small.unionAll(large).select("doc_id", "x.n_tokens", "x.ids_crc32", "x.score", "n_chunks", "x.decoded_sha256")

@@ -436,12 +436,41 @@ def test_sentences_no_rows(spark):
     assert sentences.encode(frame(spark, []), MODEL).count() == 0
 
 
-def test_max_plus_products_are_associative():
-    rng = np.random.default_rng(5)
-    a, b, c = (rng.integers(-50, 0, (6, 6)).astype(float) for _ in range(3))
-    assert (sentences.times(sentences.times(a, b), c) == sentences.times(a, sentences.times(b, c))).all()
-    states = sentences.best_states([a, b, c], 2, 4)
-    assert a[2, states[1]] + b[states[1], states[2]] + c[states[2], 4] == sentences.times(sentences.times(a, b), c)[2, 4]
+def chunk_matrices(solver, s, chunk):
+    out = []
+    for p in range(0, len(s), chunk):
+        part = s[p : p + chunk + solver.longest - 1]
+        out.append(solver.matrix(part, min(chunk, len(s) - p), p + chunk >= len(s))[:2])
+    return out
+
+
+def test_max_plus_products_are_associative(texts):
+    """Scores and ranks, of matrices of texts with many ties."""
+    solver = sentences.pieces(MODEL)
+    s = " " + "aaaaaaa bb  bbbbbbb ccccccccccccccccccccccccc" * 9
+    for chunk in (17, 30):
+        a, b, c, *_ = chunk_matrices(solver, s, chunk)
+        left, right = sentences.times(sentences.times(a, b), c), sentences.times(a, sentences.times(b, c))
+        assert (left[0] == right[0]).all() and (left[1] == right[1]).all()
+
+
+def test_ids_do_not_depend_on_chunks(spark, texts):
+    every = [*ODD_PIECES, *list(texts.values())[:30], "ab" * 3000, "aaaaaaaa " * 200, "\n".join(["=" * 70] * 40)]
+    whole = {r.doc_id: bytes(r.ids) for r in sentences.encode(frame(spark, every), MODEL).collect()}
+    for chunk in (17, 64, 999):
+        found = sentences.encode(frame(spark, every), MODEL, chunk=chunk).collect()
+        assert {r.doc_id: bytes(r.ids) for r in found} == whole
+
+
+def test_round_trip_is_encode_then_decode(spark, texts):
+    docs = frame(spark, [*ODD_PIECES, *list(texts.values())[:10]])
+    for chunk in (40, sentences.CHUNK):
+        trip = {r.doc_id: r for r in sentences.round_trip(docs, MODEL, chunk=chunk).collect()}
+        for r in sentences.decode(sentences.encode(docs, MODEL, chunk=chunk), MODEL).collect():
+            t = trip[r.doc_id]
+            assert (t.n_tokens, t.ids_crc32, t.score, t.n_chunks) == (len(r.ids) // 4, zlib.crc32(r.ids), r.score, r.n_chunks)
+            assert t.decoded_sha256 == hashlib.sha256(r.text.encode()).hexdigest()
+    assert sentences.round_trip(frame(spark, []), MODEL).count() == 0
 
 
 # --- quality and language -----------------------------------------------------------------
