@@ -246,10 +246,10 @@ class Words(dict):
 
     def learn(self, words: list[str]) -> None:
         if self.quick:
-            new = set(words).difference(self)
+            new = [w for w in set(words) if w not in self]
             if self.older:
-                new.difference_update(self.older)
-            if not (set().union(*new) <= self.letters and max(map(len, new), default=1) <= self.quick[1]):
+                new = [w for w in new if w not in self.older]
+            if not (set("".join(new)) <= self.letters and max(map(len, new), default=1) <= self.quick[1]):
                 new = filter(self.plain, new)
             new = [w for w in new if w]
             if new:
