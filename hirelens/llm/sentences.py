@@ -352,7 +352,7 @@ def _square(scores: bytes, ranks: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _giants(giants: DataFrame, model: str, chunk: int) -> DataFrame:
-    """(doc, version, ids, score, n_chunks) of distinct giant texts (doc, version, text).
+    """(doc, version, ids, score, n_chunks) of giant texts (doc, version, text), each once.
 
     Every chunk is a row of its own before any work is done on it, and the rows
     are dealt to a stated number of tasks, since they are small for their cost.
@@ -380,7 +380,7 @@ def _giants(giants: DataFrame, model: str, chunk: int) -> DataFrame:
             while part := list(islice(rows, 256)):
                 yield pd.DataFrame([(doc, version, k, *_transfer(solver, *x)) for doc, version, k, *x in part], columns=names)
 
-    chunks = giants.mapInPandas(cut, CHUNKS).repartition(parts, *key, "k")
+    chunks = giants.mapInPandas(cut, CHUNKS).repartition(parts, *key, "k").dropDuplicates([*key, "k"])
     transfer = stored(
         chunks.mapInPandas(transfers, TRANSFERS).withColumn("g", F.floor(F.col("k") / GROUP)), f"{folder}/chunks"
     )
@@ -437,7 +437,7 @@ def _rows(docs: DataFrame, model: str, chunk: int) -> tuple[DataFrame, DataFrame
     )
     giant = F.length("text") >= chunk
     large = rows.where(giant)
-    found = _giants(large.dropDuplicates(["doc", "version"]).select("doc", "version", "text"), model, chunk)
+    found = _giants(large.select("doc", "version", "text"), model, chunk)
     large = large.select("doc_id", "doc", "version").join(found, ["doc", "version"])
     return rows.where(~giant).select("doc_id", "text"), large.select("doc_id", "ids", "score", "n_chunks")
 
