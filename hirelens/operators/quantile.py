@@ -2,28 +2,31 @@
 
 Spark's own ``percentile`` keeps the value counts of a group in one buffer and
 interpolates linearly. Here the *nearest* value is needed for quartiles, and a
-group may hold a third of all rows. So the work is split in three steps:
+group may hold a third of all rows. So a quantile is selected in two scans:
 
-1. Count equal values per group. Repeated values collapse before the shuffle,
-   and (group, value) spreads a hot group over all tasks. This is the only
-   shuffle that grows with the input.
-2. Add the counts up in bins of the value, ordered like the values. A running
+1. Rows are counted per group and bin of the value. Bins are ordered like the
+   values, and the counts are combined before they are shuffled, so what is
+   shuffled does not grow with the rows. The counts are written down: a running
    sum over the few bins of a group tells which bin holds which rank.
-3. Join the counts with the (group, bin) pairs that hold a wanted rank, and sort
-   those few within their bin. No task ever holds a whole group.
-
-The bins depend on the value alone, so no sample is involved, and steps 2 and
-3 read the same counts. There is one program for all sizes.
+2. The rows are read again, and only those in a (group, bin) that holds a wanted
+   rank go on, to be sorted within their bin. Spark sends the wanted pairs to
+   all tasks if the written counts are small, so nothing else is shuffled; else
+   both sides are joined by group and bin.
+
+The bins depend on the value alone, so no sample is involved. Counts of a fine
+level add up to those of the levels above it, and other sums may ride along:
+``bins`` of one scan can serve many reports. There is one program for all sizes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import name
+from ..sources.shared import scratch_folder, stored
 
 BINS_PER_OCTAVE = 64
 # Every double above 0 has a binary exponent above -1075. So there are fewer
@@ -54,87 +57,127 @@ def value_bin(value: str) -> str:
     return f"coalesce({bins}, 0L)"
 
 
-def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """(keys, value, n). Groups without a value stay, with a null of count 0."""
-    v = F.col(value).cast("double")
-    return df.groupBy(*keys, v.alias(value)).agg(F.count(v).alias("n"))
+def bin_counts(
+    df: DataFrame, keys: Sequence[str], value: str, sums: Sequence[Column] = ()
+) -> DataFrame:
+    """(keys, _bin, sums, n): one written row per group and bin of ``value``.
 
+    n counts the values; a group without any has one row with n = 0.
+    """
+    v = f"double({name(value)})"
+    counted = df.groupBy(*keys, F.expr(value_bin(v)).alias("_bin")).agg(
+        *sums, F.count(value).alias("n")
+    )
+    return stored(counted, scratch_folder(df.sparkSession, "bins"))
 
-def quantiles_from_counts(
-    counts: DataFrame,
+
+def selected(
+    df: DataFrame,
+    bins: DataFrame,
     keys: Sequence[str],
     value: str,
     quantiles: Mapping[str, float],
     method: str = "nearest",
     parent: Sequence[str] | None = None,
+    only: DataFrame | None = None,
 ) -> DataFrame:
-    """Quantiles per group, from the value counts of the groups.
+    """Quantiles per group of ``keys``, from the rows and the ``bin_counts`` of these.
 
-    ``nearest`` takes the value of rank round((n-1)q), halves away from zero;
-    ``linear`` interpolates between the two neighbours, so q=0.5 is the median.
-    A group without a value gives null.
+    ``bins`` may have more keys. ``nearest`` takes the value of rank
+    round((n-1)q), halves away from zero; ``linear`` interpolates between the
+    two neighbours, so q=0.5 is the median. A group without a value gives null.
 
     With ``parent``, a part of the keys, the groups of those keys alone are
-    added. Their rows have ``_is_parent`` 1 and null in the other keys.
+    added. Their rows have ``_is_parent`` 1 and null in the other keys. ``only``
+    has the keys of the wanted groups; their parents still count all rows.
     """
-    keys = list(keys)
+    keys, above = [name(k) for k in keys], [name(k) for k in parent or ()]
     ranks, results = _ranks_and_results(quantiles, method)
     holds_rank = " OR ".join(f"({r} >= _end - _in_bin AND {r} < _end)" for r in ranks)
-    picked = ", ".join(
-        f"min(CASE WHEN _upto > {r} THEN _v END) AS _at{at}" for at, r in enumerate(ranks)
-    )
 
-    def each(names: Iterable[str]) -> str:
-        return "".join(f"{n}, " for n in names)
-
-    fine = [name(key) for key in keys]
-    groups, rows, lifted = fine, "binned", each(fine)
-    if parent is not None:
-        groups = [*fine, "_is_parent"]
-        rows = "(SELECT *, explode(array(0, 1)) AS _is_parent FROM binned)"
-        lifted = "_is_parent, " + each(
-            n if key in parent else f"CASE WHEN _is_parent = 0 THEN {n} END AS {n}"
-            for key, n in zip(keys, fine)
-        )
-    listed = each(groups)
-    plain = ", ".join(groups)
-    return counts.sparkSession.sql(
-        f"""
-        WITH binned AS (
-          SELECT {each(fine)} {name(value)} AS _v, n, {value_bin(name(value))} AS _bin
-          FROM {{counts}}
-        ),
-        lifted AS (
-          SELECT {lifted} _bin, _v, n FROM {rows}
-        ),
-        bins AS (
-          SELECT {listed} _bin, sum(n) AS _in_bin FROM lifted GROUP BY {listed} _bin
-        ),
-        ends AS (
-          SELECT *, sum(_in_bin) OVER ({"PARTITION BY " + plain if plain else ""} ORDER BY _bin) AS _end,
-            sum(_in_bin) OVER ({"PARTITION BY " + plain if plain else ""}) AS _size
-          FROM bins
-        ),
-        hits AS (
-          SELECT {listed} _bin, _end - _in_bin AS _before, _size FROM ends
-          WHERE _size = 0 OR {holds_rank}
+    def hits(groups: list[str]) -> str:
+        """Per group the bins that hold a rank, with the values before them and in all."""
+        plain = "".join(f"{g}, " for g in groups)
+        by = f"PARTITION BY {', '.join(groups)}" if groups else ""
+        dealt = f"DISTRIBUTE BY {', '.join(groups)}" if groups else ""
+        wanted = ""
+        if only is not None:
+            same = " AND ".join(f"b.{g} <=> o.{g}" for g in groups) or "true"
+            wanted = f"b LEFT SEMI JOIN {{only}} o ON {same}"
+        return f"""
+          SELECT {plain} _bin, _end - _in_bin AS _before, _size FROM (
+            SELECT *, sum(_in_bin) OVER ({by} ORDER BY _bin) AS _end,
+              sum(_in_bin) OVER ({by}) AS _size
+            FROM (
+              SELECT {plain} _bin, sum(n) AS _in_bin
+              FROM (SELECT {plain} _bin, n FROM {{bins}} {wanted} {dealt})
+              GROUP BY {plain} _bin
+            )
+          ) WHERE _size = 0 OR {holds_rank}
+        """
+
+    def matched(groups: list[str], side: str) -> str:
+        return " AND ".join([*(f"r.{g} <=> {side}.{g}" for g in groups), f"r._bin = {side}._bin"])
+
+    # A group without values matches with its nulls, which are no values: its row stays.
+    listed = "".join(f"{k}, " for k in keys)
+    ours = "".join(f"r.{k}, " for k in keys)
+    if parent is None:
+        near = f"""
+        near AS (
+          SELECT {ours} 0 AS _is_parent, r._bin, _before, _size, _v
+          FROM {{rows}} r JOIN own o ON {matched(keys, "o")}
         ),
+        """
+    else:
+        lifted = "".join(
+            f"{k}, " if k in above else f"CASE WHEN x.level = 0 THEN {k} END AS {k}, " for k in keys
+        )
+        near = f"""
+        family AS ({hits(above)}),
         near AS (
-          SELECT l.*, h._before, h._size FROM lifted l
-          JOIN hits h ON {" AND ".join([*(f"l.{k} <=> h.{k}" for k in groups), "l._bin = h._bin"])}
+          SELECT {lifted} x.level AS _is_parent, _bin, x.before AS _before, x.size AS _size, _v
+          FROM (
+            SELECT {ours} r._bin, r._v, explode(filter(array(
+                named_struct('level', 0, 'before', o._before, 'size', o._size),
+                named_struct('level', 1, 'before', p._before, 'size', p._size)
+              ), y -> y.size IS NOT NULL)) AS x
+            FROM {{rows}} r LEFT JOIN own o ON {matched(keys, "o")} LEFT JOIN family p ON {matched(above, "p")}
+            WHERE o._size IS NOT NULL OR p._size IS NOT NULL
+          )
+        ),
+        """
+    steps = [f"min(CASE WHEN _upto > {r} THEN _v END) AS _at{at}" for at, r in enumerate(ranks)]
+    merged = ", ".join(f"min(_at{at}) AS _at{at}" for at in range(len(ranks)))
+    shown = listed + ("_is_parent, " if parent is not None else "")
+    value_now = f"double({name(value)})"
+    rows = df.select(*[F.col(k) for k in keys], F.expr(f"{value_now} AS _v"), F.expr(f"{value_bin(value_now)} AS _bin"))
+    frames = {"rows": rows, "bins": bins} | ({} if only is None else {"only": only})
+    return df.sparkSession.sql(
+        f"""
+        WITH own AS ({hits(keys)}),
+        {near}
+        counts AS (
+          SELECT {listed} _is_parent, _bin, _before, _size, _v, count(_v) AS n FROM near
+          GROUP BY {listed} _is_parent, _bin, _before, _size, _v
         ),
         reached AS (
-          SELECT {listed} _v, _size,
-            _before + sum(n) OVER (PARTITION BY {listed} _bin ORDER BY _v) AS _upto
-          FROM near
+          SELECT {listed} _is_parent, _bin, _v, _size,
+            _before + sum(n) OVER (PARTITION BY {listed} _is_parent, _bin ORDER BY _v) AS _upto
+          FROM counts
+        ),
+        in_bins AS (
+          SELECT {listed} _is_parent, _bin, max(_size) AS _size, {", ".join(steps)} FROM reached
+          GROUP BY {listed} _is_parent, _bin
         ),
         picked AS (
-          SELECT {listed} max(_size) AS _size, {picked} FROM reached
-          {"GROUP BY " + plain if plain else ""}
+          SELECT {shown} max(_size) AS _size, {merged}
+          FROM (SELECT * FROM in_bins {f"DISTRIBUTE BY {', '.join(above or keys)}" if keys else ""})
+          {f"GROUP BY {shown.rstrip(', ')}" if keys else ""}
         )
-        SELECT {listed} {", ".join(results)} FROM picked
+        SELECT {shown} {", ".join(results)} FROM picked
         """,
-        counts=counts,
+        **frames,
     )
 
 
@@ -159,19 +202,6 @@ def _ranks_and_results(
     return ranks, results
 
 
-def _quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    quantiles: Mapping[str, float],
-    method: str,
-    parent: Sequence[str] | None,
-) -> DataFrame:
-    slim = df.select(*keys, F.col(value).cast("double").alias(value))
-    counts = value_counts(slim, keys, value)
-    return quantiles_from_counts(counts, keys, value, quantiles, method, parent)
-
-
 def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -179,9 +209,8 @@ def exact_quantiles(
     quantiles: Mapping[str, float],
     method: str = "nearest",
 ) -> DataFrame:
-    """One row per group, one column per quantile; see ``quantiles_from_counts``.
-"""
-    return _quantiles(df, list(keys), value, quantiles, method, None)
+    """One row per group, one column per quantile; see ``selected``. Counts bins when called."""
+    return selected(df, bin_counts(df, keys, value), list(keys), value, quantiles, method)
 
 
 def quantiles_with_parent(
@@ -191,14 +220,19 @@ def quantiles_with_parent(
     value: str,
     quantiles: Mapping[str, tuple[str, float]],
     method: str = "nearest",
+    bins: DataFrame | None = None,
+    only: DataFrame | None = None,
 ) -> DataFrame:
     """Quantiles of every (detail + parent) group next to those of its parent group.
 
-    ``quantiles`` maps the name for the group to (name for its parent, q). The
-    values are read and counted once for both levels.
+    ``quantiles`` maps the name for the group to (name for its parent, q). Both
+    levels come from the same two scans, from one if ``bins`` are there already.
     """
+    keys = [*detail, *parent]
     own = {alias: q for alias, (_, q) in quantiles.items()}
-    found = _quantiles(df, [*detail, *parent], value, own, method, list(parent))
+    if bins is None:
+        bins = bin_counts(df, keys, value)
+    found = selected(df, bins, keys, value, own, method, list(parent), only)
     family = Window.partitionBy(*parent)
     above = [
         F.max(F.when(F.col("_is_parent") == 1, F.col(n))).over(family).alias(alias)

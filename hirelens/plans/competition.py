@@ -11,19 +11,18 @@ from ..operators.filters import matching
 from ..operators.quantile import (
     approx_quantiles,
     attach,
-    exact_median,
-    exact_quantiles,
+    bin_counts,
     quantiles_with_parent,
+    selected,
 )
 from ..operators.ranking import top_rows, whole_frame
 from ..schema import POSTINGS, PostingColumns
+from ..sources.shared import scratch_folder, stored
+from .reduced import measures, reduce_postings, rolled_up
 
 QUARTILES = {"q1": 0.25, "q3": 0.75}
-
-
-def _quartiles(postings: DataFrame, keys: list[str], c: PostingColumns, approx: bool) -> DataFrame:
-    method = approx_quantiles if approx else exact_quantiles
-    return method(postings, keys, c.salary, QUARTILES)
+YEARS = ["_years", "_with_years"]
+SUMS = ["applications", "vacancies", *YEARS]
 
 
 def sector_level_benchmarks(
@@ -31,10 +30,14 @@ def sector_level_benchmarks(
 ) -> DataFrame:
     """Pay quartiles (nearest value) and mean experience by sector and seniority."""
     keys = [c.sector, c.level]
-    means = postings.groupBy(*keys).agg(F.avg(c.experience).alias("broad_avg_exp"))
-    quartiles = _quartiles(postings, keys, c, approx).withColumnsRenamed(
-        {"q1": "broad_q1", "q3": "broad_q3"}
-    )
+    if approx:
+        means = postings.groupBy(*keys).agg(F.avg(c.experience).alias("broad_avg_exp"))
+        quartiles = approx_quantiles(postings, keys, c.salary, QUARTILES)
+    else:
+        bins = bin_counts(postings, keys, c.salary, [measures(c)[n].alias(n) for n in YEARS])
+        means = rolled_up(bins, keys, YEARS).withColumn("broad_avg_exp", ratio(*YEARS, "null"))
+        quartiles = selected(postings, bins, keys, c.salary, QUARTILES)
+    quartiles = quartiles.withColumnsRenamed({"q1": "broad_q1", "q3": "broad_q3"})
     return attach(means, quartiles, keys).select(*keys, "broad_q1", "broad_q3", "broad_avg_exp")
 
 
@@ -56,16 +59,25 @@ def by_competition(c: PostingColumns = POSTINGS):
     return [F.col("apps_per_vac").desc(), F.col(c.category), F.col(c.sector)]
 
 
-def _with_median(stats: DataFrame, postings: DataFrame, c: PostingColumns) -> DataFrame:
+def _reduced_stats(reduced: DataFrame, c: PostingColumns) -> DataFrame:
+    """``competition_sums`` from a reduction of the postings."""
+    return rolled_up(reduced, [c.category, c.sector], SUMS).withColumns(
+        {
+            "avg_exp": ratio(*YEARS, "null"),
+            "apps_per_vac": ratio("applications", "vacancies", "zero"),
+        }
+    )
+
+
+def _with_median(stats: DataFrame, pay: DataFrame, c: PostingColumns) -> DataFrame:
     keys = [c.category, c.sector]
-    medians = exact_median(postings, keys, c.salary, "median_salary")
     label = F.concat(
         F.col(c.category),
         F.lit(" ("),
         fixed_text(round_sql("apps_per_vac", 1), 1),
         F.lit(")"),
     )
-    return attach(stats, medians, keys).select(
+    return attach(stats, pay.select(*keys, "median_salary"), keys).select(
         *keys,
         "applications",
         "vacancies",
@@ -78,7 +90,16 @@ def _with_median(stats: DataFrame, postings: DataFrame, c: PostingColumns) -> Da
 
 def competition_stats(postings: DataFrame, c: PostingColumns = POSTINGS) -> DataFrame:
     """Sums, median pay, mean experience, ratio and its label by sub-sector."""
-    return _with_median(competition_sums(postings, c), postings, c)
+    reduced = reduce_postings(postings, SUMS, by_level=False, c=c)
+    return _with_median(_reduced_stats(reduced, c), _median(postings, reduced, c), c)
+
+
+def _median(
+    postings: DataFrame, reduced: DataFrame, c: PostingColumns, only: DataFrame | None = None
+) -> DataFrame:
+    keys = [c.category, c.sector]
+    q = {"median_salary": 0.5}
+    return selected(postings, reduced, keys, c.salary, q, "linear", only=only)
 
 
 def top_contested(postings: DataFrame, n: int = 5, c: PostingColumns = POSTINGS) -> DataFrame:
@@ -87,15 +108,22 @@ def top_contested(postings: DataFrame, n: int = 5, c: PostingColumns = POSTINGS)
 
 
 def competition_top(
-    postings: DataFrame, n: int = 10, c: PostingColumns = POSTINGS
+    postings: DataFrame,
+    n: int = 10,
+    c: PostingColumns = POSTINGS,
+    reduced: DataFrame | None = None,
+    pay: DataFrame | None = None,
 ) -> DataFrame:
     """The ``n`` most contested sub-sectors, least contested first, with bar texts.
 
-    Pay is counted for their postings alone: a semi-join with the ``n`` names.
+    Pay is read for their postings alone, unless ``pay`` holds all medians.
     """
-    top = top_rows(competition_sums(postings, c), n, *by_competition(c))
-    inside = matching(postings, F.broadcast(top.select(c.category)), c.category)  # n rows
-    rows = _with_median(top, inside, c).withColumns(
+    if reduced is None:
+        reduced = reduce_postings(postings, SUMS, by_level=False, c=c)
+    top = top_rows(_reduced_stats(reduced, c), n, *by_competition(c))
+    if pay is None:
+        pay = _median(postings, reduced, c, top.select(c.category, c.sector))
+    rows = _with_median(top, pay, c).withColumns(
         {
             "salary_text": F.concat(F.lit("$"), grouped_text("median_salary", 0)),
             "experience_text": F.concat(fixed_text("avg_exp", 1), F.lit("y")),
@@ -107,26 +135,26 @@ def competition_top(
 
 
 def contested_structure(
-    postings: DataFrame, n: int = 5, c: PostingColumns = POSTINGS
+    postings: DataFrame,
+    n: int = 5,
+    c: PostingColumns = POSTINGS,
+    reduced: DataFrame | None = None,
 ) -> DataFrame:
     """Pay and experience by seniority inside the ``n`` most contested
     sub-sectors, next to the benchmark of their sector and seniority.
 
-    The postings are read twice: once for all sums, reduced to (sub-sector,
-    sector, seniority), and once for the quartiles of both levels. Which
-    sub-sectors are contested and what their sector requires are windows over
-    the few reduced rows.
+    The postings are read twice: once for all sums and bins, and once for the
+    salaries around the quartiles of these sub-sectors and their benchmarks.
+    Which sub-sectors are contested and what their sector requires are windows
+    over the few reduced rows.
     """
     keys = [c.category, c.sector, c.level]
-    reduced = postings.groupBy(*keys).agg(
-        total(c.applications).alias("_applications"),
-        total(c.vacancies).alias("vacancies"),
-        F.sum(c.experience).alias("_years"),
-        F.count(c.experience).alias("_with_years"),
-    )
+    if reduced is None:
+        reduced = reduce_postings(postings, SUMS, c=c)
+    fine = rolled_up(reduced, keys, SUMS).withColumnRenamed("applications", "_applications")
     within = f"OVER (PARTITION BY {name(c.category)}, {name(c.sector)})"
     parent = f"OVER (PARTITION BY {name(c.sector)}, {name(c.level)})"
-    sums = reduced.select(
+    sums = fine.select(
         "*",
         ratio(f"sum(_applications) {within}", f"sum(vacancies) {within}", "zero").alias(
             "apps_per_vac"
@@ -140,14 +168,19 @@ def contested_structure(
     contested = sums.withColumn("_place", place).withColumn(
         "_best", F.min("_place").over(Window.partitionBy(c.category))
     )
+    contested = stored(
+        contested.where(F.col("_best") <= n), scratch_folder(postings.sparkSession, "contested")
+    )
     quartiles = quantiles_with_parent(
         postings,
         [c.category],
         [c.sector, c.level],
         c.salary,
         {"q1": ("broad_q1", QUARTILES["q1"]), "q3": ("broad_q3", QUARTILES["q3"])},
+        bins=reduced,
+        only=contested.select(*keys),
     )
-    return attach(contested.where(F.col("_best") <= n), quartiles, keys).select(
+    return attach(contested, quartiles, keys).select(
         *keys, "q1", "q3", "avg_exp", "vacancies", "broad_q1", "broad_q3", "broad_avg_exp"
     )
 

@@ -12,6 +12,7 @@ from ..operators.filters import FilterSpec, apply_filters
 from ..schema import POSTINGS, PostingColumns
 from ..sources.clean_store import kept
 from . import competition, friction, market, pulse, summary
+from .reduced import measures, reduce_postings, stored_medians
 
 
 def reports(
@@ -20,11 +21,19 @@ def reports(
     c: PostingColumns = POSTINGS,
     overview: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """Every report as a lazy frame. ``overview`` holds the rows of ``pulse.reduced``."""
+    """Every report as a frame. ``overview`` holds the rows of ``pulse.reduced``.
+
+    One reduction by sub-sector, seniority and salary bin is written when this
+    is called, and the medians from it: the reports on competition, friction
+    and the table share both.
+    """
     if overview is None:
         overview = pulse.reduced(filtered, grain, c)
-    structure = competition.with_positioning(competition.contested_structure(filtered, c=c), c=c)
-    premium = friction.friction_premium(filtered, c=c)
+    reduced = reduce_postings(filtered, list(measures(c)), c=c)
+    pay = stored_medians(filtered, reduced, c)
+    structure = competition.contested_structure(filtered, c=c, reduced=reduced)
+    structure = competition.with_positioning(structure, c=c)
+    premium = friction.friction_premium(filtered, c=c, reduced=reduced, pay=pay)
     return {
         "kpi_cards": pulse.cards_of(pulse.kpi_of_reduced(overview, c)),
         "pulse": pulse.pulse_of_reduced(overview, grain, c),
@@ -34,10 +43,12 @@ def reports(
         "market": market.flag_most_competitive(
             market.market_zones(market.market_map(filtered, c), c), c=c
         ),
-        "competition_top": competition.competition_top(filtered, c=c),
+        "competition_top": competition.competition_top(filtered, c=c, reduced=reduced, pay=pay),
         "hierarchy": competition.hierarchy(structure, c=c),
         "friction": friction.friction_zones(premium, c),
-        "table": summary.formatted(summary.sectoral_table(filtered, c=c)),
+        "table": summary.formatted(
+            summary.sectoral_table(filtered, c=c, reduced=reduced, pay=pay)
+        ),
     }
 
 

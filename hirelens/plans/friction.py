@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import count_where, ratio, ratio_sql, round_even, total
-from ..functions.rules import REPOST_YES
-from ..operators.quantile import attach, exact_median, quantiles_with_parent
+from ..functions.numeric import ratio, ratio_sql, round_even
+from ..operators.quantile import attach, exact_median
 from ..operators.ranking import top_rows, whole_frame
 from ..schema import POSTINGS, PostingColumns
+from .reduced import medians, reduce_postings, rolled_up
+
+SUMS = ["postings", "vacancies", "applications", "job_reposts"]
 
 # The quadrants, by (pays a premium, high friction).
 QUADRANTS = {
@@ -26,33 +28,26 @@ def sector_median(postings: DataFrame, c: PostingColumns = POSTINGS) -> DataFram
 
 
 def friction_premium(
-    postings: DataFrame, n: int = 10, c: PostingColumns = POSTINGS
+    postings: DataFrame,
+    n: int = 10,
+    c: PostingColumns = POSTINGS,
+    reduced: DataFrame | None = None,
+    pay: DataFrame | None = None,
 ) -> DataFrame:
     """Friction, premium over the sector median and competition, top ``n`` by vacancies.
 
-    The ``n`` sub-sectors are cut before the medians are attached.
+    Salaries are read for the ``n`` sub-sectors and their sectors alone, unless
+    ``pay`` holds all medians already.
     """
     keys = [c.category, c.sector]
-    top = top_rows(
-        postings.groupBy(*keys).agg(
-            F.count(c.job_id).alias("postings"),
-            total(c.vacancies).alias("vacancies"),
-            total(c.applications).alias("applications"),
-            count_where(F.col(c.repost) == REPOST_YES).alias("repost_count"),
-        ),
-        n,
-        F.col("vacancies").desc(),
-        *keys,
-    )
-    medians = quantiles_with_parent(
-        postings,
-        [c.category],
-        [c.sector],
-        c.salary,
-        {"median_salary": ("sector_median", 0.5)},
-        "linear",
+    if reduced is None:
+        reduced = reduce_postings(postings, SUMS, by_level=False, c=c)
+    top = top_rows(rolled_up(reduced, keys, SUMS), n, F.col("vacancies").desc(), *keys)
+    if pay is None:
+        pay = medians(postings, reduced, top.select(*keys), c)
+    rows = attach(top, pay, keys).withColumnsRenamed(
+        {"parent_median": "sector_median", "job_reposts": "repost_count"}
     )
-    rows = attach(top, medians, keys)
 
     premium = f"({ratio_sql('median_salary', 'sector_median', 'ieee')} - 1) * 100"
     return rows.select(

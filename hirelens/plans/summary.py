@@ -7,17 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import (
-    count_where,
-    fixed_text,
-    grouped_text,
-    ratio,
-    total,
-)
-from ..functions.rules import REPOST_YES, name
-from ..operators.quantile import attach, exact_median, quantiles_with_parent
+from ..functions.numeric import fixed_text, grouped_text, ratio, total
+from ..functions.rules import name
+from ..operators.quantile import attach, bin_counts, selected
 from ..operators.ranking import argmax, top_rows
 from ..schema import POSTINGS, PostingColumns
+from .reduced import medians, measures, reduce_postings, rolled_up
 from .titles import frequent_titles
 
 ALL = "all"
@@ -65,8 +60,12 @@ def _or_one(sum_: Column) -> Column:
 
 def parent_benchmarks(postings: DataFrame, c: PostingColumns = POSTINGS) -> DataFrame:
     """Median salary and mean experience of every sector."""
-    means = postings.groupBy(c.sector).agg(F.avg(c.experience).alias("parent_avg_exp"))
-    medians = exact_median(postings, [c.sector], c.salary, "parent_median")
+    years = ["_years", "_with_years"]
+    bins = bin_counts(postings, [c.sector], c.salary, [measures(c)[n].alias(n) for n in years])
+    means = rolled_up(bins, [c.sector], years).withColumn(
+        "parent_avg_exp", ratio("_years", "_with_years", "null")
+    )
+    medians = selected(postings, bins, [c.sector], c.salary, {"parent_median": 0.5}, "linear")
     return attach(means, medians, [c.sector]).select(c.sector, "parent_median", "parent_avg_exp")
 
 
@@ -78,26 +77,14 @@ def top_seniority(postings: DataFrame, c: PostingColumns = POSTINGS) -> DataFram
     )
 
 
-def _sums(postings: DataFrame, c: PostingColumns) -> DataFrame:
-    """All sums of the table from one aggregation of the postings.
+def _sums(reduced: DataFrame, c: PostingColumns) -> DataFrame:
+    """All sums of the table from the reduction of the postings.
 
-    The postings are reduced once, to (sub-sector, sector, seniority). Parent
-    means, the leading seniority and the market totals are windows over those
+    Parent means, the leading seniority and the market totals are windows over
     few rows instead of further scans.
     """
-    fine = (
-        postings.groupBy(c.category, c.sector, c.level)
-        .agg(
-            F.count(c.job_id).alias("postings"),
-            total(c.vacancies).alias("vacancies"),
-            total(c.applications).alias("applications"),
-            total(c.views).alias("views"),
-            count_where(F.col(c.repost) == REPOST_YES).alias("job_reposts"),
-            total(c.experience).alias("_years"),
-            F.count(c.experience).alias("_with_years"),
-        )
-        .repartition(c.category)
-    )
+    levels = [c.category, c.sector, c.level]
+    fine = rolled_up(reduced.repartition(c.category), levels, list(measures(c)))
     at_level = F.sum("applications").over(Window.partitionBy(c.category, c.level))
     leading = F.min(F.struct((-F.col("_at_level")).alias("neg"), F.col(c.level).alias("pick")))
     rows = (
@@ -105,18 +92,7 @@ def _sums(postings: DataFrame, c: PostingColumns) -> DataFrame:
         .withColumn("_leading", leading.over(Window.partitionBy(c.category)))
         .groupBy(c.category, c.sector)
         .agg(
-            *[
-                F.sum(n).alias(n)
-                for n in (
-                    "postings",
-                    "vacancies",
-                    "applications",
-                    "views",
-                    "job_reposts",
-                    "_years",
-                    "_with_years",
-                )
-            ],
+            *[F.sum(n).alias(n) for n in measures(c)],
             F.min("_leading.pick").alias("top_seniority"),
         )
     )
@@ -139,17 +115,24 @@ def sectoral_table(
     n: int = 10,
     titles: bool = True,
     c: PostingColumns = POSTINGS,
+    reduced: DataFrame | None = None,
+    pay: DataFrame | None = None,
 ) -> DataFrame:
     """The sectoral table with benchmarks, indicators and frequent titles.
 
     ``mode`` picks the rows: the ``n`` most competitive, the ``n`` with most
     vacancies, or all. ``categories`` restricts ``all`` to chosen sub-sectors
     (sorted by sector then). Shares and benchmarks always refer to everything.
+
+    ``reduced`` (all sums, by seniority) and ``pay`` (all medians) are made
+    here if they are not there already: two scans, and one for the titles.
     """
     if mode not in (ALL, MOST_COMPETITIVE, MOST_VACANCIES):
         raise ValueError(f"unknown mode {mode!r}")
     keys = [c.category, c.sector]
-    rows = _sums(postings, c).withColumns(
+    if reduced is None:
+        reduced = reduce_postings(postings, list(measures(c)), c=c)
+    rows = _sums(reduced, c).withColumns(
         {
             "pct_vacancies": _percent("vacancies", "_all_vacancies"),
             "pct_applications": _percent("applications", "_all_applications"),
@@ -170,15 +153,7 @@ def sectoral_table(
     else:
         order = keys
 
-    medians = quantiles_with_parent(
-        postings,
-        [c.category],
-        [c.sector],
-        c.salary,
-        {"median_salary": ("parent_median", 0.5)},
-        "linear",
-    )
-    rows = attach(rows, medians, keys)
+    rows = attach(rows, medians(postings, reduced, c=c) if pay is None else pay, keys)
     out = [
         *keys,
         "postings",
@@ -280,12 +255,16 @@ def vacancies_by_sector(postings: DataFrame, c: PostingColumns = POSTINGS) -> Da
 
 def vacancies_and_median(postings: DataFrame, c: PostingColumns = POSTINGS) -> DataFrame:
     """Total vacancies and the median salary over everything, one row."""
-    sums = postings.agg(total(c.vacancies).alias("vacancies"))
-    return attach(sums, exact_median(postings, [], c.salary, "median_salary"), [])
+    bins = bin_counts(postings, [], c.salary, [total(c.vacancies).alias("vacancies")])
+    sums = bins.agg(total("vacancies").alias("vacancies"))
+    return attach(
+        sums, selected(postings, bins, [], c.salary, {"median_salary": 0.5}, "linear"), []
+    )
 
 
 def salary_by_experience(postings: DataFrame, c: PostingColumns = POSTINGS) -> DataFrame:
     """Median salary and number of postings by required years of experience."""
-    sizes = postings.groupBy(c.experience).agg(F.count(F.lit(1)).alias("postings"))
-    medians = exact_median(postings, [c.experience], c.salary, "median_salary")
-    return attach(sizes, medians, [c.experience]).orderBy(c.experience)
+    keys = [c.experience]
+    bins = bin_counts(postings, keys, c.salary, [F.count(F.lit(1)).alias("postings")])
+    medians = selected(postings, bins, keys, c.salary, {"median_salary": 0.5}, "linear")
+    return attach(rolled_up(bins, keys, ["postings"]), medians, keys).orderBy(c.experience)

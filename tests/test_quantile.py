@@ -1,4 +1,4 @@
-"""Exact quantiles against brute force, in both ways of computing them."""
+"""Exact quantiles against brute force, and the plans they are computed by."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 
 from hirelens.operators.quantile import (
     approx_quantiles,
+    bin_counts,
     exact_median,
     exact_quantiles,
     quantiles_with_parent,
@@ -132,30 +133,65 @@ def test_powers_of_two_and_their_neighbours_stay_ordered(spark):
     assert bins == sorted(bins)
 
 
-def test_counts_are_shuffled_once(spark, tmp_path):
-    """Both uses of the value counts read one shuffle, also with a parent."""
+def stored_values(spark, tmp_path):
     spark.range(1000).selectExpr("id % 3 AS k", "id % 2 AS p", "double(id) AS v").write.parquet(
         str(tmp_path / "t")
     )
-    df = spark.read.parquet(str(tmp_path / "t"))
+    return spark.read.parquet(str(tmp_path / "t"))
+
+
+def test_values_are_shuffled_only_from_wanted_bins(spark, tmp_path):
+    """Between the scan of the rows and the first exchange lies the join with the wanted bins."""
+    df = stored_values(spark, tmp_path)
     for found in (
         exact_quantiles(df, ["k"], "v", {"q": 0.5}),
         quantiles_with_parent(df, ["k"], ["p"], "v", {"q": ("pq", 0.5)}),
     ):
-        found.collect()
-        final = plan(found).split("Initial Plan")[0]
-        assert final.count("FileScan") == 1, final
-        assert "ReusedExchange" in final
+        lines = plan(found).splitlines()
+        scan = next(n for n, x in enumerate(lines) if "FileScan" in x and str(tmp_path) in x)
+        nearest = next(n for x in lines[scan::-1] for n in ("Join", "Exchange") if n in x)
+        assert nearest == "Join"
+        assert "BroadcastHashJoin" in plan(found) and "SortMergeJoin" not in plan(found)
+        assert sum("FileScan" in x and str(tmp_path) in x for x in lines) == 1
+
+
+def test_more_wanted_bins_than_may_be_sent_are_joined_by_shuffle(spark, tmp_path):
+    df = stored_values(spark, tmp_path)
+    expected = dicts(exact_quantiles(df, ["k"], "v", {"q": 0.5}))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = exact_quantiles(df, ["k"], "v", {"q": 0.5})
+        assert "SortMergeJoin" in plan(found)
+        assert sorted(dicts(found), key=str) == sorted(expected, key=str)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_first_scan_shuffles_one_row_per_group_and_bin(spark, tmp_path):
+    rows = 20_000
+    df = spark.range(rows).selectExpr("id % 3 AS k", "4000 + id % 400 / 7.0D AS v")
+    assert bin_counts(df, ["k"], "v").count() < 30
 
 
 def test_no_window_or_exchange_holds_a_group_of_values(spark, tmp_path):
     """Values are windowed by (group, bin) only; windows by group see sums of bins."""
-    spark.range(1000).selectExpr("id % 3 AS k", "double(id) AS v").write.parquet(str(tmp_path / "t"))
-    found = plan(exact_median(spark.read.parquet(str(tmp_path / "t")), ["k"], "v", "m"))
+    found = plan(exact_median(stored_values(spark, tmp_path), ["k"], "v", "m"))
     windows = [x for x in found.splitlines() if "Window [" in x and "_v#" in x]
     assert windows and all("_bin#" in x.split("windowspecdefinition(")[1] for x in windows)
 
 
+def test_only_some_groups(spark):
+    rows = sample(4)
+    df = spark.createDataFrame(rows, "k string, p string, v double")
+    only = spark.createDataFrame([("hot", "x"), ("none", "x"), (None, "y")], "k string, p string")
+    got = quantiles_with_parent(df, ["k"], ["p"], "v", {"m": ("pm", 0.5)}, "linear", only=only)
+    own, parents = groups(rows, [0, 1]), groups(rows, [1])
+    assert {(r["k"], r["p"]): (r["m"], r["pm"]) for r in dicts(got)} == {
+        k: (median(own[k]), median(parents[k[1:]])) for k in [("hot", "x"), ("none", "x"), (None, "y")]
+    }
+
+
 def test_approximation_has_the_same_shape(spark):
     df = spark.createDataFrame(sample(5), "k string, p string, v double")
     got = approx_quantiles(df, ["k"], "v", {"q1": 0.25, "q3": 0.75})
