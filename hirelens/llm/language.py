@@ -8,21 +8,23 @@ is solved. Documents are scored by matrix products of a batch with the landmarks
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hirelens.llm.sampling import SPACE
+
 SHIFT = 32 - 13
 BUCKETS = 1 << (32 - SHIFT)
 BLOCK = 1 << 22
 BATCH = 128
 NO_LANGUAGE = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")  # the Unicode categories of letters, not of numbers
 
 
 def grams(text: str) -> np.ndarray:
@@ -72,7 +74,7 @@ def fit(texts: list[tuple[str, np.ndarray]], landmarks: int, ridge: float) -> La
 def train(
     learned: DataFrame, *, per_language: int = 300, landmarks: int = 192, ridge: float = 1e-5
 ) -> LanguageModel:
-    """Fit on (text, lang); rows without either are left out.
+    """Fit on (text, lang); rows without either are left out, repeated ones count once.
 
     The sample is bounded: of each language the ``per_language`` distinct texts
     with the smallest hashes. Only their presence vectors come to the driver.
@@ -80,10 +82,15 @@ def train(
     rows = learned.where("text is not null and lang is not null").select(
         "lang", "text", F.xxhash64("text").alias("hash")
     )
-    smallest = Window.partitionBy("lang").orderBy("hash")
+    # Of a frequent language a cut by hash leaves a few more than are wanted, before they are ranked.
+    distinct = rows.select("lang", "hash").distinct()
+    sizes = distinct.groupBy("lang").agg(F.count(F.lit(1)).alias("size"))
+    share = F.least(F.lit(1.0), 1.3 * (per_language + 20) / F.col("size"))
+    place = F.pmod("hash", F.lit(SPACE))
+    smallest = Window.partitionBy("lang").orderBy(place, "hash")
     chosen = (
-        rows.select("lang", "hash")
-        .distinct()
+        distinct.join(sizes, "lang")
+        .where(place < share * SPACE)
         .withColumn("rank", F.row_number().over(smallest))
         .where(F.col("rank") <= per_language)
     )
@@ -93,7 +100,7 @@ def train(
         return pd.Series([np.packbits(grams(t)).tobytes() for t in texts], dtype=object)
 
     sample = (
-        rows.join(F.broadcast(chosen.select("lang", "hash")), ["lang", "hash"])
+        rows.join(chosen.select("lang", "hash"), ["lang", "hash"])
         .dropDuplicates(["lang", "hash"])
         .select("lang", "hash", presence("text").alias("bits"))
         .collect()
@@ -109,7 +116,8 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """``docs`` (text, ...) with lang_pred and score, from the text alone.
 
     A null text, one without letters, or a model that learned nothing gives
-    ``und`` and score 0. Ties go to the first language by name.
+    ``und`` and score 0. Ties go to the first language by name. Repeated rows
+    are judged as often as they occur; no rows give no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the landmarks
 

@@ -44,6 +44,9 @@ def byte_alphabet() -> dict[str, int]:
 class WordIds(dict):
     """Ids of texts as bytes, by a table of the words met so far.
 
+    The strings of the vocabulary's added tokens, like the end of a text, are
+    found in a text first and give their own ids, as in ``tokenizers``.
+
     The vocabulary's pattern never lets a piece reach over a space that starts
     a word, so a text's ids are those of its words one after the other. A text
     with a longer run of white space is encoded as a whole. The vocabulary is
@@ -56,7 +59,13 @@ class WordIds(dict):
         super().__init__()
         with open(path, encoding="utf-8") as file:
             self.described = json.load(file)
-        special = {t["content"] for t in self.described["added_tokens"]}
+        added = self.described["added_tokens"]
+        if any(t.get(flag) for t in added for flag in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("an added token that looks at what is around it is not supported")
+        special = {t["content"]: t["id"] for t in added}
+        self.special = {text: number.to_bytes(4, "little") for text, number in special.items()}
+        longest_first = sorted(map(re.escape, special), key=len, reverse=True)
+        self.part = re.compile(f"({'|'.join(longest_first)})").split if special else lambda text: [text]
         letters = byte_alphabet()
         ranks = {
             bytes(letters[c] for c in token): number
@@ -74,6 +83,12 @@ class WordIds(dict):
         return found
 
     def __call__(self, text: str) -> bytes:
+        first, *rest = self.part(text)
+        if rest:
+            return b"".join(self.special.get(part) or self.plain(part) for part in (first, *rest))
+        return self.plain(text)
+
+    def plain(self, text: str) -> bytes:
         if JOINED.search(text):
             return self.encoded(text)
         if len(self) > self.most:

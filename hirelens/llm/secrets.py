@@ -3,6 +3,9 @@
 Every version of every document is addressed by the SHA-256 of its text. A
 ledger holds (blob, rule_version, spans) of what was scanned before; only pairs
 it lacks are scanned, once each, and findings go back to all documents by blob.
+Beside a ledger that is kept stands the table of all versions, (doc_id, blob), so
+findings in texts that were replaced since can be told too. Both are read
+without repeats: two writers, or a job that ran twice, do no harm.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hirelens.sources.shared import scratch_folder
@@ -30,6 +33,7 @@ RULES = (
     ("hex", r"[0-9a-f]{16,}", 0, 0, 16),  # runs of the class are maximal, so shorter ones never count
 )
 LEDGER = "blob string, rule_version string, spans string"
+VERSIONS = "doc_id string, blob string"
 LAST_ID = 2**63 - 1
 
 
@@ -74,7 +78,7 @@ def scan_new(docs: DataFrame, ledger: str, rules=RULES) -> DataFrame:
         F.coalesce("text", F.lit("")).alias("text"),
     ).withColumn("blob", F.sha2("text", 256))
     spark.createDataFrame([], LEDGER).write.mode("append").parquet(ledger)
-    known = spark.read.schema(LEDGER).parquet(ledger).where(F.col("rule_version") == version)
+    known = scanned(spark, ledger, rules)
     # One document stands for a blob; only it sends its text.
     unseen = (
         blobs.groupBy("blob")
@@ -91,17 +95,51 @@ def scan_new(docs: DataFrame, ledger: str, rules=RULES) -> DataFrame:
         .write.mode("append")
         .parquet(ledger)
     )
-    return spark.read.schema(LEDGER).parquet(ledger).where(F.col("rule_version") == version)
+    return scanned(spark, ledger, rules)
+
+
+def scanned(spark: SparkSession, ledger: str, rules=RULES) -> DataFrame:
+    """The ledger's rows for these rules, one for each blob."""
+    version = rule_version(rules)
+    rows = spark.read.schema(LEDGER).parquet(ledger).where(F.col("rule_version") == version)
+    once = rows.groupBy("blob").agg(F.max("spans").alias("spans"))
+    return once.select("blob", F.lit(version).alias("rule_version"), "spans")
+
+
+def _findings(ledger_rows: DataFrame) -> DataFrame:
+    return ledger_rows.where("spans <> ''").select("blob", "spans")
+
+
+def _record_versions(paths: DataFrame, ledger: str) -> None:
+    """Add the (doc_id, blob) pairs of ``paths`` that the table of versions lacks."""
+    spark, folder = paths.sparkSession, f"{ledger}-versions"
+    spark.createDataFrame([], VERSIONS).write.mode("append").parquet(folder)
+    known = spark.read.schema(VERSIONS).parquet(folder)
+    pairs = paths.select(F.col("doc_id").cast("string").alias("doc_id"), "blob").distinct()
+    same = (pairs["doc_id"].eqNullSafe(known["doc_id"])) & (pairs["blob"] == known["blob"])
+    pairs.join(known, same, "left_anti").write.mode("append").parquet(folder)
+
+
+def history(spark: SparkSession, ledger: str, rules=RULES) -> DataFrame:
+    """(doc_id: string, blob, spans) of every version of a document that was scanned with ``ledger``."""
+    versions = spark.read.schema(VERSIONS).parquet(f"{ledger}-versions").distinct()
+    found = _findings(scanned(spark, ledger, rules))
+    return versions.join(found, "blob", "left").select(
+        "doc_id", "blob", F.coalesce("spans", F.lit("")).alias("spans")
+    )
 
 
 def scan_documents(docs: DataFrame, ledger: str | None = None, rules=RULES) -> DataFrame:
     """(doc_id, spans) for every row of ``docs``: ``kind:start:end`` joined by commas, or empty.
 
-    Null and empty texts have no spans. Repeated rows are returned as often.
+    Null and empty texts have no spans. Repeated rows are returned as often; no
+    rows give no rows. A ``ledger`` that is named is kept, with all versions.
     """
-    ledger = ledger or scratch_folder(docs.sparkSession, "ledger")
-    found = scan_new(docs, ledger, rules).where("spans <> ''").select("blob", "spans")
     paths = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("blob"))
+    if ledger is not None:
+        _record_versions(paths, ledger)
+    ledger = ledger or scratch_folder(docs.sparkSession, "ledger")
+    found = _findings(scan_new(docs, ledger, rules))
     return paths.join(found, "blob", "left").select(
         "doc_id", F.coalesce("spans", F.lit("")).alias("spans")
     )
@@ -120,7 +158,7 @@ def cut(text: str, spans: str, mark: str) -> str:
 def redact(docs: DataFrame, ledger: str | None = None, rules=RULES, mark: str = "[secret]") -> DataFrame:
     """``docs`` with every span replaced by ``mark`` (overlapping ones by one); n_chars follows."""
     ledger = ledger or scratch_folder(docs.sparkSession, "ledger")
-    found = scan_new(docs, ledger, rules).where("spans <> ''").select("blob", "spans")
+    found = _findings(scan_new(docs, ledger, rules))
 
     @F.pandas_udf("string")
     def cleaned(texts: pd.Series, spans: pd.Series) -> pd.Series:

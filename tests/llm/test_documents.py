@@ -234,6 +234,22 @@ def test_ledger_scans_only_what_is_new(spark, tmp_path):
     assert spark.read.schema(secrets.LEDGER).parquet(ledger).count() == 5
 
 
+def test_repeated_ledger_rows_do_no_harm(spark, tmp_path):
+    """A job that appended its findings twice; also the findings in versions that were replaced."""
+    ledger = f"file://{tmp_path}/ledger"
+    key = "token = abcdefghijklmnop"
+    docs = frame(spark, [key, "plain", key], [1, 2, 3])
+    once = sorted(map(tuple, secrets.scan_documents(docs, ledger).collect()))
+    spark.read.parquet(ledger).write.mode("append").parquet(ledger)
+    assert sorted(map(tuple, secrets.scan_documents(docs, ledger).collect())) == once and len(once) == 3
+    assert [r.text for r in secrets.redact(docs, ledger).orderBy("doc_id").collect()] == ["[secret]", "plain", "[secret]"]
+    later = frame(spark, ["nothing now", "plain", None], [1, 2, None])
+    assert {r.spans for r in secrets.scan_documents(later, ledger).collect()} == {""}
+    seen = secrets.history(spark, ledger).collect()
+    assert sorted((r.doc_id, r.spans) for r in seen if r.spans) == [("1", once[0][1]), ("3", once[0][1])]
+    assert len(seen) == 5
+
+
 # --- packing ------------------------------------------------------------------------------
 
 
@@ -265,7 +281,6 @@ def plain_ids(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(registry.vocabulary("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return [x.ids + [0] for x in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -275,7 +290,7 @@ def test_packing_whole(spark, texts):
 
 
 ODD_SPACES = [
-    None, "", " ", "  ", "   ", "a  b", "a   b", " a\n b \n", "a \n\n  b", "a\t b", "\x85 x", "a \x1c b", "x  ", "x ", "<|endoftext|> y",
+    None, "", " ", "  ", "   ", "a  b", "a   b", " a\n b \n", "a \n\n  b", "a\t b", "\x85 x", "a \x1c b", "x  ", "x ", "<|endoftext|> y", "a<|endoftext|> b", "a <|endoftext|><|endoftext|>", "<|endoftext|", "  <|endoftext|>  <|endoftext|> \n <|endoftext|>",
     "don't  stop", "\u00a0 a", "e\u0301 ñ 漢字 🙂", "a" * 30000, "w " * 9000, "\n \n", "1 2  3",
 ]
 
@@ -476,6 +491,43 @@ def test_round_trip_is_encode_then_decode(spark, texts):
 # --- quality and language -----------------------------------------------------------------
 
 
+def test_letters_are_the_unicode_categories_of_letters(spark, sample):
+    import unicodedata
+
+    texts = ["½ ²", "Ⅷ ①", "_ 12", "ª", "ж", "ー", "", None, "٣", "\u0300", "a"]
+    model = language.train(sample.limit(200))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.predict(frame(spark, texts), model).collect()}
+    for i, t in enumerate(texts):
+        letter = any(unicodedata.category(c)[0] == "L" for c in t or "")
+        assert (got[i][0] != "und") == letter and (letter or got[i][1] == 0)
+    assert language.predict(frame(spark, []), model).count() == 0
+
+
+def test_language_against_its_formula(spark, sample):
+    """Predictions in batches are those of the kernel written out for one text at a time."""
+    model = language.train(sample, per_language=20, landmarks=12)
+    rows = sample.orderBy("doc_id").limit(60).select("doc_id", "text")
+    for r in language.predict(rows, model).collect():
+        data = (r.text or "").lower().encode()
+        held = {tuple(data[i : i + n]) for n in (1, 2, 3) for i in range(len(data) - n + 1)}
+        buckets = {(sum(c << 8 * i for i, c in enumerate(g)) + (len(g) << 28)) * 2654435761 % 2**32 >> language.SHIFT for g in held}
+        row = np.zeros(language.BUCKETS)
+        row[list(buckets)] = 1
+        values = (row @ model.landmarks.T / max(np.sqrt(row.sum()), 1)) @ model.weights
+        if r.lang_pred != "und":
+            assert model.languages[int(values.argmax())] == r.lang_pred
+            assert r.score == pytest.approx(min(1, max(0, (values.max() + 1) / 2)), abs=1e-4)
+
+
+def test_training_takes_the_smallest_places_of_each_language(spark):
+    """More texts of one language than wanted: all of them at the smallest hashes, whatever their order."""
+    rows = [(f"text {i}", "a" if i % 10 else "b") for i in range(3000)] + [("text 1", "a"), (None, "a"), ("x", None)]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    one, other = (language.train(d, per_language=50, landmarks=10) for d in (df, df.orderBy(F.rand(3))))
+    assert one.languages == ("a", "b") and (one.weights == other.weights).all()
+
+
+
 def test_quality_against_held_labels(spark, sample):
     """The labels are never seen in training."""
     labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality")
