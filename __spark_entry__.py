@@ -16,8 +16,10 @@ from hirelens import POSTINGS, FilterSpec, apply_filters, clean_postings
 from hirelens.functions import rules, text
 from hirelens.operators import domains
 from hirelens.plans import cleaning, competition, friction, market, pulse, summary, titles
+from hirelens.plans.cube import build_cube, dashboard_from_cube, filter_catalogue
 from hirelens.plans.dashboard import dashboard
-from hirelens.sources.clean_store import build_clean, ensure_clean
+from hirelens.schema import GRAINS
+from hirelens.sources.clean_store import build_clean, ensure_clean, kept
 from hirelens.sources.raw_csv import read_csv_where, write_csv
 from hirelens.sources.shared import scratch_folder, stored
 from hirelens.sources.star_tables import raw_postings
@@ -103,43 +105,96 @@ def csv_filtered_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _counted(found, C.vacancies)
 
 
+def ingest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the ingest job read, kept and dropped, counted by the job itself."""
+    folder = scratch_folder(spark)
+    write_csv(raw_postings(spark, sf_dir), f"{folder}/raw_csv")
+    counts: dict[str, int] = {}
+    build_clean(spark, f"{folder}/raw_csv", f"{folder}/clean", multi_line=False, counts=counts)
+    return spark.createDataFrame([counts], ", ".join(f"{n} long" for n in counts))
+
+
+def ingest_day_first_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ingest job on CSV files that mix day-first and ISO dates."""
+    folder = scratch_folder(spark)
+    iso = F.col(C.posted_text)
+    day_first = F.regexp_replace(iso, r"^(\d{4})-(\d\d)-(\d\d)$", "$3/$2/$1")
+    mixed = F.when(F.col(C.repost_count) == 0, iso).otherwise(day_first)
+    write_csv(raw_postings(spark, sf_dir).withColumn(C.posted_text, mixed), f"{folder}/raw_csv")
+    return build_clean(
+        spark,
+        f"{folder}/raw_csv",
+        f"{folder}/clean",
+        multi_line=False,
+        cleaning={"date_formats": ("dd/MM/yyyy", "yyyy-MM-dd")},
+    )
+
+
+def kept_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two reports of postings that are kept in memory meanwhile."""
+    with kept(postings(spark, sf_dir)) as held:
+        sectors = pulse.apps_by_sector(held).withColumnRenamed(C.sector, "value")
+        levels = pulse.apps_by_seniority(held).withColumnRenamed(C.level, "value")
+        return stored(sectors.unionAll(levels), scratch_folder(spark, "kept"))
+
+
 def _structure(p: DataFrame) -> DataFrame:
     return competition.contested_structure(p, 5)
 
 
-# Of the reports of a dashboard: what names a row, its figures and its texts.
+# What names a row of each report of a dashboard; all its other columns are figures or texts.
 REPORTED = {
-    "kpi_cards": (("label",), (), ("value",)),
-    "timeline": (("period", C.pmet), ("vacancies", "applications"), ()),
-    "apps_by_seniority": ((C.level,), ("applications", "share"), ()),
-    "apps_by_sector": ((C.sector,), ("applications", "share"), ()),
-    "market": ((C.category,), ("views", "apps_per_vacancy"), ()),
-    "competition_top": ((C.category,), ("apps_per_vac", "median_salary"), ("salary_text",)),
-    "hierarchy": (("id",), ("value",), ()),
-    "friction": ((C.category,), ("friction_pct",), ()),
-    "table": ((C.category, C.sector), (), ("median_salary", "titles")),
+    "kpi_cards": ("label",),
+    "pulse": ("period", C.pmet, C.sector, C.level, "grouping"),
+    "timeline": ("period", C.pmet),
+    "apps_by_seniority": (C.level,),
+    "apps_by_sector": (C.sector,),
+    "market": (C.category,),
+    "competition_top": (C.category,),
+    "hierarchy": ("id",),
+    "friction": (C.category,),
+    "table": (C.category, C.sector),
 }
 
 
+def _long(parts: dict[str, DataFrame]) -> DataFrame:
+    """All figures and texts of all reports as one long table."""
+    parts = parts | {"table": summary.report(parts["table"])}
+    long = None
+    for report, names in REPORTED.items():
+        cells = []
+        for n, kind in parts[report].dtypes:
+            if n in names:
+                continue
+            number = F.lit(None) if kind == "string" else F.col(n)
+            words = F.col(n) if kind == "string" else F.lit(None)
+            cells.append(
+                F.struct(
+                    F.lit(n).alias("measure"),
+                    number.cast("double").alias("number"),
+                    words.cast("string").alias("text"),
+                )
+            )
+        rows = parts[report].select(
+            F.lit(report).alias("report"),
+            F.concat_ws("|", *names).alias("item"),
+            F.inline(F.array(*cells)),
+        )
+        long = rows if long is None else long.unionAll(rows)
+    return long
+
+
 def dashboard_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All reports of one request over postings that are scanned once, as one long table."""
+    """All reports of one request over postings that are scanned once, with every figure."""
     with dashboard(postings(spark, sf_dir), FilterSpec(grain="Quarterly")) as parts:
-        long = None
-        for report, (names, figures, texts) in REPORTED.items():
-            unknown = {"number": F.lit(None).cast("double"), "text": F.lit(None).cast("string")}
-            cells = [(n, unknown | {"number": F.col(n).cast("double")}) for n in figures]
-            cells += [(n, unknown | {"text": F.col(n)}) for n in texts]
-            cells = [
-                F.struct(F.lit(n).alias("measure"), *(v.alias(k) for k, v in cell.items()))
-                for n, cell in cells
-            ]
-            rows = parts[report].select(
-                F.lit(report).alias("report"),
-                F.concat_ws("|", *names).alias("item"),
-                F.inline(F.array(*cells)),
-            )
-            long = rows if long is None else long.unionAll(rows)
-        return stored(long, scratch_folder(spark, "dashboard"))
+        return stored(_long(parts), scratch_folder(spark, "dashboard"))
+
+
+def dashboard_of_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All reports under every filter, from a roll-up of all postings."""
+    every = stored(postings(spark, sf_dir), scratch_folder(spark, "postings"))
+    with dashboard_from_cube(every, build_cube(every), EVERY_FILTER) as parts:
+        return stored(_long(parts), scratch_folder(spark, "dashboard"))
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -155,6 +210,8 @@ def queries() -> dict[str, Query]:
         "clean_postings": postings,
         "ingest_csv_to_parquet": ingest_csv_to_parquet,
         "ingest_if_missing": ingest_if_missing,
+        "ingest_counts": ingest_counts,
+        "ingest_day_first_dates": ingest_day_first_dates,
         "csv_filtered_scan": csv_filtered_scan,
         "outlier_filter": raw(
             lambda r: cleaning.drop_outliers(r)
@@ -200,6 +257,7 @@ def queries() -> dict[str, Query]:
         "filter_options": on(domains.filter_options),
         "sector_map": on(domains.sector_map),
         "period_domain": on(lambda p: domains.period_domain(p, "Quarterly")),
+        "filter_catalogue": on(lambda p: filter_catalogue(build_cube(p, GRAINS))),
         "period_bounds": on(lambda p: domains.period_bounds(p, "Weekly")),
         # pulse
         "kpi_summary": on(pulse.kpi_summary),
@@ -228,6 +286,8 @@ def queries() -> dict[str, Query]:
         "apps_by_sector": on(pulse.apps_by_sector),
         "pulse_grouping_sets": on(pulse.pulse),
         "dashboard_reports": dashboard_reports,
+        "dashboard_from_cube": dashboard_of_cube,
+        "kept_reports": kept_reports,
         "pulse_no_rows": on(lambda p: pulse.pulse(apply_filters(p, NOTHING))),
         # market
         "market_map": on(market.market_map),

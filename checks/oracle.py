@@ -301,15 +301,41 @@ _CLEAN = f"""SELECT vac AS "numberOfVacancies", apps AS "metadata_totalNumberJob
 
 # Rows of the whole dashboard: report, its statement, what names a row, figures, texts.
 _DASHBOARD = (
-    ("kpi_cards", "kpi_cards", "label", (), ("value",)),
-    ("timeline", "timeline_quarterly", "period || '|' || \"PMET\"", ("vacancies", "applications"), ()),
-    ("apps_by_seniority", "apps_by_seniority", "position_level", ("applications", "share"), ()),
-    ("apps_by_sector", "apps_by_sector", "broad_sector", ("applications", "share"), ()),
-    ("market", "market_map", "category", ("views", "apps_per_vacancy"), ()),
-    ("competition_top", "competition_top10", "category", ("apps_per_vac", "median_salary"), ("salary_text",)),
-    ("hierarchy", "hierarchy", "id", ("value",), ()),
-    ("friction", "friction_premium", "category", ("friction_pct",), ()),
-    ("table", "table_formatted", "category || '|' || broad_sector", (), ("median_salary", "titles")),
+    ("kpi_cards", "kpi_cards", "label", "position", "value"),
+    (
+        "pulse", "pulse_grouping_sets", 'period, "PMET", broad_sector, position_level, grouping',
+        "vacancies applications views posts reposts", "",
+    ),
+    (
+        "timeline", "timeline_quarterly", 'period, "PMET"',
+        "vacancies applications apps_per_vacancy apps_per_vacancy_plotted", "",
+    ),
+    ("apps_by_seniority", "apps_by_seniority", "position_level", "applications share", ""),
+    ("apps_by_sector", "apps_by_sector", "broad_sector", "applications share", ""),
+    (
+        "market", "market_zones", "category",
+        "vacancies applications views postings views_per_posting apps_per_vacancy weighted_avg_views median_vacancies",
+        "broad_sector zone",
+    ),
+    ("market", "top3_competitive", "category", "top_competitive", ""),
+    (
+        "competition_top", "competition_top10", "category",
+        "applications vacancies median_salary avg_exp apps_per_vac",
+        "broad_sector category_with_ratio salary_text experience_text",
+    ),
+    ("hierarchy", "hierarchy", "id", "depth value", "label parent"),
+    (
+        "friction", "friction_zones", "category",
+        "postings vacancies applications median_salary repost_count sector_median salary_premium_pct"
+        " friction_pct apps_per_vac friction_median",
+        "broad_sector zone",
+    ),
+    (
+        "table", "table_formatted", "category, broad_sector", "",
+        "vacancies pct_vacancies applications pct_applications apps_per_vac median_salary salary_vs_sector"
+        " parent_median avg_exp exp_vs_sector parent_avg_exp top_seniority views views_per_post job_reposts"
+        " pct_reposts titles",
+    ),
 )
 
 
@@ -318,22 +344,51 @@ def _dashboard(bodies: dict[str, str]) -> str:
     for report, body, item, figures, texts in _DASHBOARD:
         inner = bodies[body].strip()
         inner = "WITH " + inner[1:] if inner.startswith(",") else inner
-        for n in (*figures, *texts):
-            number = f"cast({n} AS double)" if n in figures else "NULL::double"
-            text = f"{n}" if n in texts else "NULL::varchar"
+        for n in (*figures.split(), *texts.split()):
+            number = f"cast({n} AS double)" if n in figures.split() else "NULL::double"
+            text = f"{n}" if n in texts.split() else "NULL::varchar"
             parts.append(
-                f"SELECT '{report}' AS report, {item} AS item, '{n}' AS measure, "
+                f"SELECT '{report}' AS report, concat_ws('|', {item}) AS item, '{n}' AS measure, "
                 f"{number} AS number, {text} AS text FROM ({inner})"
             )
     return " UNION ALL ".join(parts)
 
 
+# The catalogue of filters: names and grains, and the default range of each grain.
+_CATALOGUE = " UNION ALL ".join(
+    [
+        f"SELECT DISTINCT '{n}' AS dimension, {n} AS value, NULL::varchar AS parent FROM postings"
+        for n in ("sector", "level", "pmet", "weekly", "monthly", "quarterly", "yearly")
+    ]
+    + ["SELECT DISTINCT 'category', category, sector FROM postings"]
+    + [
+        f"SELECT '{n}', {f}({n}), '{shown}' FROM postings"
+        for n in ("weekly", "monthly", "quarterly", "yearly")
+        for f, shown in (("min", "first"), ("max", "last"))
+    ]
+)
+
+_FILTERED_CTE = (
+    POSTINGS_CTE.replace("postings AS (", "every_posting AS (")
+    + """, postings AS (SELECT * FROM every_posting WHERE sector = 'Industrial & Infrastructure'
+      AND pmet = 'PMET' AND level = 'Manager / Professional' AND repost = 'N'
+      AND quarterly BETWEEN '1996-Q2' AND '2000-Q3')
+    """
+)
+
+
 def statements() -> dict[str, str]:
     bodies = {
         # cleaning
         "clean_postings": _CLEAN,
         "ingest_csv_to_parquet": _CLEAN,
         "ingest_if_missing": _CLEAN,
+        "ingest_day_first_dates": _CLEAN,
+        "ingest_counts": """SELECT count(*) AS rows_read,
+          count(*) FILTER (NOT coalesce(vac < 10 AND max_salary > 0, false)) AS outliers,
+          count(*) FILTER (vac < 10 AND max_salary > 0 AND posted = 'n/a') AS unreadable_dates,
+          (SELECT count(*) FROM postings) AS rows_kept,
+          count(*) FILTER (salary IS NULL) AS without_salary FROM raw""",
         "csv_filtered_scan": 'SELECT vac AS "numberOfVacancies", count(*) AS postings FROM raw '
         "WHERE repost_count = 0 GROUP BY vac",
         "outlier_filter": "SELECT vac AS \"numberOfVacancies\", count(*) AS postings, min(max_salary) AS "
@@ -362,6 +417,7 @@ def statements() -> dict[str, str]:
         "sector_map": "SELECT sector AS broad_sector, string_agg(category, ', ' ORDER BY category) AS categories "
         "FROM (SELECT DISTINCT sector, category FROM postings) GROUP BY sector",
         "period_domain": "SELECT DISTINCT quarterly AS period FROM postings",
+        "filter_catalogue": _CATALOGUE,
         "period_bounds": "SELECT min(weekly) AS lo, max(weekly) AS hi FROM postings",
         # pulse
         "kpi_summary": _kpi(),
@@ -450,5 +506,11 @@ def statements() -> dict[str, str]:
         "salary_by_experience": 'SELECT years AS "minimumYearsExperience", count(*) AS postings, '
         "median(salary) AS median_salary FROM postings GROUP BY years",
     }
-    bodies["dashboard_reports"] = _dashboard(bodies)
-    return {name: POSTINGS_CTE + body for name, body in bodies.items()}
+    bodies["kept_reports"] = " UNION ALL ".join(
+        f"SELECT {column} AS value, applications, share FROM ({_share(n, column)})"
+        for n, column in (("sector", "broad_sector"), ("level", "position_level"))
+    )
+    whole = _dashboard(bodies)
+    bodies["dashboard_reports"] = whole
+    complete = {name: POSTINGS_CTE + body for name, body in bodies.items()}
+    return complete | {"dashboard_from_cube": _FILTERED_CTE + whole}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
@@ -17,6 +17,30 @@ def drop_outliers(raw: DataFrame, c: PostingColumns = POSTINGS) -> DataFrame:
     return raw.where((F.col(c.vacancies) < BULK_VACANCIES) & (F.col(c.max_salary) > 0))
 
 
+def observed(
+    raw: DataFrame,
+    seen: Observation,
+    c: PostingColumns = POSTINGS,
+    date_formats: tuple[str, ...] = (),
+) -> DataFrame:
+    """``raw`` with counts taken on the way: rows, and those that cleaning will drop, by reason.
+
+    They are there when an action on what follows has ended; nothing is scanned
+    for them. A row that is dropped for two reasons counts for the first.
+    """
+    in_range = (F.col(c.vacancies) < BULK_VACANCIES) & (F.col(c.max_salary) > 0)
+    inside = F.coalesce(in_range, F.lit(False))
+    dated = text.parse_date(c.posted_text, date_formats).isNotNull()
+    return raw.observe(
+        seen,
+        F.count(F.lit(1)).alias("rows_read"),
+        F.count_if(~inside).alias("outliers"),
+        F.count_if(inside & ~dated).alias("unreadable_dates"),
+        F.count_if(inside & dated).alias("rows_kept"),
+        F.count_if(F.col(c.salary).isNull()).alias("without_salary"),
+    )
+
+
 def with_categories(postings: DataFrame, c: PostingColumns = POSTINGS) -> DataFrame:
     """Add the sub-sector: the first embedded category."""
     return postings.withColumn(c.category, text.first_category(c.categories_text))

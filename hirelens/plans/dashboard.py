@@ -12,7 +12,7 @@ from ..operators.filters import FilterSpec, apply_filters
 from ..schema import POSTINGS, PostingColumns
 from ..sources.clean_store import kept
 from . import competition, friction, market, pulse, summary
-from .reduced import measures, reduce_postings, stored_medians
+from .reduced import measures, reduce_postings, rolled_up, stored_medians
 
 
 def reports(
@@ -20,16 +20,20 @@ def reports(
     grain: str,
     c: PostingColumns = POSTINGS,
     overview: DataFrame | None = None,
+    reduced: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Every report as a frame. ``overview`` holds the rows of ``pulse.reduced``.
 
-    One reduction by sub-sector, seniority and salary bin is written when this
-    is called, and the medians from it: the reports on competition, friction
-    and the table share both.
+    ``reduced`` holds all sums by sub-sector, seniority and salary bin, or
+    finer. It is written when this is called if it is not there, and so are the
+    medians: the reports on the market, competition, friction and the table
+    share both.
     """
     if overview is None:
         overview = pulse.reduced(filtered, grain, c)
-    reduced = reduce_postings(filtered, list(measures(c)), c=c)
+    if reduced is None:
+        reduced = reduce_postings(filtered, list(measures(c)), c=c)
+    by_category = rolled_up(reduced, [c.category, c.sector], market.SUMS)
     pay = stored_medians(filtered, reduced, c)
     structure = competition.contested_structure(filtered, c=c, reduced=reduced)
     structure = competition.with_positioning(structure, c=c)
@@ -41,7 +45,7 @@ def reports(
         "apps_by_seniority": pulse.apps_by_seniority(overview, c),
         "apps_by_sector": pulse.apps_by_sector(overview, c),
         "market": market.flag_most_competitive(
-            market.market_zones(market.market_map(filtered, c), c), c=c
+            market.market_zones(market.market_of_sums(by_category, c), c), c=c
         ),
         "competition_top": competition.competition_top(filtered, c=c, reduced=reduced, pay=pay),
         "hierarchy": competition.hierarchy(structure, c=c),

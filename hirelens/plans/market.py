@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import ratio, total
 from ..operators.ranking import top_rows, whole_frame
 from ..schema import POSTINGS, PostingColumns
+from .reduced import measures
 
 # The four corners of the map, by (high interest, high supply).
 ZONES = {
@@ -17,24 +18,27 @@ ZONES = {
     (False, False): "Quiet",
 }
 
+SUMS = ["vacancies", "applications", "views", "postings"]
+
 
 def market_map(postings: DataFrame, c: PostingColumns = POSTINGS) -> DataFrame:
     """One row per sub-sector. A sub-sector has one sector, so ``min`` is that one."""
+    # Sums alone are hashed; a minimum of texts would sort every posting first.
+    known = measures(c)
+    return market_of_sums(
+        postings.groupBy(c.category, c.sector).agg(*[known[n].alias(n) for n in SUMS]), c
+    )
+
+
+def market_of_sums(sums: DataFrame, c: PostingColumns = POSTINGS) -> DataFrame:
+    """``market_map`` from sums by sub-sector and sector."""
     views = ratio("views", "postings", "ieee", digits=2)
     apps = ratio("applications", "vacancies", "ieee", digits=2)
     return (
-        # Sums alone are hashed; a minimum of texts would sort every posting first.
-        postings.groupBy(c.category, c.sector)
-        .agg(
-            total(c.vacancies).alias("vacancies"),
-            total(c.applications).alias("applications"),
-            total(c.views).alias("views"),
-            F.count(c.job_id).alias("postings"),
-        )
-        .groupBy(c.category)
+        sums.groupBy(c.category)
         .agg(
             F.min(c.sector).alias(c.sector),
-            *(F.sum(n).alias(n) for n in ("vacancies", "applications", "views", "postings")),
+            *(F.sum(n).alias(n) for n in SUMS),
         )
         .withColumns(
             {

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.storagelevel import StorageLevel
 
-from ..plans.cleaning import clean_postings
+from ..plans.cleaning import clean_postings, observed
 from ..schema import POSTINGS, PostingColumns, struct_of
 from .raw_csv import read_raw_csv
 
@@ -67,15 +67,24 @@ def build_clean(
     multi_line: bool = True,
     c: PostingColumns = POSTINGS,
     cleaning: Mapping[str, object] | None = None,
+    counts: dict[str, int] | None = None,
     **layout,
 ) -> DataFrame:
     """CSV to cleaned Parquet in one job without a shuffle; returns the new scan.
 
+    ``counts``, if given, is filled with what the job saw: rows read, kept, and
+    dropped as outliers or for a date that cannot be read.
+
     ``cleaning`` holds options of ``clean_postings``, such as ``date_formats``
     for dates that are not ISO, or ``sortable_weeks``.
     """
-    raw = read_raw_csv(spark, csv_path, c, multi_line)
-    write_clean(clean_postings(raw, c, **(cleaning or {})), out_path, mode, c=c, **layout)
+    raw, options = read_raw_csv(spark, csv_path, c, multi_line), cleaning or {}
+    seen = Observation("ingest")
+    if counts is not None:
+        raw = observed(raw, seen, c, options.get("date_formats", ()))
+    write_clean(clean_postings(raw, c, **options), out_path, mode, c=c, **layout)
+    if counts is not None:
+        counts.update(seen.get)
     return read_clean(spark, out_path, c)
 
 
