@@ -18,11 +18,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hirelens.llm.sampling import SPACE
+from hirelens.sources.shared import scratch_folder, stored
 
 SHIFT = 32 - 13
 BUCKETS = 1 << (32 - SHIFT)
 BLOCK = 1 << 22
 BATCH = 128
+SENT = 1 << 18
 NO_LANGUAGE = "und"
 LETTER = regex.compile(r"\p{L}")  # the Unicode categories of letters, not of numbers
 
@@ -93,14 +95,18 @@ def train(
         .where(place < share * SPACE)
         .withColumn("rank", F.row_number().over(smallest))
         .where(F.col("rank") <= per_language)
+        .select("lang", "hash")
     )
+    chosen = stored(chosen, scratch_folder(learned.sparkSession, "languages"))
+    if chosen.count() <= SENT:  # else there are very many languages, and both sides are joined by shuffle
+        chosen = F.broadcast(chosen)
 
     @F.pandas_udf("binary")
     def presence(texts: pd.Series) -> pd.Series:
         return pd.Series([np.packbits(grams(t)).tobytes() for t in texts], dtype=object)
 
     sample = (
-        rows.join(chosen.select("lang", "hash"), ["lang", "hash"])
+        rows.join(chosen, ["lang", "hash"])
         .dropDuplicates(["lang", "hash"])
         .select("lang", "hash", presence("text").alias("bits"))
         .collect()
