@@ -13,6 +13,7 @@ distinct pairs once, and the sums over all blocks return to it.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -42,8 +43,10 @@ ALIGNED = "doc string, n_a long, n_b long, n_groups long, n_links long, n_best l
 def byte_side(path: str) -> tuple[Callable, list[bytes]]:
     """How a byte-level vocabulary encodes a text, and the bytes of each id."""
     words = WordIds(path)
-    letters, vocab = byte_alphabet(), words.described["model"]["vocab"]
-    special = {t["content"] for t in words.described["added_tokens"]}
+    with open(path, encoding="utf-8") as file:
+        described = json.load(file)
+    letters, vocab = byte_alphabet(), described["model"]["vocab"]
+    special = {t["content"] for t in described["added_tokens"]}
     known = [b""] * (max(vocab.values(), default=-1) + 1)
     for token, i in vocab.items():
         known[i] = token.encode() if token in special else bytes(letters[c] for c in token)

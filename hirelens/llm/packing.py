@@ -53,13 +53,13 @@ class WordIds(dict):
     read from its tokenizers file; tiktoken, which gives the same ids, encodes.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 200_000):
         import tiktoken
 
         super().__init__()
         with open(path, encoding="utf-8") as file:
-            self.described = json.load(file)
-        added = self.described["added_tokens"]
+            described = json.load(file)
+        added = described["added_tokens"]
         if any(t.get(flag) for t in added for flag in ("single_word", "lstrip", "rstrip")):
             raise ValueError("an added token that looks at what is around it is not supported")
         special = {t["content"]: t["id"] for t in added}
@@ -69,7 +69,7 @@ class WordIds(dict):
         letters = byte_alphabet()
         ranks = {
             bytes(letters[c] for c in token): number
-            for token, number in self.described["model"]["vocab"].items()
+            for token, number in described["model"]["vocab"].items()
             if token not in special
         }
         coding = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -106,6 +106,7 @@ def pieces(docs: DataFrame, vocabulary: str, length: int = 1024) -> DataFrame:
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = WordIds(vocabulary)
+        frame = lambda rows: pd.DataFrame(rows, columns=[*NAMES, "ids"]).astype({"doc_id": "Int64"})
         for batch in batches:
             rows = []
             for doc, text in zip(batch["doc_id"], batch["text"]):
@@ -115,8 +116,10 @@ def pieces(docs: DataFrame, vocabulary: str, length: int = 1024) -> DataFrame:
                     piece = ids[4 * start : 4 * (start + length)]
                     rest = bytes(piece) if n - start < length else None
                     rows.append((doc, start, len(piece) // 4, zlib.crc32(piece), n, rest))
-            out = pd.DataFrame(rows, columns=[*NAMES, "ids"])
-            yield out.astype({"doc_id": "Int64"})
+                    if len(rows) == 4096:
+                        yield frame(rows)
+                        rows = []
+            yield frame(rows)
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInPandas(cut, f"{PIECES}, ids binary")
