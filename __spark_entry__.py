@@ -19,7 +19,13 @@ from hirelens.plans import cleaning, competition, friction, market, pulse, summa
 from hirelens.plans.cube import build_cube, dashboard_from_cube, filter_catalogue
 from hirelens.plans.dashboard import dashboard
 from hirelens.schema import GRAINS
-from hirelens.sources.clean_store import build_clean, ensure_clean, kept
+from hirelens.sources.clean_store import (
+    build_clean,
+    ensure_clean,
+    kept,
+    stored_bounds,
+    write_clean,
+)
 from hirelens.sources.raw_csv import read_csv_where, write_csv
 from hirelens.sources.shared import scratch_folder, stored
 from hirelens.sources.star_tables import raw_postings
@@ -90,10 +96,36 @@ def ingest_if_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_folder(spark)
     write_csv(raw_postings(spark, sf_dir), f"{folder}/raw_csv")
     for _ in range(2):
-        table = ensure_clean(spark, f"{folder}/raw_csv", f"{folder}/clean", multi_line=False)
+        table = ensure_clean(spark, f"{folder}/raw_csv", f"{folder}/clean")
     return table
 
 
+def ingest_line_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ingest job on CSV files whose titles hold line breaks, laid out by year."""
+    folder = scratch_folder(spark)
+    broken = F.translate(C.title, " ", "\n")
+    write_csv(raw_postings(spark, sf_dir).withColumn(C.title, broken), f"{folder}/raw_csv")
+    return build_clean(
+        spark,
+        f"{folder}/raw_csv",
+        f"{folder}/clean",
+        partition_by_year=True,
+        sort_within=(C.sector, C.category),
+        clustered=True,
+    )
+
+
+def period_bounds_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First and last label of every grain of a written table, from its file statistics."""
+    folder = scratch_folder(spark)
+    write_clean(clean_postings(raw_postings(spark, sf_dir)), folder, partition_by_year=True)
+    rows = None
+    for grain in GRAINS:
+        found = stored_bounds(spark, folder, grain).select(F.lit(grain).alias("grain"), "lo", "hi")
+        rows = found if rows is None else rows.unionAll(found)
+    return rows
+
+
 def csv_filtered_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw postings without reposts, cut while their CSV files are read."""
     folder = scratch_folder(spark)
@@ -210,6 +242,7 @@ def queries() -> dict[str, Query]:
         "clean_postings": postings,
         "ingest_csv_to_parquet": ingest_csv_to_parquet,
         "ingest_if_missing": ingest_if_missing,
+        "ingest_line_breaks": ingest_line_breaks,
         "ingest_counts": ingest_counts,
         "ingest_day_first_dates": ingest_day_first_dates,
         "csv_filtered_scan": csv_filtered_scan,
@@ -259,6 +292,7 @@ def queries() -> dict[str, Query]:
         "period_domain": on(lambda p: domains.period_domain(p, "Quarterly")),
         "filter_catalogue": on(lambda p: filter_catalogue(build_cube(p, GRAINS))),
         "period_bounds": on(lambda p: domains.period_bounds(p, "Weekly")),
+        "period_bounds_stored": period_bounds_stored,
         # pulse
         "kpi_summary": on(pulse.kpi_summary),
         "kpi_of_sector": on(

@@ -383,6 +383,7 @@ def statements() -> dict[str, str]:
         "clean_postings": _CLEAN,
         "ingest_csv_to_parquet": _CLEAN,
         "ingest_if_missing": _CLEAN,
+        "ingest_line_breaks": _CLEAN,
         "ingest_day_first_dates": _CLEAN,
         "ingest_counts": """SELECT count(*) AS rows_read,
           count(*) FILTER (NOT coalesce(vac < 10 AND max_salary > 0, false)) AS outliers,
@@ -419,6 +420,10 @@ def statements() -> dict[str, str]:
         "period_domain": "SELECT DISTINCT quarterly AS period FROM postings",
         "filter_catalogue": _CATALOGUE,
         "period_bounds": "SELECT min(weekly) AS lo, max(weekly) AS hi FROM postings",
+        "period_bounds_stored": " UNION ALL ".join(
+            f"SELECT '{grain}' AS grain, min({grain}) AS lo, max({grain}) AS hi FROM postings"
+            for grain in ("Weekly", "Monthly", "Quarterly", "Yearly")
+        ),
         # pulse
         "kpi_summary": _kpi(),
         "kpi_of_sector": _kpi("sector = 'Industrial & Infrastructure'"),

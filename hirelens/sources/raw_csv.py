@@ -9,7 +9,9 @@ from pyspark.sql import types as T
 from ..schema import POSTINGS, PostingColumns, struct_of
 
 
-def _options(multi_line: bool) -> dict[str, str]:
+def _options(spark: SparkSession, path: str, multi_line: bool | None) -> dict[str, str]:
+    if multi_line is None:
+        multi_line = not lines_are_closed(spark, path)
     # JSON inside a cell holds quotes; they are written doubled. A missing cell
     # is null and a quoted empty one an empty text, which the reader only tells
     # apart if null has a mark of its own.
@@ -22,11 +24,25 @@ def _options(multi_line: bool) -> dict[str, str]:
     }
 
 
+def lines_are_closed(spark: SparkSession, path: str) -> bool:
+    """Whether no cell of the CSV holds a line break, so that its files can be split.
+
+    Quotes inside a cell are doubled. If every line holds an even number of
+    them, each line starts outside a cell, by induction from the first. A stray
+    single quote in an unquoted cell also gives ``False``: it is a proof, not a
+    guess. One narrow pass over the text in splits, which ends early where a
+    line is found; empty files are closed.
+    """
+    lines = spark.read.text(path)
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return lines.where(quotes % 2 == 1).isEmpty()
+
+
 def read_raw_csv(
     spark: SparkSession,
     path: str,
     c: PostingColumns = POSTINGS,
-    multi_line: bool = True,
+    multi_line: bool | None = None,
 ) -> DataFrame:
     """The 14 required columns of a CSV, by header name, bad cells as null.
 
@@ -35,11 +51,12 @@ def read_raw_csv(
     required one fails at once. Whole numbers are read through double, so that
     ``3.0`` counts as 3.
 
-    ``multi_line=True`` accepts line breaks inside cells, but then one file is
-    one task: give the data as many files. Where no cell has a line break,
-    ``False`` lets Spark split large files.
+    Large files are split if :func:`lines_are_closed` proves that no cell has a
+    line break, which costs a pass over the text; else one file is one task: give
+    such data as many files. ``multi_line`` says it instead, without the pass:
+    ``False`` is the caller's word that no cell has a line break.
     """
-    options = _options(multi_line)
+    options = _options(spark, path, multi_line)
     types = c.raw_types
     header = spark.read.options(**options).csv(path).columns
     missing = [n for n in types if n not in header]
@@ -67,14 +84,15 @@ def read_csv_where(
     path: str,
     equals: dict[str, object],
     schema: T.StructType | str | None = None,
-    multi_line: bool = True,
+    multi_line: bool | None = None,
 ) -> DataFrame:
     """A CSV with parsed dates, cut to the rows where the given columns are equal.
 
     The predicates reach the CSV reader (``PushedFilters``). Without a schema
     types and dates are inferred, which costs one more pass over the file.
+    ``multi_line`` as in :func:`read_raw_csv`.
     """
-    reader = spark.read.options(**_options(multi_line))
+    reader = spark.read.options(**_options(spark, path, multi_line))
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", "true")
     rows = reader.csv(path)
     for column, wanted in equals.items():

@@ -15,13 +15,18 @@ from hirelens import (
     clean_postings,
     ensure_clean,
     kept,
+    lines_are_closed,
     read_clean,
     read_csv_where,
     read_raw_csv,
+    stored_bounds,
     write_clean,
     write_csv,
 )
+from hirelens.operators import domains
 from hirelens.plans import pulse
+from hirelens.schema import GRAINS
+from hirelens.sources.clean_store import STORED_DAY, footer_days
 from hirelens.sources.star_tables import raw_postings
 
 
@@ -203,3 +208,73 @@ def test_derived_postings_reach_every_case(spark):
     assert p.select("PMET").distinct().count() == 2
     assert not p.where("numberOfVacancies = 0").isEmpty()
     assert not p.where("average_salary IS NULL").isEmpty()
+
+
+def test_files_are_split_only_where_every_line_is_closed(spark, tmp_path):
+    many = [csv_line(metadata_jobPostId=f"j{i}", title='"A ""b"", c"') for i in range(300)]
+    closed = write_text(tmp_path / "closed.csv", *many)
+    broken = write_text(tmp_path / "broken.csv", *many, csv_line(title='"Two\nlines"'))
+    assert lines_are_closed(spark, closed) and not lines_are_closed(spark, broken)
+    # A break between doubled quotes leaves an odd number in each half.
+    doubled = write_text(tmp_path / "doubled.csv", csv_line(title='"a ""\n"" b"'))
+    assert not lines_are_closed(spark, doubled)
+    (tmp_path / "empty.csv").write_text("")
+    assert lines_are_closed(spark, str(tmp_path / "empty.csv"))
+    size = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "8k")
+    try:
+        split, whole = read_raw_csv(spark, closed), read_raw_csv(spark, broken)
+        assert split.rdd.getNumPartitions() > 1 and split.count() == 300
+        assert whole.rdd.getNumPartitions() == 1 and whole.count() == 301
+        titles = {r.title for r in whole.select("title").collect()}
+        assert titles == {'A "b", c', "Two\nlines"}
+    finally:
+        spark.conf.set(size, before)
+
+
+def test_bounds_come_from_file_statistics(spark, tmp_path, raw):
+    p = clean_postings(raw_postings(spark, SF_DIR))
+    for name, layout in {"plain": {}, "years": {"partition_by_year": True}}.items():
+        path = str(tmp_path / name)
+        write_clean(p, path, **layout)
+        for grain in GRAINS:
+            found = stored_bounds(spark, path, grain)
+            assert dicts(found) == dicts(domains.period_bounds(p, grain)), (name, grain)
+    text = plan(footer_days(spark, str(tmp_path / "plain")))
+    assert f"MIN({STORED_DAY}), MAX({STORED_DAY})" in text
+    assert "spark.sql.parquet.aggregatePushdown" not in [
+        r.key for r in spark.sql("SET").collect()
+    ]
+    none = str(tmp_path / "none")
+    write_clean(p.where("false"), none)
+    for grain in GRAINS:
+        assert dicts(stored_bounds(spark, none, grain)) == [{"lo": None, "hi": None}]
+
+
+def test_clustered_layout_bounds_the_files_of_a_year(spark, tmp_path):
+    p = clean_postings(raw_postings(spark, SF_DIR)).repartition(24)
+    keys = ("broad_sector", "category")
+
+    def files(name, **layout):
+        path = tmp_path / name
+        write_clean(p, str(path), partition_by_year=True, sort_within=keys, **layout)
+        return {y.name: sorted(y.glob("*.parquet")) for y in path.glob("Period_Yearly=*")}
+
+    spread, close = files("spread"), files("close", clustered=True)
+    assert spread.keys() == close.keys()
+    assert max(map(len, spread.values())) > 10
+    assert max(map(len, close.values())) == 1  # small years are one file each
+    for group in close.values():
+        rows = [tuple(r) for r in spark.read.parquet(str(group[0])).select(*keys).collect()]
+        assert rows == sorted(rows)
+    # A year above the advisory size is split between tasks.
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "32k")
+    try:
+        assert max(map(len, files("split", clustered=True).values())) > 1
+    finally:
+        spark.conf.set(size, before)
+    back = read_clean(spark, str(tmp_path / "split"))
+    assert back.count() == p.count() and back.exceptAll(p.select(*POSTINGS.read_columns)).isEmpty()
