@@ -24,6 +24,8 @@ SEED = 42
 BLOCK = 1 << 15
 # A grid point with more fingerprints than this links them through shared bit neighbours.
 PAIRED = 24
+# A fingerprint with more than one in so many of all rows is sent to all tasks.
+HOT_SHARE = 1024
 
 
 def fingerprint(text: str, words: int = 3) -> int:
@@ -114,46 +116,58 @@ def near_links(fingerprints: DataFrame, max_bits: int = 2) -> DataFrame:
     return pairs.unionAll(dense).distinct()
 
 
-def near_groups(docs: DataFrame, *, words: int = 3, max_bits: int = 2) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of ``docs`` (doc_id, text).
-
-    component_id is the smallest doc_id that links reach. Texts without words
-    (null, empty, blanks) have fingerprint 0 and link like any other. Repeated
-    rows come back as often; a null doc_id is never the smallest of a group
-    that has other ids.
-    """
+def _grouped(docs: DataFrame, words: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of all rows, and (fp, first, n, component_id) of all fingerprints, both written."""
     spark = docs.sparkSession
     marked = stored(
         docs.select("doc_id", fingerprint_column("text", words).alias("fp")),
         scratch_folder(spark, "fingerprints"),
     )
     first = stored(
-        marked.groupBy("fp").agg(F.min("doc_id").alias("first")), scratch_folder(spark, "distinct")
+        marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")),
+        scratch_folder(spark, "distinct"),
     )
     groups = components(near_links(first.select("fp"), max_bits))
     named = first.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "component", F.coalesce("component", "fp")
     )
     smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    by_fingerprint = named.select("fp", "component").join(smallest, "component").drop("component")
-    return marked.join(by_fingerprint, "fp", "left").select("doc_id", "fp", "component_id")
+    by_fingerprint = named.join(smallest, "component").drop("component")
+    return marked, stored(by_fingerprint, scratch_folder(spark, "groups"))
 
 
-def keep_one(docs: DataFrame, **how) -> DataFrame:
+def near_groups(docs: DataFrame, *, words: int = 3, max_bits: int = 2) -> DataFrame:
+    """(doc_id, fp, component_id) for every row of ``docs`` (doc_id, text).
+
+    component_id is the smallest doc_id that links reach. Texts without words
+    (null, empty, blanks) have fingerprint 0 and link like any other. Repeated
+    rows come back as often; a null doc_id is never the smallest of a group
+    that has other ids. No rows give no rows.
+    """
+    marked, by_fingerprint = _grouped(docs, words, max_bits)
+    rows = by_fingerprint.agg(F.sum("n")).first()[0] or 0
+    # Fewer than HOT_SHARE fingerprints can have more than that share of all rows: they are sent
+    # to all tasks, and no other fingerprint is much for the task it is dealt to.
+    hot = F.col("n") * HOT_SHARE > rows
+    common = F.broadcast(by_fingerprint.where(hot).select("fp", "component_id"))
+    others = by_fingerprint.where(~hot).select("fp", "component_id")
+    parts = marked.join(common, "fp"), marked.join(common, "fp", "left_anti").join(others, "fp")
+    return parts[0].unionAll(parts[1]).select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, *, words: int = 3, max_bits: int = 2) -> DataFrame:
     """``docs`` with the smallest doc_id of each group only; rows that repeat it stay once.
 
-    Rows with a null doc_id stay if their group has no other id, one per group.
+    Rows with a null doc_id stay only if their group has no other id, one for each
+    fingerprint. No rows give no rows.
     """
-    kept = (
-        near_groups(docs, **how)
-        .where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .select("doc_id", "fp")
-        .distinct()
-    )
+    _, by_fingerprint = _grouped(docs, words, max_bits)
+    # The smallest id of a group is the smallest of its own fingerprint.
+    kept = by_fingerprint.where(F.col("first").eqNullSafe(F.col("component_id")))
     # A repeated id with other texts: only the text whose fingerprint is kept.
     rows = docs.select(
-        F.struct("*").alias("row"), "doc_id", fingerprint_column("text", how.get("words", 3)).alias("fp")
+        F.struct("*").alias("row"), "doc_id", fingerprint_column("text", words).alias("fp")
     )
-    same = rows.doc_id.eqNullSafe(kept.doc_id) & (rows.fp == kept.fp)
+    same = rows.doc_id.eqNullSafe(kept["first"]) & (rows.fp == kept.fp)
     chosen = rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "fp"])
     return chosen.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))

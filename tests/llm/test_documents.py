@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -138,6 +138,23 @@ def test_simhash_whole(spark, sample, texts):
     assert len(set(groups.values())) < len(groups)
 
 
+def test_simhash_groups_of_frequent_and_rare_fingerprints(spark):
+    """Some fingerprints are above, some below the share that is sent to all tasks."""
+    rng = np.random.default_rng(8)
+    rare = [" ".join(f"w{n}" for n in rng.integers(0, 10**6, 12)) for _ in range(1500)]
+    rows = [(i, t) for i, t in enumerate(rare + rare[:40] + ["the same text in many rows"] * 1500 + [None] * 50)]
+    rng.shuffle(rows)
+    counts = Counter(simhash.fingerprint(t or "") for _, t in rows)
+    assert min(counts.values()) * simhash.HOT_SHARE <= len(rows) < max(counts.values()) * simhash.HOT_SHARE
+    docs = frame(spark, [t for _, t in rows], [i for i, _ in rows])
+    smallest = {}
+    for i, t in sorted(rows, key=lambda r: r[0]):
+        smallest.setdefault(simhash.fingerprint(t or ""), i)
+    got = {r.doc_id: r.component_id for r in simhash.near_groups(docs).collect()}
+    assert got == {i: smallest[simhash.fingerprint(t or "")] for i, t in rows}
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == sorted(smallest.values())
+
+
 def test_simhash_odd_rows(spark):
     odd = [None, "", " \x0b ", "One", "one", "two words", "É é É x", "a b c d " * 3000, "A B C D " * 3000, "x\x1cy\xa0z w"]
     docs = frame(spark, [*odd, "one"], [*range(10, 10 + len(odd)), None])
