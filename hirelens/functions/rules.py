@@ -52,6 +52,9 @@ SENIORITY_RULES = (
 )
 SENIORITY_DEFAULT = "Executive / Senior Executive"
 
+# More alternatives than these are tested as an array.
+WRITTEN_OUT = 3
+
 # The level text that makes a posting Non-PMET, and the two flags.
 NON_PMET_MARK = "non-executive"
 PMET, NON_PMET = "PMET", "Non-PMET"
@@ -81,10 +84,15 @@ def occurs(column: str, pattern: str) -> str:
 
     A pattern made of plain alternatives is tested as substrings, which costs
     a fraction of the regular expression; any other one stays an expression.
+    Many alternatives are data of one test: written out, the code that Spark
+    generates for a row outgrows the 8,000 bytes that the JVM compiles.
     """
     if set(pattern) & set("\\^$.?*+()[]{}"):
         return f"{name(column)} RLIKE {literal(pattern)}"
     words = pattern.split("|")
+    if len(words) > WRITTEN_OUT:
+        listed = ", ".join(literal(w) for w in words)
+        return f"exists(array({listed}), w -> contains({name(column)}, w))"
     return "(" + " OR ".join(f"contains({name(column)}, {literal(w)})" for w in words) + ")"
 
 

@@ -77,6 +77,13 @@ def test_rules_with_real_patterns_stay_regular_expressions(spark):
     assert got == ["x", "y", "y"]
 
 
+def test_many_alternatives_are_one_test(spark):
+    pattern = "finance|f&b|it |o'neill"
+    assert rules.occurs("v", pattern).count("contains(") == 1
+    got = apply(spark, ["f&b", "unit 4", "o'neill", "unit", "", None], rules.first_match("v", [(pattern, "x")], "y"))
+    assert got == ["x", "x", "x", "y", "y", "y"]
+
+
 def test_labels_and_names_are_quoted(spark):
     got = apply(spark, ["o'neill\\x"], rules.first_match("v", [("o'neill\\\\x", "it's `a`")], "n"))
     assert got == ["it's `a`"]
