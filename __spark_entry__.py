@@ -104,7 +104,8 @@ def ingest_line_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ingest job on CSV files whose titles hold line breaks, laid out by year."""
     folder = scratch_folder(spark)
     broken = F.translate(C.title, " ", "\n")
-    write_csv(raw_postings(spark, sf_dir).withColumn(C.title, broken), f"{folder}/raw_csv")
+    raw = raw_postings(spark, sf_dir).withColumn(C.title, broken)
+    write_csv(raw, f"{folder}/raw_csv", compression="gzip")  # a file is one task in any case
     return build_clean(
         spark,
         f"{folder}/raw_csv",

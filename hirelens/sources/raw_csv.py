@@ -100,6 +100,13 @@ def read_csv_where(
     return rows
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Write rows as CSV files that :func:`read_raw_csv` reads back unchanged."""
-    df.write.mode(mode).options(header=True, quote='"', escape='"').csv(path)
+def write_csv(
+    df: DataFrame, path: str, mode: str = "errorifexists", compression: str = "none"
+) -> None:
+    """Write rows as CSV files that :func:`read_raw_csv` reads back unchanged.
+
+    A compressed file is read by one task: meant for cells with line breaks,
+    whose files cannot be split in any case.
+    """
+    options = {"header": True, "quote": '"', "escape": '"', "compression": compression}
+    df.write.mode(mode).options(**options).csv(path)

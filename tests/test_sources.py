@@ -150,6 +150,14 @@ def test_csv_round_trip(spark, tmp_path, raw):
     assert sorted(map(str, back.collect())) == sorted(map(str, rows.collect()))
 
 
+def test_compressed_csv_round_trip(spark, tmp_path, raw):
+    rows = raw({"title": "a\nb", "categories": "[{''id'':1,''category'':''F&B''}]"}, {"title": ""})
+    write_csv(rows, str(tmp_path / "csv"), compression="gzip")
+    assert not list(tmp_path.glob("csv/*.csv")) and list(tmp_path.glob("csv/*.csv.gz"))
+    back = read_raw_csv(spark, str(tmp_path / "csv"))
+    assert sorted(map(str, back.collect())) == sorted(map(str, rows.collect()))
+
+
 def test_build_and_ensure(spark, tmp_path):
     csv, out = write_text(tmp_path / "a.csv", csv_line(metadata_jobPostId="a")), str(tmp_path / "p")
     assert ids(ensure_clean(spark, csv, out)) == "a"
