@@ -6,7 +6,8 @@ operator of ``hirelens`` on them.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +52,9 @@ EVERY_FILTER = FilterSpec(
 )
 WEEKS = FilterSpec(grain="Weekly", period_range=("1997-W10", "1999-W2"))
 NOTHING = FilterSpec(grain="Quarterly", period_range=("1900-Q1", "1900-Q2"))
+# What the structure of sub-sectors and the sectoral table read of the postings.
+OF_STRUCTURE = (C.category, C.sector, C.level, C.salary, C.experience, C.vacancies, C.applications)
+OF_TABLE = (*OF_STRUCTURE, C.job_id, C.views, C.repost, C.title)
 CHOSEN = ("Insurance", "Logistics / Supply Chain", "F&B")
 
 
@@ -63,6 +67,16 @@ def _on_postings(report: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: report(postings(spark, sf_dir))
 
 
+def _on_stored(columns: Sequence[str], report: Callable[[DataFrame], DataFrame]) -> Query:
+    """For a report that reads its postings more than once: joined and cleaned once."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        needed = postings(spark, sf_dir).select(*columns)
+        return report(stored(needed, scratch_folder(spark, "postings")))
+
+    return run
+
+
 def _on_raw(step: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: step(raw_postings(spark, sf_dir))
 
@@ -236,7 +250,11 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    on, raw = _on_postings, _on_raw
+    on, raw, table = _on_postings, _on_raw, partial(_on_stored, OF_TABLE)
+
+    def structure(report: Callable[[DataFrame], DataFrame]) -> Query:
+        return _on_stored(OF_STRUCTURE, lambda p: report(_structure(p)))
+
     extra = training_data.queries() if training_data else {}
     return extra | {
         # cleaning
@@ -336,13 +354,13 @@ def queries() -> dict[str, Query]:
         "top5_contested": on(competition.top_contested),
         "competition_top10": on(competition.competition_top),
         "top5_postings": on(lambda p: pulse.kpi_summary(competition.postings_of_contested(p))),
-        "top5_structure": on(_structure),
-        "positioning_labels": on(lambda p: competition.with_positioning(_structure(p))),
-        "positioning_labels_dollar": on(
-            lambda p: competition.with_positioning(_structure(p), "dollar")
+        "top5_structure": structure(lambda s: s),
+        "positioning_labels": structure(competition.with_positioning),
+        "positioning_labels_dollar": structure(
+            lambda s: competition.with_positioning(s, "dollar")
         ),
-        "hierarchy": on(
-            lambda p: competition.hierarchy(competition.with_positioning(_structure(p)))
+        "hierarchy": structure(
+            lambda s: competition.hierarchy(competition.with_positioning(s))
         ),
         # titles
         "frequent_titles": on(titles.frequent_titles),
@@ -357,13 +375,13 @@ def queries() -> dict[str, Query]:
         "market_totals": on(summary.market_totals),
         "parent_benchmarks": on(summary.parent_benchmarks),
         "top_seniority": on(summary.top_seniority),
-        "table_all": on(summary.sectoral_table),
-        "table_top_competitive": on(
+        "table_all": table(summary.sectoral_table),
+        "table_top_competitive": table(
             lambda p: summary.sectoral_table(p, summary.MOST_COMPETITIVE)
         ),
-        "table_top_vacancies": on(lambda p: summary.sectoral_table(p, summary.MOST_VACANCIES)),
-        "table_selected": on(lambda p: summary.sectoral_table(p, categories=CHOSEN)),
-        "table_formatted": on(
+        "table_top_vacancies": table(lambda p: summary.sectoral_table(p, summary.MOST_VACANCIES)),
+        "table_selected": table(lambda p: summary.sectoral_table(p, categories=CHOSEN)),
+        "table_formatted": table(
             lambda p: summary.formatted(summary.report(summary.sectoral_table(p)))
         ),
         "vacancies_by_sector": on(summary.vacancies_by_sector),

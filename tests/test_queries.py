@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import SF_DIR
+from conftest import SF_DIR, plan
 
 from __spark_entry__ import entry, oracle_sql, queries
 from checks.compare import differences, duck_connection
@@ -28,5 +28,11 @@ def test_same_rows(spark, duck, name):
     assert differences(spark, duck, SF_DIR, QUERIES[name], SQL[name]) is None
 
 
+@pytest.mark.parametrize("name", ["positioning_labels_dollar", "table_top_competitive"])
+def test_postings_of_several_scans_are_derived_once(spark, name):
+    found = plan(QUERIES[name](spark, SF_DIR))
+    assert "lineitem.parquet" not in found and "postings-" in found
+
+
 def test_entry(spark):
     assert entry(spark).count() > 0
