@@ -23,7 +23,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import islice, pairwise
 
 import numpy as np
 import pandas as pd
@@ -34,7 +34,7 @@ from hirelens.llm.batches import Strings, by_group
 from hirelens.sources.shared import scratch_folder, stored
 
 SPACE_MARK = "▁"
-WORD = re.compile(r" +[^ ]*")
+WORD = re.compile(r" +[^ ]*|[^ ]+")
 START = re.compile(r"(?<! ) ")
 CHUNK = 1 << 14
 GROUP = 256
@@ -124,11 +124,8 @@ class Pieces:
         return float(self.scores[np.frombuffer(ids, "<u4")].sum())
 
     def words(self, s: str) -> bytes:
-        """The same for a text that is empty or starts with a run of blanks, by a table of words."""
-        found = [w[1:] for w in WORD.findall(s)] if "  " in s else s.split(" ")[1:]
-        self.known.turn()
-        self.known.learn(found)
-        return b"".join(map(self.known.__getitem__, found))
+        """The same for a text that is empty or starts with a run of blanks, by spans of words."""
+        return self.known.whole(s)
 
     def syncs(self, s: str, length: int) -> tuple[int, int] | None:
         """The first and the last start of a run of blanks in a chunk, both on every path.
@@ -189,12 +186,13 @@ class Pieces:
 
 
 def exact_model(path: str, scores: dict[str, float], first_blank: bool) -> tuple[bytes, int] | None:
-    """The model for the library's own best-path search, and the longest word it solves exactly.
+    """The model for the library's own best-path search, and the longest text it solves exactly.
 
     That search adds in single precision, relative to the lowest score: exact
     for whole scores while sums stay below 2**23. A lowest score that only runs
-    of blanks have is raised to the next one, so an answer for a word without a
-    blank inside holds if it does not start with the blank alone. None if a
+    of blanks have is raised to the next one, so an answer for words parted by
+    single blanks holds if no word starts with the blank alone, or if no piece
+    has that blank and the word's first character. None if a
     score is not whole or not negative (such a piece may be user-defined, for
     which the library has rules of its own).
     """
@@ -220,10 +218,13 @@ def _score(value: float) -> bytes:
 class Words(dict):
     """Ids of words without their first blank; of two generations, the older one is dropped.
 
-    New words of characters that are all pieces themselves go to the library's
-    search together; the others, and those that it starts with the blank alone,
-    are solved here one by one. A character that no piece holds, like a line
-    break, parts a word: what comes after it has a table of its own.
+    Texts are cut into spans of words made of characters that are all pieces
+    themselves, as long as the library's search is exact, and it solves all of
+    a text's spans together. The table is for the rest: words it may have
+    started with the blank alone wrongly, runs of blanks, longer words. New ones
+    go to the library together if they can; the others are solved here one by
+    one. A character that no piece holds, like a line break, parts a word: what
+    comes after it has a table of its own.
     """
 
     def __init__(self, solver: Pieces, path: str):
@@ -237,13 +238,56 @@ class Words(dict):
         if self.quick:
             self.letters = set(letters)
             self.plain = re.compile(f"[{re.escape(letters)}]{{1,{self.quick[1]}}}").fullmatch
-            self.after = Tails(solver, (quick_search(path, solver.score, False)[0], self.plain))
+            self.search = quick_search(path, solver.score, False)[0]
+            self.after = Tails(solver, (self.search, self.plain))
+            # Spans end before a blank that starts a run, or a character that no piece holds;
+            # what is no span is such a character, a word, or a run of blanks without a word.
+            ends = f"\\Z|(?=[^{re.escape(held)}])|(?<! )(?= )"
+            rest = f"[^{re.escape(held)}]| *[{re.escape(held.replace(' ', ''))}]+| +"
+            self.spans = re.compile(f"([{re.escape(letters)} ]{{1,{self.quick[1]}}}(?:{ends}))|({rest})").findall
+            self.blank = solver.id[" "]
+            self.opening = {i for p, i in solver.id.items() if p[0] == " "}
+            starts = {p[1] for p in solver.score if len(p) > 1 and p[0] == " "}
+            self.doubtful = {i for p, i in solver.id.items() if p[0] in starts}
 
     def turn(self) -> None:
         if len(self) > MOST_WORDS:
             self.older = dict(self)
             self.clear()
 
+    def whole(self, s: str) -> bytes:
+        """Ids of a text that is empty or starts with a run of blanks."""
+        self.turn()
+        if not self.quick:
+            return self.each(s)
+        found = self.spans(s)
+        solved = iter(self.search([span for span, _ in found if span], out_type=int, num_threads=1))
+        return b"".join([self.checked(span, next(solved)) if span else self.one(rest) for span, rest in found])
+
+    def checked(self, span: str, ids: list[int]) -> bytes:
+        """The library's ids of a span, with words by the table that a blank alone may wrongly start."""
+        if "  " in span:
+            return self.each(span)
+        held, blank = array("I", ids).tobytes(), self.blank
+        if blank not in ids or not any(a == blank and b in self.doubtful for a, b in pairwise(ids)):
+            return held
+        starts = [i for i, x in enumerate(ids) if x in self.opening]  # one for each word with its blank
+        out = [held[: 4 * starts[0]]]
+        for word, i, end in zip(span.split(" ")[1:], starts, [*starts[1:], len(ids)]):
+            doubt = ids[i] == blank and i + 1 < end and ids[i + 1] in self.doubtful
+            out.append(self[word] if doubt else held[4 * i : 4 * end])
+        return b"".join(out)
+
+    def each(self, span: str) -> bytes:
+        """Ids of a span by the table of words."""
+        found = WORD.findall(span)
+        self.learn([w[1:] for w in found if w[0] == " "])
+        return b"".join(map(self.one, found))
+
+    def one(self, word: str) -> bytes:
+        """Ids of a word with its blanks, or of what comes after a character that no piece holds, or that itself."""
+        return self[word[1:]] if word[0] == " " else self.after[word]
+
     def learn(self, words: list[str]) -> None:
         if self.quick:
             new = [w for w in set(words) if w not in self]

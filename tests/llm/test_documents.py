@@ -459,6 +459,27 @@ def test_new_words_solved_together_are_best_paths(texts):
         assert ids == solver.between(" " + word, 0, len(word) + 1)
 
 
+def test_spans_of_new_words_are_best_paths_without_a_table():
+    """Many words that occur once: each is solved with its neighbours, and none is kept."""
+    rng = np.random.default_rng(6)
+    solver = sentences.Pieces(MODEL)
+    for letters in ("theainrs", "theainrsßÄ.é"):
+        words = ["".join(rng.choice([*letters], rng.integers(6, 14))) for _ in range(3000)]
+        text = "".join(" " + w for w in words)
+        assert solver.words(text) == solver.between(text, 0, len(text))
+    assert len(solver.known) < 300
+
+
+def test_spans_with_doubtful_blanks_runs_and_breaks_are_best_paths():
+    rng = np.random.default_rng(7)
+    solver = sentences.Pieces(MODEL)
+    long = solver.known.quick[1]
+    parts = [" ", " ", "  ", " " * (long + 3), "\n", "\t", "▁", "漢", "🙂", "ê", "êt", "ERN", "ít", "ß", "the", "ing", "x" * (long - 1), "é" * (long + 9)]
+    odd = ["", " ", " \n", " \n ", " a\n\nb ", " ê", " " + "x" * long + " a", " a\nê ERN"]
+    for text in [*odd, *(" " + "".join(rng.choice(parts, rng.integers(1, 60))) for _ in range(150))]:
+        assert solver.words(text) == solver.between(text, 0, len(text)), text
+
+
 def test_sentences_whole_round_trip(spark, texts):
     got = {r.doc_id: r.decoded_sha256 for r in registry.op4_sentencepiece(spark, SF).collect()}
     assert got == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in texts.items()}
